@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from galeframe.llm import bpe
+from galeframe.llm import bpe, langid, quality, toxicity
 from galeframe.llm.common import read
 
 
@@ -11,7 +11,25 @@ def op4_bpe(spark, sf_dir):
     return bpe.encode(read(spark, sf_dir, "documents"))
 
 
+def op7_langid(spark, sf_dir):
+    """The language of every document, from a model fitted on their own lang column."""
+    return langid.identify(read(spark, sf_dir, "documents"))
+
+
+def op8_toxicity(spark, sf_dir):
+    """The toxicity of every document."""
+    return toxicity.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op10_quality(spark, sf_dir):
+    """The quality of every document."""
+    return quality.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op4_bpe": op4_bpe,
+    "op7_langid": op7_langid,
+    "op8_toxicity": op8_toxicity,
+    "op10_quality": op10_quality,
 }
 ORACLES: dict[str, str] = {}
