@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from galeframe.llm import bpe, langid, quality, toxicity
+from galeframe.llm import bpe, langid, licenses, quality, toxicity
 from galeframe.llm.common import read
 
 
@@ -11,6 +11,11 @@ def op4_bpe(spark, sf_dir):
     return bpe.encode(read(spark, sf_dir, "documents"))
 
 
+def op5_licenses(spark, sf_dir):
+    """All license spans of all documents."""
+    return licenses.scan(read(spark, sf_dir, "documents"))
+
+
 def op7_langid(spark, sf_dir):
     """The language of every document, from a model fitted on their own lang column."""
     return langid.identify(read(spark, sf_dir, "documents"))
@@ -28,6 +33,7 @@ def op10_quality(spark, sf_dir):
 
 QUERIES = {
     "op4_bpe": op4_bpe,
+    "op5_licenses": op5_licenses,
     "op7_langid": op7_langid,
     "op8_toxicity": op8_toxicity,
     "op10_quality": op10_quality,
