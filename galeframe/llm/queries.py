@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from galeframe.llm import bpe, langid, licenses, quality, toxicity
+from galeframe.llm import bpe, decontaminate, langid, licenses, quality, toxicity
 from galeframe.llm.common import read
 
 
+def op3_decontaminate(spark, sf_dir):
+    """All matches of all benchmark items in all documents."""
+    return decontaminate.match(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op4_bpe(spark, sf_dir):
     """All documents encoded, with the round trip checked."""
     return bpe.encode(read(spark, sf_dir, "documents"))
@@ -32,6 +37,7 @@ def op10_quality(spark, sf_dir):
 
 
 QUERIES = {
+    "op3_decontaminate": op3_decontaminate,
     "op4_bpe": op4_bpe,
     "op5_licenses": op5_licenses,
     "op7_langid": op7_langid,
