@@ -25,7 +25,7 @@ class Settings:
 
     orders: tuple[int, ...] = (1, 2, 3)
     bits: int = 15
-    per_class: int = 1500
+    per_class: int = 1000
     epochs: int = 2
     alpha: float = 0.3
     beta: float = 1.0

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from galeframe.llm import bpe, decontaminate, langid, licenses, quality, toxicity
+from galeframe.llm import bpe, decontaminate, langid, licenses, quality, simhash, toxicity
 from galeframe.llm.common import read
 
 
+def op2_simhash(spark, sf_dir):
+    """All groups of copies and near copies among the documents."""
+    return simhash.groups(read(spark, sf_dir, "documents"))
+
+
 def op3_decontaminate(spark, sf_dir):
     """All matches of all benchmark items in all documents."""
     return decontaminate.match(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
@@ -37,6 +42,7 @@ def op10_quality(spark, sf_dir):
 
 
 QUERIES = {
+    "op2_simhash": op2_simhash,
     "op3_decontaminate": op3_decontaminate,
     "op4_bpe": op4_bpe,
     "op5_licenses": op5_licenses,
