@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from galeframe.llm import bpe, decontaminate, langid, licenses, quality, simhash, toxicity
+from galeframe.llm import bpe, decontaminate, langid, licenses, passages, quality, simhash, toxicity
 from galeframe.llm.common import read
 
 
@@ -36,6 +36,11 @@ def op8_toxicity(spark, sf_dir):
     return toxicity.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op9_suffix(spark, sf_dir):
+    """All passages that repeat in or across documents."""
+    return passages.repeats(read(spark, sf_dir, "documents"))
+
+
 def op10_quality(spark, sf_dir):
     """The quality of every document."""
     return quality.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
@@ -48,6 +53,7 @@ QUERIES = {
     "op5_licenses": op5_licenses,
     "op7_langid": op7_langid,
     "op8_toxicity": op8_toxicity,
+    "op9_suffix": op9_suffix,
     "op10_quality": op10_quality,
 }
 ORACLES: dict[str, str] = {}
