@@ -27,7 +27,7 @@ class Settings:
 
     orders: tuple[int, ...] = (3, 4, 5)
     bits: int = 20
-    per_class: int = 3000
+    per_class: int = 2000
     smoothing: float = 1.0
     least_ratio: float = 1.0
     least_texts: int = 4
@@ -62,23 +62,11 @@ class Model:
         return (total + self.bias) / self.temperature
 
 
-def _sets(texts: list[str], settings: Settings) -> tuple[np.ndarray, np.ndarray]:
-    """All texts' distinct n-grams, one text after the other, and the n + 1 offsets."""
-    out, ends = [], [0]
-    for t in texts:
-        grams = CharGrams.of(pa.array([t], pa.string()))
-        ids = np.unique(np.concatenate([grams.ids(n, settings.bits) for n in settings.orders]))
-        ids = ids[ids < 1 << settings.bits].astype(np.int32)
-        out.append(ids)
-        ends.append(ends[-1] + len(ids))
-    return np.concatenate(out) if out else np.zeros(0, np.int32), np.array(ends)
-
-
-def _restrict(ids: np.ndarray, ends: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keeps the ids that have a number, renumbered."""
-    new = number[ids]
-    keep = new >= 0
-    return new[keep], np.concatenate([[0], np.cumsum(keep)])[ends]
+def _set(text: str, settings: Settings) -> np.ndarray:
+    """The text's distinct n-grams."""
+    grams = CharGrams.of(pa.array([text], pa.string()))
+    ids = np.unique(np.concatenate([grams.ids(n, settings.bits) for n in settings.orders]))
+    return ids[ids < 1 << settings.bits]
 
 
 def train(texts: list[str], target: np.ndarray, weight: np.ndarray, settings: Settings) -> Model:
@@ -87,17 +75,19 @@ def train(texts: list[str], target: np.ndarray, weight: np.ndarray, settings: Se
     width = 1 << s.bits
     split = len(texts) - int(len(texts) * s.held_out)
     y, w = target[:split].astype(float), weight[:split] / weight[:split].sum()
-    ids, ends = _sets(texts[:split], s)
-    owner = np.repeat(np.arange(split), np.diff(ends))
-    toxic = np.bincount(ids[y[owner] > 0.5], minlength=width).astype(float)
-    other = np.bincount(ids[y[owner] < 0.5], minlength=width).astype(float)
+    toxic, other = np.zeros(width), np.zeros(width)
+    for text, is_toxic in zip(texts[:split], y > 0.5):
+        (toxic if is_toxic else other)[_set(text, s)] += 1
     p, q = (toxic + s.smoothing) / max(1, y.sum()), (other + s.smoothing) / max(1, (1 - y).sum())
     ratio = np.log(p / q)
     chosen = np.flatnonzero((np.abs(ratio) >= s.least_ratio) & (toxic + other >= s.least_texts))
     number = np.full(width, -1, dtype=np.int64)
     number[chosen] = np.arange(len(chosen))
     r = ratio[chosen]
-    ids, ends = _restrict(ids, ends, number)
+    # Made again rather than kept: all n-grams of the sample would take much memory, the chosen ones take little.
+    sets = [x[x >= 0].astype(np.int32) for x in (number[_set(t, s)] for t in texts[:split])]
+    ends = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+    ids = np.concatenate(sets) if sets else np.zeros(0, np.int32)
     owner = np.repeat(np.arange(split), np.diff(ends))
     beta = np.ones(len(chosen)) * 0.1
     bias = 0.0
