@@ -2,7 +2,7 @@
 
 Vectors are made unit length. In each table a hash consists of a few pseudo-rotations (random signs and fast
 Hadamard transforms, three times over), each of which gives the signed axis nearest to the rotated vector. A query also probes
-the buckets of the next nearest axes. All candidates are ranked by their exact cosine.
+the buckets of the next nearest axes, as many as an audit against exact search finds to be needed. All candidates are ranked by their exact cosine.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from galeframe.llm.common import stored
@@ -23,16 +23,19 @@ SCHEMA = "vec_id long, neighbour_id long, rank int, cosine double"
 
 @dataclass(frozen=True)
 class Settings:
-    """k: neighbours of each vector; tables: independent hashes; probes: buckets of a table that a query looks into.
+    """k: neighbours of each vector; tables: independent hashes; bucket: vectors that a bucket holds on average.
 
-    bucket: vectors that a bucket holds on average; it sets how many rotations a hash has, so that buckets
-    stay as large when the data grow.
+    bucket sets how many rotations a hash has, so that buckets stay as large when the data grow. How many buckets of a table
+    a query looks into is found by an audit: as few as give the recall on audit queries that are
+    also searched exactly, at most most of them.
     """
 
     k: int = 10
-    tables: int = 24
-    probes: int = 12
-    bucket: int = 400
+    tables: int = 8
+    bucket: int = 1000
+    recall: float = 0.96
+    audit: int = 200
+    most: int = 256
     rounds: int = 3
     seed: int = 11
 
@@ -100,43 +103,114 @@ def unit(vectors: DataFrame, id_column: str = "vec_id", column: str = "embedding
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for row in batch.column(1).to_pylist():
-                x = np.array(row)
-                x = x / np.abs(x).max()
-                out.append((x / np.linalg.norm(x)).astype(np.float32).tobytes())
+            if not batch.num_rows:
+                continue
+            lists = batch.column(1)
+            size = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            x, first = lists.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(size)])
+            x = x / np.repeat(np.maximum.reduceat(np.abs(x), first[:-1]), size)  # no overflow when squared
+            x = (x / np.repeat(np.sqrt(np.add.reduceat(x * x, first[:-1])), size)).astype(np.float32)
+            out = [x[i:j].tobytes() for i, j in zip(first[:-1].tolist(), first[1:].tolist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["id", "v"])
 
     return usable.mapInArrow(run, "id long, v binary").groupBy("id").agg(F.min("v").alias("v"))
 
 
+def _best(dots: np.ndarray, k: int) -> np.ndarray:
+    """The columns of each row's k largest values, descending; equal values by column."""
+    k = min(k, dots.shape[1])
+    if k == dots.shape[1]:
+        return np.argsort(-dots, axis=1, kind="stable")
+    top = np.sort(np.argpartition(-dots, k - 1, axis=1)[:, :k], axis=1)
+    value = np.take_along_axis(dots, top, axis=1)
+    tied = np.flatnonzero((dots >= value.min(axis=1, keepdims=True)).sum(axis=1) > k)
+    if len(tied):
+        top[tied] = np.sort(np.argsort(-dots[tied], axis=1, kind="stable")[:, :k], axis=1)
+        value[tied] = np.take_along_axis(dots[tied], top[tied], axis=1)
+    return np.take_along_axis(top, np.argsort(-value, axis=1, kind="stable"), axis=1)
+
+
+def _padded(raw: list[bytes], d: int) -> np.ndarray:
+    """The vectors of length d as rows, filled up with zeros to a power of two."""
+    x = np.zeros((len(raw), 1 << (d - 1).bit_length()))
+    x[:, :d] = np.frombuffer(b"".join(raw), np.float32).reshape(len(raw), d)
+    return x
+
+
+def audited(reps: DataFrame, d: int, parts: int, axes: int, s: Settings) -> tuple[int, float]:
+    """How many buckets a query must look into, and the recall that it then has on the audit's queries.
+
+    The queries are those of the least hashes. Their true neighbours come from a comparison with all vectors, and the places of
+    those neighbours' own buckets in the queries' lists tell the recall for any number of buckets.
+    """
+    same = reps.where(F.length("v") == 4 * d)
+    asked = [r["v"] for r in same.orderBy(F.xxhash64("rep", F.lit(s.seed)), "rep").limit(s.audit).select("v").collect()]
+    queries = np.frombuffer(b"".join(asked), np.float32).reshape(-1, d)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                raw = batch.column(0).to_pylist()
+                dots = queries @ np.frombuffer(b"".join(raw), np.float32).reshape(-1, d).T
+                top = _best(dots, s.k + 1)
+                of = np.repeat(np.arange(len(queries)), top.shape[1])
+                value = np.take_along_axis(dots, top, axis=1).ravel().astype(float)
+                yield pa.RecordBatch.from_arrays([pa.array(of), pa.array(value), pa.array([raw[i] for i in top.ravel()], pa.binary())], names=["q", "c", "v"])
+
+    found = same.select("v").mapInArrow(run, "q long, c double, v binary")
+    lists = found.groupBy("q").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("c")).alias("c"), "v"))), 1, s.k + 1).alias("l")).collect()
+    q, near = [], []
+    for r in lists:
+        others = [x["v"] for x in r["l"] if x["v"] != asked[r["q"]]][: s.k]
+        q += [r["q"]] * len(others)
+        near += others
+    if not near:
+        return 1, 1.0
+    x, y = _padded(asked, d), _padded(near, d)
+    place = np.full(len(near), s.most)
+    for table in range(s.tables):
+        listed, home = probes(x, table, parts, axes, s.most, s)[q], probes(y, table, parts, axes, 1, s)
+        hit = listed == home
+        place = np.minimum(place, np.where(hit.any(axis=1), hit.argmax(axis=1), s.most))
+    share = np.cumsum(np.bincount(place, minlength=s.most + 1)[: s.most]) / len(near)
+    many = int(np.argmax(share >= s.recall)) + 1 if share[-1] >= s.recall else s.most
+    return many, float(share[many - 1])
+
+
 def nearest(vectors: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """(vec_id, neighbour_id, rank, cosine): of every vector the k nearest that the tables find, by cosine.
 
     Ties go to the smaller neighbour_id. Rows that unit() leaves out neither ask nor answer; of repeated ids one vector counts.
-    Equal vectors are each other's neighbours. Vectors of different lengths are
+    Equal vectors are each other's neighbours; they are searched for once, whatever their number. Vectors of different lengths are
     compared only with their like. Fewer than k rows come where fewer candidates were found. Other columns are ignored.
     """
     s = settings
     units = stored(unit(vectors), "units")
-    sizes = {r["size"] // 4: r["n"] for r in units.groupBy(F.length("v").alias("size")).agg(F.count("*").alias("n")).collect()}
+    # Of equal vectors a query needs k others at most, so the k + 1 least ids stand for all.
+    spot = F.row_number().over(Window.partitionBy("v").orderBy("id"))
+    ranked = units.withColumn("rep", F.min("id").over(Window.partitionBy("v"))).withColumn("nth", spot)
+    ranked = stored(ranked, "ranked")
+    reps = ranked.where("nth = 1").select("rep", "v")
+    sizes = {r["size"] // 4: r["n"] for r in reps.groupBy(F.length("v").alias("size")).agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return units.sparkSession.createDataFrame([], SCHEMA)
-    forms = {d: shape(n, 1 << (d - 1).bit_length(), s) for d, n in sizes.items()}
+    forms = {}
+    for d, n in sizes.items():
+        parts, axes = shape(n, 1 << (d - 1).bit_length(), s)
+        forms[d] = (parts, axes, audited(reps, d, parts, axes, s)[0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, raw = batch.column(0).to_numpy(), batch.column(1).to_pylist()
-            lengths = np.array([len(r) // 4 for r in raw])
+            lengths = np.array([len(r) // 4 for r in raw], dtype=np.int64)
             for d in np.unique(lengths).tolist():
                 rows = np.flatnonzero(lengths == d)
-                wide = 1 << (d - 1).bit_length()
                 for at in range(0, len(rows), 2048):
                     own = rows[at : at + 2048]
-                    x = np.zeros((len(own), wide))
-                    x[:, :d] = np.frombuffer(b"".join(raw[i] for i in own), np.float32).reshape(len(own), d)
+                    mine = pa.array([raw[i] for i in own], pa.binary())
+                    x = _padded([raw[i] for i in own], d)
                     for table in range(s.tables):
-                        code = probes(x, table, *forms[d], s.probes, s)
+                        code = probes(x, table, *forms[d], s)
                         many = code.shape[1]
                         yield pa.RecordBatch.from_arrays(
                             [
@@ -145,36 +219,39 @@ def nearest(vectors: DataFrame, settings: Settings = Settings()) -> DataFrame:
                                 pa.array(code.ravel()),
                                 pa.array(np.repeat(ids[own], many)),
                                 pa.array(np.tile(np.arange(many) == 0, len(own))),
-                                pa.array([raw[i] for i in own], pa.binary()).take(pa.array(np.repeat(np.arange(len(own)), many))),
+                                mine.take(pa.array(np.repeat(np.arange(len(own)), many))),
                             ],
-                            names=["d", "table", "bucket", "id", "home", "v"],
+                            names=["d", "table", "bucket", "rep", "home", "v"],
                         )
 
-    hashed = units.mapInArrow(run, "d int, table int, bucket long, id long, home boolean, v binary")
+    hashed = reps.mapInArrow(run, "d int, table int, bucket long, rep long, home boolean, v binary")
 
     def rank(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids = pdf["id"].to_numpy(np.int64)
+        ids = pdf["rep"].to_numpy(np.int64)
         x = np.frombuffer(b"".join(pdf["v"]), np.float32).reshape(len(ids), -1)
         home = np.flatnonzero(pdf["home"].to_numpy())
         home = home[np.argsort(ids[home], kind="stable")]
-        if len(home) < 1:
-            return pd.DataFrame({"vec_id": [], "found": [], "cosine": []}).astype({"vec_id": "int64", "found": "int64", "cosine": "float64"})
-        out = []
-        for at in range(0, len(ids), 1024):
-            dots = x[at : at + 1024].astype(np.float64) @ x[home].T.astype(np.float64)
-            dots[ids[at : at + 1024, None] == ids[home][None]] = -2
-            many = min(s.k, len(home))
-            top = np.argsort(-dots, axis=1, kind="stable")[:, :many]
-            value = np.take_along_axis(dots, top, axis=1)
-            real = value > -2
-            out.append(pd.DataFrame({"vec_id": np.repeat(ids[at : at + 1024], many)[real.ravel()], "found": ids[home][top][real], "cosine": value[real]}))
+        out = [pd.DataFrame({"rep": np.zeros(0, np.int64), "found": np.zeros(0, np.int64), "cosine": np.zeros(0)})]
+        for at in range(0, len(ids) if len(home) else 0, 1024):
+            part = x[at : at + 1024]
+            top = _best(part @ x[home].T, s.k + 1)
+            row = np.repeat(np.arange(len(part)), top.shape[1])
+            other = home[top.ravel()]
+            cosine = (part[row].astype(np.float64) * x[other]).sum(axis=1)
+            out.append(pd.DataFrame({"rep": ids[at + row], "found": ids[other], "cosine": cosine}))
         return pd.concat(out)
 
-    found = hashed.groupBy("d", "table", "bucket").applyInPandas(rank, "vec_id long, found long, cosine double")
-
-    # A bucket's best k hold all of its vectors that can be among the best k of all buckets.
-    best = found.groupBy("vec_id", "found").agg(F.max("cosine").alias("cosine"))
-    lists = best.groupBy("vec_id").agg(F.sort_array(F.collect_list(F.struct((-F.col("cosine")).alias("c"), F.col("found").alias("f")))).alias("all"))
-    return lists.select("vec_id", F.posexplode(F.slice("all", 1, s.k)).alias("at", "x")).select(
+    found = hashed.groupBy("d", "table", "bucket").applyInPandas(rank, "rep long, found long, cosine double")
+    # A bucket's best k + 1, the query itself among them, hold all of its vectors that can be among the best k of all buckets.
+    best = found.groupBy("rep", "found").agg(F.max("cosine").alias("cosine"))
+    ordered = F.sort_array(F.collect_list(F.struct((-F.col("cosine")).alias("c"), F.col("found").alias("f"))))
+    lists = stored(best.groupBy("rep").agg(F.slice(ordered, 1, s.k + 1).alias("all")), "lists")
+    copies = ranked.where(F.col("nth") <= s.k + 1).groupBy("rep").agg(F.collect_list("id").alias("ids")).where("size(ids) > 1")
+    spread = lists.select("rep", F.explode("all").alias("x")).select("rep", "x.c", "x.f").join(copies.withColumnRenamed("rep", "f"), "f", "left")
+    spread = spread.select("rep", "c", F.explode(F.coalesce("ids", F.array("f"))).alias("f"))
+    full = spread.groupBy("rep").agg(F.slice(F.sort_array(F.collect_list(F.struct("c", "f"))), 1, s.k + 1).alias("all"))
+    each = ranked.select("id", "rep").join(full, "rep")
+    others = F.slice(F.filter("all", lambda x: x["f"] != F.col("id")), 1, s.k)
+    return each.select(F.col("id").alias("vec_id"), F.posexplode(others).alias("at", "x")).select(
         "vec_id", F.col("x.f").alias("neighbour_id"), (F.col("at") + 1).cast("int").alias("rank"), (-F.col("x.c")).alias("cosine")
     )

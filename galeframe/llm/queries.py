@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from galeframe.llm import bpe, decontaminate, langid, licenses, passages, quality, simhash, toxicity
+from galeframe.llm import bpe, decontaminate, langid, licenses, neighbours, passages, quality, simhash, toxicity, urls
 from galeframe.llm.common import read
 
 
+def op1_urls(spark, sf_dir):
+    """The words and the score of every page's URL."""
+    return urls.classify(read(spark, sf_dir, "pages"))
+
+
 def op2_simhash(spark, sf_dir):
     """All groups of copies and near copies among the documents."""
     return simhash.groups(read(spark, sf_dir, "documents"))
@@ -26,6 +31,11 @@ def op5_licenses(spark, sf_dir):
     return licenses.scan(read(spark, sf_dir, "documents"))
 
 
+def op6_neighbours(spark, sf_dir):
+    """The nearest neighbours of every vector."""
+    return neighbours.nearest(read(spark, sf_dir, "embeddings"))
+
+
 def op7_langid(spark, sf_dir):
     """The language of every document, from a model fitted on their own lang column."""
     return langid.identify(read(spark, sf_dir, "documents"))
@@ -47,10 +57,12 @@ def op10_quality(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_urls": op1_urls,
     "op2_simhash": op2_simhash,
     "op3_decontaminate": op3_decontaminate,
     "op4_bpe": op4_bpe,
     "op5_licenses": op5_licenses,
+    "op6_neighbours": op6_neighbours,
     "op7_langid": op7_langid,
     "op8_toxicity": op8_toxicity,
     "op9_suffix": op9_suffix,
