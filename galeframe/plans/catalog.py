@@ -1,4 +1,552 @@
-"""All queries over the test tables, by name."""
+"""Queries that apply the library's operators to the driver's tables, with DuckDB SQL that states their results.
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+The tables stand in for wind data: customers and suppliers are turbines and control points (coordinates from their keys),
+orders are observations, events are hourly measurements. Floats are rounded alike on both sides.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from galeframe.functions import scalars, timeslice
+from galeframe.functions.aggregates import mean_over_present_weights
+from galeframe.operators import bias, columns, errors, geo, gridding, metadata, series, wind
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def rounded(df: DataFrame, *names: str, places: int = 6) -> DataFrame:
+    """Doubles rounded half up; -0.0 becomes 0.0."""
+    return df.withColumns({n: F.round(F.col(n), places) + 0.0 for n in names})
+
+
+def points(spark, sf_dir, name: str, key: str, *more) -> DataFrame:
+    """(ID, lon, lat): coordinates from the key by whole numbers, so that all engines agree."""
+    k = F.col(key)
+    return table(spark, sf_dir, name).select(k.alias("ID"), (5 + (k * 37 % 101) / 10.0).alias("lon"), (50 + (k * 53 % 71) / 10.0).alias("lat"), *more)
+
+
+def gen_cf(spark, sf_dir) -> DataFrame:
+    """(year, month, cluster, capacity, obs, sim) of order lines; an obs is missing for every tenth order."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.year("o_orderdate").alias("year"), F.month("o_orderdate").alias("month"))
+    l = table(spark, sf_dir, "lineitem").join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+    price = F.col("l_extendedprice")
+    obs = F.when(F.col("l_orderkey") % 10 != 0, price * (1 - F.col("l_discount")))
+    return l.select("year", "month", (F.col("l_suppkey") % 4).cast("int").alias("cluster"), F.col("l_quantity").alias("capacity"), obs.alias("obs"), price.alias("sim"))
+
+
+_GEN = """select year(o_orderdate) as year, month(o_orderdate) as month, cast(l_suppkey % 4 as integer) as cluster, l_quantity as capacity,
+    case when l_orderkey % 10 <> 0 then l_extendedprice * (1 - l_discount) end as obs, l_extendedprice as sim
+  from lineitem join orders on l_orderkey = o_orderkey"""
+_SEASON = "case when month in (12, 1, 2) then 'winter' when month in (3, 4, 5) then 'spring' when month in (6, 7, 8) then 'summer' else 'autumn' end"
+_SCALARS = f"""select year, {_SEASON} as time_slice, cluster, coalesce(sum(obs * capacity), 0) / sum(capacity) as obs, sum(sim * capacity) / sum(capacity) as sim
+  from ({_GEN}) group by all"""
+
+
+@query(f"select cast(year as integer) as year, time_slice, cluster, round(obs, 4) as obs, round(sim, 4) as sim, round(obs / sim, 6) as scalar from ({_SCALARS})")
+def weighted_bias_by_season(spark, sf_dir):
+    return rounded(rounded(bias.scalars(gen_cf(spark, sf_dir), "season"), "obs", "sim", places=4), "scalar")
+
+
+@query(f"""with t as (select *, case when cluster = 3 and time_slice = 'winter' then 0 else obs / sim end as scalar, 0.25 * cluster as o from ({_SCALARS}))
+select cluster, time_slice, round(coalesce(avg(nullif(scalar, 0)), 1), 6) as scalar, round(case when avg(nullif(scalar, 0)) is null then 0 else avg(o) end, 6) as "offset" from t group by 1, 2""")
+def factors_mean_over_years(spark, sf_dir):
+    t = bias.scalars(gen_cf(spark, sf_dir), "season")
+    t = t.withColumn("scalar", F.when((F.col("cluster") == 3) & (F.col("time_slice") == "winter"), 0.0).otherwise(F.col("scalar")))
+    return rounded(bias.factors(t.withColumn("offset", 0.25 * F.col("cluster"))), "scalar", "offset")
+
+
+@query("select o_custkey as ID, cast(year(o_orderdate) as integer) as year, cast(ceil(month(o_orderdate) / 2.0) as integer) || '/6' as time_slice, round(avg(o_totalprice), 4) as obs, count(*) as n from orders group by all")
+def period_mean_by_entity(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("ID"), F.year("o_orderdate").alias("year"), F.month("o_orderdate").alias("month"), "o_totalprice")
+    g = o.groupBy("ID", "year", timeslice.slice_of(F.col("month"), "bimonth").alias("time_slice")).agg(F.avg("o_totalprice").alias("obs"), F.count("*").alias("n"))
+    return rounded(g, "obs", places=4)
+
+
+@query("""with m as (select month(o_orderdate) as m, o_totalprice as p from orders), s as (
+  select 'fixed' as time_res, '1/1' as time_slice, p from m union all select 'bimonth', cast(ceil(m / 2.0) as integer) || '/6', p from m union all select 'month', cast(m as varchar), p from m
+  union all select 'season', case when m in (12, 1, 2) then 'winter' when m < 6 then 'spring' when m < 9 then 'summer' else 'autumn' end, p from m)
+select time_res, time_slice, count(*) as n, round(avg(p), 4) as mean from s group by 1, 2""")
+def time_slices_all(spark, sf_dir):
+    # Months are averaged first; the twelve rows then meet the slices of all resolutions.
+    per = table(spark, sf_dir, "orders").groupBy(F.month("o_orderdate").alias("month")).agg(F.sum("o_totalprice").alias("s"), F.count("*").alias("c"))
+    joined = per.join(F.broadcast(timeslice.dimension(spark)), "month")
+    return rounded(joined.groupBy("time_res", "time_slice").agg(F.sum("c").alias("n"), (F.sum("s") / F.sum("c")).alias("mean")), "mean", places=4)
+
+
+@query("""with g as (select year(o_orderdate) as y, month(o_orderdate) as m, sum(o_totalprice) as kwh from orders group by 1, 2), t as (select sum((c_custkey % 40 + 10) * 100.0) as kw from customer)
+select cast(y as integer) as year, cast(m as integer) as month, round(kwh / ((select kw from t) * 24 * day(last_day(make_date(y, m, 1)))), 9) as obs from g""")
+def cf_from_generation(spark, sf_dir):
+    g = table(spark, sf_dir, "orders").groupBy(F.year("o_orderdate").alias("year"), F.month("o_orderdate").alias("month")).agg(F.sum("o_totalprice").alias("output_kwh"))
+    kw = table(spark, sf_dir, "customer").select(((F.col("c_custkey") % 40 + 10) * 100.0).alias("capacity"))
+    return rounded(bias.country_generation_to_cf(g, kw), "obs", places=9)
+
+
+@query("""select o_custkey as ID, cast(year(o_orderdate) as integer) as year, cast(month(o_orderdate) as integer) as month,
+  o_totalprice / (24 * day(last_day(o_orderdate)) * ((o_custkey % 40 + 10) * 100e0)) as obs from orders""")
+def turbine_cf_from_generation(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("ID"), F.year("o_orderdate").alias("year"), F.month("o_orderdate").alias("month"), F.col("o_totalprice").alias("obs"))
+    kw = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("ID"), ((F.col("c_custkey") % 40 + 10) * 100.0).alias("capacity"))
+    return bias.generation_to_cf(o, kw)
+
+
+def _resampled(unit: str):
+    def f(spark, sf_dir):
+        r = series.resample(table(spark, sf_dir, "events"), unit, ["user_id"], ["value"], "ts")
+        return rounded(r.withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss")), "value")
+
+    f.__name__ = {"day": "daily_mean", "hour": "hourly_mean", "month": "monthly_mean"}[unit]
+    return query(f"select user_id, strftime(date_trunc('{unit}', ts), '%Y-%m-%d %H:%M:%S') as ts, round(avg(value), 6) as value from events group by 1, 2")(f)
+
+
+for _unit in ("day", "hour", "month"):
+    _resampled(_unit)
+
+
+def _gappy(spark, sf_dir, expr: str):
+    return table(spark, sf_dir, "events").select("event_id", "user_id", "ts", F.expr(f"case when {expr} then value end").alias("value"))
+
+
+@query("""select event_id, user_id, first_value(case when event_id % 3 <> 0 then value end ignore nulls) over (partition by user_id order by ts, event_id rows between current row and unbounded following) as value from events""")
+def backfill_value(spark, sf_dir):
+    return series.backfill(_gappy(spark, sf_dir, "event_id % 3 <> 0"), ["user_id"], ["ts", "event_id"], "value").select("event_id", "user_id", "value")
+
+
+@query("""with a as (select event_id, user_id, ts, case when event_id % 7 in (0, 1) then value end as v, row_number() over (partition by user_id order by ts, event_id) as i from events),
+b as (select *, last_value(v ignore nulls) over back as p, first_value(v ignore nulls) over ahead as n, last_value(case when v is not null then i end ignore nulls) over back as pi,
+  first_value(case when v is not null then i end ignore nulls) over ahead as ni from a
+  window back as (partition by user_id order by i rows between unbounded preceding and current row), ahead as (partition by user_id order by i rows between current row and unbounded following))
+select event_id, user_id, round(case when v is not null then v when least(coalesce(i - pi, 1000000000), coalesce(ni - i, 1000000000)) > 2 then null when p is null then n when n is null then p
+  else p + (n - p) * (i - pi) / (ni - pi) end, 6) as value from b""")
+def interpolate_limit(spark, sf_dir):
+    g = _gappy(spark, sf_dir, "event_id % 7 in (0, 1)")
+    return rounded(series.interpolate(g, ["user_id"], ["ts", "event_id"], "value", 2).select("event_id", "user_id", "value"), "value")
+
+
+@query("""with y as (select o_custkey as ID, year(o_orderdate) as year, round(sum(o_totalprice), 2) as total from orders group by 1, 2)
+select ID, cast(year as integer) as year, total from (select *, count(*) over (partition by ID) as c from y) where c = (select max(year) - min(year) + 1 from y)""")
+def complete_periods(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("ID"), F.year("o_orderdate").alias("year")).agg(F.round(F.sum("o_totalprice"), 2).alias("total"))
+    return columns.complete_years(o)
+
+
+def _monthly_cf(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    cf = F.when(F.col("o_orderkey") % 11 == 0, 0.0).otherwise(F.col("o_totalprice") / 300000.0)
+    return o.groupBy(F.col("o_custkey").alias("ID"), F.year("o_orderdate").alias("year"), F.month("o_orderdate").alias("month")).agg(F.max(cf).alias("obs"))
+
+
+_MONTHLY = "select o_custkey as ID, year(o_orderdate) as year, month(o_orderdate) as month, max(case when o_orderkey % 11 = 0 then 0.0 else o_totalprice / 300000.0 end) as obs from orders group by all"
+
+
+@query(f"""with m as ({_MONTHLY}), ok as (select ID, year from m group by 1, 2 having max(obs) <= 1 and min(obs) > 0.01 and coalesce(avg(nullif(obs, 0)), 1) > 0.01)
+select m.ID, cast(m.year as integer) as year, cast(m.month as integer) as month, round(nullif(obs, 0), 9) as obs from m join ok using (ID, year)""")
+def clean_observations(spark, sf_dir):
+    wide = columns.clean_observations(columns.pivot_months(_monthly_cf(spark, sf_dir)), train=True, country="DK")
+    return rounded(columns.melt_months(wide).where("obs is not null"), "obs", places=9)
+
+
+@query(f"select ID, cast(year as integer) as year, {', '.join(f'round(max(case when month = {m} then obs end), 9) as obs_{m}' for m in range(1, 13))} from ({_MONTHLY}) group by 1, 2")
+def long_to_wide(spark, sf_dir):
+    return rounded(columns.pivot_months(_monthly_cf(spark, sf_dir)), *columns.month_names(), places=9)
+
+
+@query(f"""with y as (select distinct ID, year from ({_MONTHLY})), m as ({_MONTHLY})
+select y.ID, cast(y.year as integer) as year, cast(k as integer) as month, round(obs, 9) as obs from y cross join range(1, 13) t(k) left join m on m.ID = y.ID and m.year = y.year and m.month = k""")
+def wide_to_long(spark, sf_dir):
+    return rounded(columns.melt_months(columns.pivot_months(_monthly_cf(spark, sf_dir))), "obs", places=9)
+
+
+@query("""with r as (select s_suppkey * 7 % 997 as k, min(s_suppkey) as s_suppkey from supplier group by 1), d as (
+  select p_partkey, r.k, s_suppkey, abs(p_partkey * 3 % 1013 - r.k) as dist from part, r), b as (select *, row_number() over (partition by p_partkey order by dist, k) as n from d)
+select p_partkey, cast(p_partkey * 3 % 1013 as double) as key, case when dist <= 5 then s_suppkey end as s_suppkey from b where n = 1""")
+def nearest_asof_tolerance(spark, sf_dir):
+    left = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") * 3 % 1013).cast("double").alias("key"))
+    right = table(spark, sf_dir, "supplier").select((F.col("s_suppkey") * 7 % 997).alias("k"), "s_suppkey")
+    return series.nearest_match(left, right, "key", "k", 5).select("p_partkey", "key", "s_suppkey")
+
+
+@query()
+def fuzzy_manufacturer(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    return rounded(metadata.similar(p.select(F.lower("p_name")), p.select(F.lower("p_type"))), "ratio")
+
+
+@query()
+def model_assignment(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    models = p.where("p_partkey % 7 = 0").select(F.col("p_brand").alias("manufacturer"), F.concat(F.lit("M"), F.col("p_partkey")).alias("model"), (200 + F.col("p_size") * 6.0).alias("p_density"))
+    models = models.groupBy("manufacturer", "p_density").agg(F.min("model").alias("model"))
+    t = points(spark, sf_dir, "part", "p_partkey", F.col("p_brand").alias("manufacturer"), (500 + F.col("p_size") * 60.0).alias("capacity"), F.lit(80.0).alias("diameter"), F.lit(100.0).alias("height"))
+    return rounded(metadata.assign_models(t, models), "p_density")
+
+
+def _reanalysis(spark, days: int = 3) -> DataFrame:
+    """A daily grid of 0.5 degrees with winds and roughness from whole numbers."""
+    i, j, t = (spark.range(n).select(F.col("id").alias(a)) for n, a in ((28, "i"), (18, "j"), (days, "t")))
+    g = i.crossJoin(j).crossJoin(t)
+    w = 6 + (F.col("i") * 7 + F.col("j") * 11 + F.col("t") * 5) % 23 / 4.0
+    z = 0.01 * (1 + (F.col("i") + F.col("j") * 3) % 9)
+    return g.select(F.expr("timestamp_ntz'2020-01-31 00:00:00' + make_dt_interval(cast(t as int))").alias("time"), (49.5 + F.col("j") * 0.5).alias("lat"), (4.0 + F.col("i") * 0.5).alias("lon"), w.alias("wnd100m"), z.alias("roughness"))
+
+
+_GRID = """select timestamp '2020-01-31' + to_days(cast(t as integer)) as time, 49.5 + j * 0.5e0 as lat, 4.0 + i * 0.5e0 as lon, 6 + (i * 7 + j * 11 + t * 5) % 23 / 4e0 as wnd100m, 0.01e0 * (1 + (i + j * 3) % 9) as roughness
+  from range(28) a(i), range(18) b(j), range(3) c(t)"""
+_TURB = """select c_custkey as ID, 5 + (c_custkey * 37 % 101) / 10e0 as lon, 50 + (c_custkey * 53 % 71) / 10e0 as lat, 60e0 + c_custkey % 7 * 13 as height, 'M' || (c_nationkey % 3) as model,
+  (c_custkey % 40 + 10) * 100e0 as capacity from customer"""
+_STENCIL = f"""select ID, lat0 + dj * 0.5e0 as lat, lon0 + di * 0.5e0 as lon, (case when di = 1 then tx else 1 - tx end) * (case when dj = 1 then ty else 1 - ty end) as weight, height, model from (
+  select *, (lon - lon0) / 0.5e0 as tx, (lat - lat0) / 0.5e0 as ty from (select *, 4 + floor((lon - 4) / 0.5e0) * 0.5e0 as lon0, 49.5 + floor((lat - 49.5) / 0.5e0) * 0.5e0 as lat0 from ({_TURB}))), range(2) a(di), range(2) b(dj)"""
+_WIND = f"""select g.time, s.ID, s.model, sum(weight * (wnd100m * ln(height / roughness) / ln(100 / roughness))) as ws from ({_STENCIL}) s join ({_GRID}) g on g.lat = s.lat and g.lon = s.lon group by all"""
+
+
+def _turbines(spark, sf_dir) -> DataFrame:
+    k = F.col("c_custkey")
+    return points(spark, sf_dir, "customer", "c_custkey", (60.0 + k % 7 * 13).alias("height"), F.concat(F.lit("M"), F.col("c_nationkey") % 3).alias("model"), ((k % 40 + 10) * 100.0).alias("capacity"))
+
+
+@query(f"select strftime(time, '%Y-%m-%d') as day, ID, round(ws, 6) as ws from ({_WIND})")
+def bilinear_stencil(spark, sf_dir):
+    w = wind.wind_at(_reanalysis(spark), _turbines(spark, sf_dir))
+    return rounded(w.select(F.date_format("time", "yyyy-MM-dd").alias("day"), "ID", "ws"), "ws")
+
+
+@query("""select l_orderkey, l_linenumber, round((l_quantity / 4) * ln((40 + l_linenumber * 10e0) / greatest(l_discount, 1e-6)) / ln(100 / greatest(l_discount, 1e-6)), 6) as ws from lineitem""")
+def log_profile(spark, sf_dir):
+    l = table(spark, sf_dir, "lineitem")
+    ws = scalars.log_profile(F.col("l_quantity") / 4, 40 + F.col("l_linenumber") * 10.0, F.col("l_discount"))
+    return rounded(l.select("l_orderkey", "l_linenumber", ws.alias("ws")), "ws")
+
+
+@query("""with w as (select l_orderkey, l_linenumber, l_quantity / 5 as w10, l_quantity / 5 * (1 + l_tax * 5) as w100 from lineitem), z as (
+  select *, case when abs(w100 - w10) > 1e-4 then (w100 * ln(10) - w10 * ln(100)) / (w100 - w10) end as l from w)
+select l_orderkey, l_linenumber, round(case when l < 0 then greatest(exp(least(greatest(l, ln(1e-6)), ln(2))), 1e-6) end, 9) as z0 from z""")
+def roughness_from_two_heights(spark, sf_dir):
+    w10 = F.col("l_quantity") / 5
+    z = scalars.roughness(scalars.log_roughness(w10, w10 * (1 + F.col("l_tax") * 5)))
+    return rounded(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", z.alias("z0")), "z0", places=9)
+
+
+def _curves(spark) -> DataFrame:
+    """Three curves with nodes at 0, 1, ..., 25 m/s: a cubic rise to rated power."""
+    m, s = spark.range(3).select(F.col("id").alias("m")), spark.range(26).select(F.col("id").alias("s"))
+    cf = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.pow((F.col("s") - 3) / (8.0 + F.col("m")), F.lit(3.0))))
+    return m.crossJoin(s).select(F.concat(F.lit("M"), "m").alias("model"), F.col("m").cast("int").alias("ordinal"), F.col("s").cast("double").alias("speed"), cf.alias("cf"))
+
+
+_CURVE = "select 'M' || m as model, m, s, least(1e0, greatest(0e0, pow((s - 3) / (8e0 + m), 3))) as cf from range(3) a(m), range(26) b(s)"
+
+
+@query(f"""with c as ({_CURVE}), w as (select l_orderkey, l_linenumber, 'M' || (l_suppkey % 3) as model, l_quantity / 1.7e0 - 1 as ws from lineitem)
+select l_orderkey, l_linenumber, round(case when ws < 0 then 0 when ws > 25 then 1 else a.cf + (b.cf - a.cf) * (ws - a.s) end, 6) as cf from w
+left join c a on a.model = w.model and a.s = least(24, floor(greatest(ws, 0))) left join c b on b.model = w.model and b.s = a.s + 1""")
+def powercurve_linear(spark, sf_dir):
+    l = table(spark, sf_dir, "lineitem")
+    w = l.select("l_orderkey", "l_linenumber", F.concat(F.lit("M"), F.col("l_suppkey") % 3).alias("model"), (F.col("l_quantity") / 1.7 - 1).alias("ws"))
+    return rounded(wind.to_capacity_factor(w, wind.linear_segments(_curves(spark)), "clamp").select("l_orderkey", "l_linenumber", "cf"), "cf")
+
+
+_AKIMA = f"""c as ({_CURVE}), d as (select a.model, a.s as i, b.cf - a.cf as m, a.cf as y from c a join c b on a.model = b.model and b.s = a.s + 1),
+e as (select model, i, m from d union all select model, -1, 2 * max(case when i = 0 then m end) - max(case when i = 1 then m end) from d group by 1
+  union all select model, -2, 3 * max(case when i = 0 then m end) - 2 * max(case when i = 1 then m end) from d group by 1
+  union all select model, 25, 2 * max(case when i = 24 then m end) - max(case when i = 23 then m end) from d group by 1
+  union all select model, 26, 3 * max(case when i = 24 then m end) - 2 * max(case when i = 23 then m end) from d group by 1),
+f as (select model, i, m as r, lag(m) over w as l, abs(lead(m) over w - m) as a, abs(lag(m) over w - lag(m, 2) over w) as b from e window w as (partition by model order by i)),
+g as (select *, max(a + b) over (partition by model) as most from f where i between 0 and 25),
+t as (select model, i, case when a + b <= 1e-9 * most then (l + r) / 2 else (a * l + b * r) / (a + b) end as t from g),
+seg as (select d.model, d.i, y as c0, p.t as c1, 3 * m - 2 * p.t - q.t as c2, p.t + q.t - 2 * m as c3 from d join t p on p.model = d.model and p.i = d.i join t q on q.model = d.model and q.i = d.i + 1)"""
+
+
+@query(f"""with {_AKIMA}, w as (select l_orderkey, l_linenumber, 'M' || (l_suppkey % 3) as model, l_quantity / 1.7e0 - 1 as ws from lineitem)
+select l_orderkey, l_linenumber, round(case when ws between 0 and 25 then c0 + (ws - i) * (c1 + (ws - i) * (c2 + (ws - i) * c3)) end, 6) as cf from w left join seg on seg.model = w.model and i = least(24, floor(ws))""")
+def powercurve_akima(spark, sf_dir):
+    l = table(spark, sf_dir, "lineitem")
+    w = l.select("l_orderkey", "l_linenumber", F.concat(F.lit("M"), F.col("l_suppkey") % 3).alias("model"), (F.col("l_quantity") / 1.7 - 1).alias("ws"))
+    return rounded(wind.to_capacity_factor(w, wind.akima_segments(_curves(spark))).select("l_orderkey", "l_linenumber", "cf"), "cf")
+
+
+def _factors(spark) -> DataFrame:
+    """Factors of clusters 0 to 2 for each season; the fourth cluster has none."""
+    f = timeslice.dimension(spark).where("time_res = 'season'").select("time_slice").distinct().crossJoin(spark.range(3).select(F.col("id").cast("int").alias("cluster")))
+    return f.select("cluster", "time_slice", (0.9 + 0.1 * F.col("cluster")).alias("scalar"), (F.length("time_slice") / 10.0 - 0.5).alias("offset"))
+
+
+@query(f"""with w as (select l_orderkey, l_linenumber, month(o_orderdate) as month, cast(l_suppkey % 4 as integer) as cluster, l_quantity / 2 as ws from lineitem join orders on l_orderkey = o_orderkey)
+select l_orderkey, l_linenumber, cluster, {_SEASON} as time_slice, round(case when cluster < 3 then ws * (0.9 + 0.1 * cluster) + length({_SEASON}) / 10e0 - 0.5 end, 6) as ws from w""")
+def apply_correction(spark, sf_dir):
+    l = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderdate").alias("time")), F.col("l_orderkey") == F.col("o_orderkey"))
+    w = l.select("l_orderkey", "l_linenumber", "time", (F.col("l_suppkey") % 4).cast("int").alias("cluster"), (F.col("l_quantity") / 2).alias("ws"))
+    return rounded(wind.correct(w, _factors(spark), "season").select("l_orderkey", "l_linenumber", "cluster", "time_slice", "ws"), "ws")
+
+
+@query(f"""with {_AKIMA}, w as ({_WIND}) select strftime(time, '%Y-%m-%d') as day, ID, round(case when ws between 0 and 25 then c0 + (ws - i) * (c1 + (ws - i) * (c2 + (ws - i) * c3)) end, 6) as cf
+from w left join seg on seg.model = w.model and i = least(24, floor(ws))""")
+def simulate_turbines(spark, sf_dir):
+    cf = wind.simulate(_reanalysis(spark), _turbines(spark, sf_dir), _curves(spark))
+    return rounded(cf.select(F.date_format("time", "yyyy-MM-dd").alias("day"), "ID", "cf"), "cf")
+
+
+@query(f"""with {_AKIMA}, w as ({_WIND}), sim as (select w.*, case when ws between 0 and 25 then c0 + (ws - i) * (c1 + (ws - i) * (c2 + (ws - i) * c3)) end as cf from w left join seg on seg.model = w.model and i = least(24, floor(ws)))
+select strftime(time, '%Y-%m-%d') as day, round(sum(cf * capacity) / sum(case when cf is not null then capacity end), 6) as cf from sim join ({_TURB}) t on t.ID = sim.ID group by 1""")
+def country_series(spark, sf_dir):
+    t = _turbines(spark, sf_dir)
+    cf = wind.country_series(wind.simulate(_reanalysis(spark), t, _curves(spark)), t, monthly=False)
+    return rounded(cf.select(F.date_format("time", "yyyy-MM-dd").alias("day"), "cf"), "cf")
+
+
+_CELLS = f"""select 4 + round_even((lon - 4) / 0.5e0, 0) * 0.5e0 as lon, 49.5 + round_even((lat - 49.5) / 0.5e0, 0) * 0.5e0 as lat, round_even(height / 10, 0) * 10 as height, model, capacity
+  from (select * replace (round(lon + 0.001, 3) as lon, round(lat + 0.001, 3) as lat) from ({_TURB}))"""
+
+
+@query(f"select round(lon, 1) as lon, round(lat, 1) as lat, height, model, sum(capacity) as capacity from ({_CELLS}) group by 1, 2, 3, 4")
+def aggregate_to_grid(spark, sf_dir):
+    t = _turbines(spark, sf_dir).withColumns({"lon": F.round(F.col("lon") + 0.001, 3), "lat": F.round(F.col("lat") + 0.001, 3)})
+    return rounded(wind.aggregate_to_grid(t, _reanalysis(spark, 1)).select("lon", "lat", "height", "model", "capacity"), "lon", "lat", places=1)
+
+
+@query()
+def simulate_country(spark, sf_dir):
+    s = wind.simulate_country(_reanalysis(spark), _turbines(spark, sf_dir), _curves(spark))
+    return rounded(s.select(F.date_format("time", "yyyy-MM-dd").alias("month_end"), "cf"), "cf")
+
+
+@query("""with h as (select user_id, ts, value as u, value / 2 as v from events)
+select user_id, strftime(date_trunc('day', ts), '%Y-%m-%d') as day, round(avg(sqrt(u * u + v * v)), 6) as wnd100m from h group by 1, 2""")
+def reanalysis_daily(spark, sf_dir):
+    # Users stand for grid nodes; the 10 m wind is three quarters of that at 100 m.
+    e = table(spark, sf_dir, "events").select(F.col("ts").alias("time"), F.lit(55.0).alias("lat"), F.col("user_id").cast("double").alias("lon"), F.col("value").alias("u100"), (F.col("value") / 2).alias("v100"), (F.col("value") * 0.75).alias("u10"), (F.col("value") * 0.375).alias("v10"))
+    r = wind.prepare_reanalysis(e)
+    return rounded(r.select(F.col("lon").cast("long").alias("user_id"), F.date_format("time", "yyyy-MM-dd").alias("day"), "wnd100m"), "wnd100m")
+
+
+@query()
+def kmeans_partition(spark, sf_dir):
+    t = points(spark, sf_dir, "customer", "c_custkey")
+    return bias.assign_clusters(bias.fit_clusters(t, 5, restarts=10), t).select("ID", "cluster")
+
+
+@query()
+def offset_solver(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.year("o_orderdate").alias("year"), F.month("o_orderdate").alias("month"))
+    l = table(spark, sf_dir, "lineitem").join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+    w = l.select("year", timeslice.slice_of(F.col("month"), "season").alias("time_slice"), (F.col("l_suppkey") % 4).cast("int").alias("cluster"), F.concat(F.lit("M"), F.col("l_suppkey") % 3).alias("model"), F.col("l_quantity").alias("capacity"), (4 + F.col("l_discount") * 80).alias("ws"))
+    segments = wind.akima_segments(_curves(spark))
+    sim = wind.to_capacity_factor(w, segments).groupBy("year", "time_slice", "cluster").agg(mean_over_present_weights(F.col("cf"), F.col("capacity")).alias("sim"))
+    trained = sim.withColumn("obs", F.col("sim") * (0.8 + 0.1 * F.col("cluster"))).withColumn("scalar", F.col("obs") / F.col("sim"))
+    return rounded(bias.offsets(trained, w, segments), "obs", "sim", "scalar", "offset", places=4)
+
+
+def _merged(spark, sf_dir) -> DataFrame:
+    """Customers as turbines: their mean order against a value from their key, by month."""
+    m = _monthly_cf(spark, sf_dir).where("obs > 0")
+    sim = m.select("ID", "year", "month", (F.col("obs") * (0.8 + F.col("ID") % 5 / 10.0)).alias("cf"))
+    c = F.col("c_custkey")
+    t = table(spark, sf_dir, "customer").select(c.alias("ID"), ((c % 40 + 10) * 100.0).alias("capacity"), F.col("c_nationkey").alias("region"), F.when(c % 3 == 0, "yes").otherwise("no").alias("in_training"), (c % 4).cast("int").alias("cluster"))
+    return errors.merged(sim, m, t, "region", "in_training", "cluster")
+
+
+_MERGED = f"""select ID, year, month, obs as cf_obs, obs * (0.8e0 + ID % 5 / 10e0) as cf_sim, (ID % 40 + 10) * 100e0 as capacity, c_nationkey as region, case when ID % 3 = 0 then 'yes' else 'no' end as in_training,
+  cast(ID % 4 as integer) as cluster from ({_MONTHLY}) join customer on c_custkey = ID where obs > 0"""
+
+
+@query(f"""select round(sqrt(avg(d * d)), 6) as rmse, round(avg(abs(d)), 6) as mae, round(avg(d), 6) as mbe from (select sum(cf_sim * capacity) / sum(capacity) - sum(cf_obs * capacity) / sum(capacity) as d from ({_MERGED}) group by month)""")
+def error_temporal(spark, sf_dir):
+    return rounded(errors.error("temporal-focus", _merged(spark, sf_dir)), "rmse", "mae", "mbe")
+
+
+_SPACE = "round(sqrt(sum(s * w) / sum(w)), 6) as rmse, round(sum(a * w) / sum(w), 6) as mae, round(sum(d * w) / sum(w), 6) as mbe"
+
+
+@query(f"select {_SPACE} from (select d * d as s, abs(d) as a, d, w from (select avg(cf_sim) - avg(cf_obs) as d, avg(capacity) as w from ({_MERGED}) group by ID))")
+def error_spatial(spark, sf_dir):
+    return rounded(errors.error("spatial-focus", _merged(spark, sf_dir)), "rmse", "mae", "mbe")
+
+
+@query(f"select {_SPACE} from (select avg((cf_sim - cf_obs) * (cf_sim - cf_obs)) as s, avg(abs(cf_sim - cf_obs)) as a, avg(cf_sim - cf_obs) as d, avg(capacity) as w from ({_MERGED}) group by ID)")
+def error_total(spark, sf_dir):
+    return rounded(errors.error("total", _merged(spark, sf_dir)), "rmse", "mae", "mbe")
+
+
+@query(f"""select cast(month as integer) as month, case when grouping(in_training) = 1 then 'Both' else in_training end as in_training, round(sum(cf_sim * capacity) / sum(capacity) - sum(cf_obs * capacity) / sum(capacity), 6) as diff, count(*) as n
+from ({_MERGED}) group by grouping sets ((month, in_training), (month))""")
+def error_grouping_sets(spark, sf_dir):
+    return rounded(errors.error("monthly-error", _merged(spark, sf_dir)), "diff")
+
+
+@query(f"""with e as (select ID, region, in_training, avg(cf_sim) as s, avg(cf_obs) as o, avg(capacity) as w from ({_MERGED}) group by 1, 2, 3), g as (
+  select region, in_training, grouping(in_training) as b, sum(s * w) / sum(w) as s, sum(o * w) / sum(w) as o, count(*) as n from e group by grouping sets ((region, in_training), (region)))
+select region, case when b = 1 then 'Both' else in_training end as in_training, round(case when b = 1 then s - o else abs(s - o) / o * 100 end, 6) as diff, n, round(o, 6) as cf_obs, round(s, 6) as cf_sim from g""")
+def error_regional(spark, sf_dir):
+    return rounded(errors.error("regional-error", _merged(spark, sf_dir)), "diff", "cf_obs", "cf_sim")
+
+
+@query(f"""select cluster, round(sum(s * w) / sum(w) - sum(o * w) / sum(w), 6) as diff, count(*) as n from (select ID, cluster, avg(cf_sim) as s, avg(cf_obs) as o, avg(capacity) as w from ({_MERGED}) group by 1, 2) group by 1""")
+def error_cluster(spark, sf_dir):
+    return rounded(errors.error("cluster-error", _merged(spark, sf_dir)), "diff")
+
+
+@query("""select n_name, s_suppkey, round(t * share, 4) as output, round(share, 9) as share from (select n_name, count(*) as t from nation join customer on c_nationkey = n_nationkey group by 1)
+cross join (select s_suppkey, (s_acctbal + 1000) / sum(s_acctbal + 1000) over () as share from supplier)""")
+def prorata_split(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").groupBy("c_nationkey").count()
+    n = table(spark, sf_dir, "nation").join(c, F.col("c_nationkey") == F.col("n_nationkey")).select("n_name", F.col("count").alias("t"))
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", (F.col("s_acctbal") + 1000).alias("w"))
+    shares = s.crossJoin(F.broadcast(s.agg(F.sum("w").alias("_all")))).select("s_suppkey", (F.col("w") / F.col("_all")).alias("share"))
+    out = shares.crossJoin(F.broadcast(n)).select("n_name", "s_suppkey", (F.col("t") * F.col("share")).alias("output"), "share")
+    return rounded(rounded(out, "output", places=4), "share", places=9)
+
+
+@query("""select lang, source, doc_id, n_chars from (select *, row_number() over (partition by lang, source order by case lang when 'de' then 0 when 'en' then 1 else 2 end, n_chars desc, doc_id) as n from documents) where n = 1""")
+def dedup_priority(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("lang", "source", "doc_id", "n_chars")
+    order = [F.when(F.col("lang") == "de", 0).when(F.col("lang") == "en", 1).otherwise(2), F.desc("n_chars"), F.asc("doc_id")]
+    return columns.latest_wins(d, ["lang", "source"], order)
+
+
+@query()
+def greedy_spatial_dedup(spark, sf_dir):
+    k = F.col("c_custkey")
+    p = table(spark, sf_dir, "customer").select(k.alias("ID"), (5 + (k * 7919 % 10007) / 9000.0).alias("lon"), (50 + (k * 104729 % 10009) / 9000.0).alias("lat"), (k % 3).cast("int").alias("priority"))
+    return geo.thin_by_distance(p, 0.25)
+
+
+@query("""with t as (select p_partkey as ID, case when p_size % 5 <> 0 then p_size / 10e0 end as mw, case when p_partkey % 4 <> 0 then p_size * 3e0 end as dia, case when p_partkey % 3 <> 0 then 50e0 + p_size end as h, case when p_partkey % 2 = 0 then 'onshore' else 'offshore' end as type from part),
+c as (select ID, type, coalesce(mw, median(mw) over (partition by type)) as mw, dia, h from t), d as (select *, least(greatest(coalesce(dia, 35 * sqrt(mw)), 40), 260) as dd from c)
+select ID, type, round(mw * 1000, 4) as capacity, round(dd, 6) as diameter, round(coalesce(h, dd * case type when 'onshore' then 1.1e0 else 0.9e0 end), 6) as height from d""")
+def impute_metadata(spark, sf_dir):
+    k, s = F.col("p_partkey"), F.col("p_size")
+    t = table(spark, sf_dir, "part").select(
+        k.alias("ID"), F.when(k % 2 == 0, "onshore").otherwise("offshore").alias("type"), F.when(s % 5 != 0, s / 10.0).alias("capacity"), F.when(k % 4 != 0, s * 3.0).alias("diameter"), F.when(k % 3 != 0, 50.0 + s).alias("height")
+    )
+    return rounded(rounded(metadata.impute(t), "capacity", places=4), "diameter", "height")
+
+
+@query("""select o_orderkey, case substr(o_orderpriority, 1, 1) when '1' then 'offshore' when '2' then 'onshore' else lower(trim(o_orderpriority)) end as domain, cast(substr(o_orderpriority, 1, 1) as double) as num,
+  o_totalprice / 1000 as mw, regexp_extract(trim(o_orderpriority), '^\\S+') as head, trim(o_orderpriority, '12345-') as bare from orders""")
+def recode_and_parse(spark, sf_dir):
+    o, p = table(spark, sf_dir, "orders"), F.col("o_orderpriority")
+    first = F.substring(p, 1, 1)
+    return o.select(
+        "o_orderkey", scalars.domain(F.when(first == "1", "sea").when(first == "2", "land").otherwise(p)).alias("domain"), scalars.extracted_number(first).alias("num"),
+        scalars.capacity_mw(F.concat(F.col("o_totalprice").cast("decimal(18,6)").cast("string"), F.lit(" kW"))).alias("mw"), scalars.first_word(p).alias("head"), scalars.stripped(p, "12345-").alias("bare"),
+    )
+
+
+@query("""select event_id, t as turbine, round(value / n, 6) as capacity from (select event_id, value, cast(props->>'k' as integer) % 4 + 1 as n from events), lateral (select unnest(range(n)) as t)""")
+def nested_expand(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("event_id", "value", (F.get_json_object("props", "$.k").cast("int") % 4 + 1).alias("n"))
+    x = e.select("event_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n").cast("long") - 1)).alias("turbine"), (F.col("value") / F.col("n")).alias("capacity"))
+    return rounded(x, "capacity")
+
+
+@query("select c_custkey, c_name from customer where c_custkey in (select o_custkey from orders where o_orderpriority like '1%')")
+def semi_join(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").where(F.col("o_orderpriority").startswith("1")).select(F.col("o_custkey").alias("c_custkey"))
+    return table(spark, sf_dir, "customer").select("c_custkey", "c_name").join(o, "c_custkey", "left_semi")
+
+
+@query("select c_custkey, c_name from customer where c_custkey not in (select o_custkey from orders where o_orderpriority like '1%')")
+def anti_join(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").where(F.col("o_orderpriority").startswith("1")).select(F.col("o_custkey").alias("c_custkey"))
+    return table(spark, sf_dir, "customer").select("c_custkey", "c_name").join(o, "c_custkey", "left_anti")
+
+
+_C = "select c_custkey as ID, 5 + (c_custkey * 37 % 101) / 10e0 as lon, 50 + (c_custkey * 53 % 71) / 10e0 as lat, c_acctbal as value from customer"
+_S = "select s_suppkey as ID, 5 + (s_suppkey * 37 % 101) / 10e0 as lon, 50 + (s_suppkey * 53 % 71) / 10e0 as lat, s_acctbal as value from supplier"
+
+
+@query(f"select cast(floor(lon / 0.5e0) as bigint) as lon_bin, cast(floor(lat / 0.5e0) as bigint) as lat_bin, round(avg(lon), 6) as lon, round(avg(lat), 6) as lat, round(avg(value), 4) as value from ({_C}) group by 1, 2")
+def spatial_bin(spark, sf_dir):
+    p = points(spark, sf_dir, "customer", "c_custkey", F.col("c_acctbal").alias("value"))
+    return rounded(rounded(geo.spatial_bins(p, 0.5, ["value"]), "lon", "lat"), "value", places=4)
+
+
+@query(f"""with p as ({_C}), o as (select floor(min(lat) / 2) * 2 as a, floor(min(lon) / 2) * 2 as b from p)
+select ID, cast(floor((lat - a) / 2) as integer) as tile_i, cast(floor((lon - b) / 2) as integer) as tile_j, cast(floor((lat - a) / 2) as integer) || '_' || cast(floor((lon - b) / 2) as integer) as tile from p, o""")
+def tile_assign(spark, sf_dir):
+    return geo.tiles(points(spark, sf_dir, "customer", "c_custkey"), 2.0).select("ID", "tile_i", "tile_j", "tile")
+
+
+_RINGS = [[[6.03, 51.02], [13.04, 50.51], [12.07, 55.53], [9.01, 53.04], [6.52, 56.01], [6.03, 51.02]], [[8.03, 51.52], [9.04, 51.51], [8.52, 52.53], [8.03, 51.52]]]
+_EDGES = ", ".join(f"({a[0]}e0, {a[1]}e0, {b[0]}e0, {b[1]}e0)" for r in _RINGS for a, b in zip(r, r[1:]))
+
+
+@query(f"""select ID, count(x1) % 2 = 1 as inside from ({_C}) p left join (values {_EDGES}) e(x1, y1, x2, y2) on (y1 > lat) <> (y2 > lat) and lon < (x2 - x1) * (lat - y1) / (y2 - y1) + x1 group by ID""")
+def point_in_polygon(spark, sf_dir):
+    edges = geo.polygon_edges(spark.createDataFrame([(0, _RINGS)], "region int, rings array<array<array<double>>>"))
+    return geo.inside(points(spark, sf_dir, "customer", "c_custkey"), edges).select("ID", "inside")
+
+
+_PAIRS = f"""select q.ID, c.value, c.lon, c.lat, 2 * 6371e0 * asin(sqrt(least(1, pow(sin(radians(c.lat - q.lat) / 2), 2) + cos(radians(q.lat)) * cos(radians(c.lat)) * pow(sin(radians(c.lon - q.lon) / 2), 2)))) as d
+  from ({_C}) q, (select lon, lat, avg(value) as value from ({_S}) group by 1, 2) c"""
+_NEAR = f"select * from (select *, row_number() over (partition by ID order by d, lon, lat) as n from ({_PAIRS})) where d <= 300"
+
+
+@query(f"select q.ID, round(n.value, 4) as prediction from ({_C}) q left join ({_NEAR}) n on n.ID = q.ID and n.n = 1")
+def nn_haversine(spark, sf_dir):
+    s = points(spark, sf_dir, "supplier", "s_suppkey", F.col("s_acctbal").alias("value"))
+    return rounded(gridding.nearest(points(spark, sf_dir, "customer", "c_custkey"), s, "value"), "prediction", places=4)
+
+
+@query(f"""select q.ID, round(coalesce(max(case when d = 0 then n.value end), sum(n.value * pow(greatest(d, 1e-12), -2)) / sum(pow(greatest(d, 1e-12), -2))), 4) as prediction
+from ({_C}) q left join ({_NEAR}) n on n.ID = q.ID and n.n <= 8 group by 1""")
+def idw_haversine(spark, sf_dir):
+    s = points(spark, sf_dir, "supplier", "s_suppkey", F.col("s_acctbal").alias("value"))
+    return rounded(gridding.idw(points(spark, sf_dir, "customer", "c_custkey"), s, "value"), "prediction", places=4)
+
+
+@query("""select y * 30 + x as ID, case when x < 20 and x >= 10 then x + y * 1e0 when x < 20 then x - y * 1e0 when x >= 10 then x + y * 1e0 end as prediction from range(30) a(x), range(20) b(y)""")
+def grid_overlay(spark, sf_dir):
+    g = gridding.target_grid(spark, list(range(30)), list(range(20))).withColumns({"onshore": F.col("lon") < 20, "offshore": F.col("lon") >= 10})
+    on, off = g.select("ID", (F.col("lon") - F.col("lat")).alias("prediction")), g.select("ID", (F.col("lon") + F.col("lat")).alias("prediction"))
+    return gridding.merge_surfaces(g, on, off).select("ID", "prediction")
+
+
+def _controls(spark, sf_dir):
+    k = F.col("c_custkey")
+    return points(spark, sf_dir, "customer", "c_custkey", (0.8 + (k % 17) / 40.0).alias("scalar"), ((k % 9) / 10.0 - 0.4).alias("offset"), F.when(k % 4 == 0, "offshore").otherwise("onshore").alias("mode"))
+
+
+@query()
+def blocked_cv(spark, sf_dir):
+    scores = gridding.cross_validate(_controls(spark, sf_dir), "onshore", "scalar", ["nearest", "idw"])
+    return rounded(scores, "mae", "rmse")
+
+
+def _coarse(spark):
+    return gridding.target_grid(spark, [5 + i / 2 for i in range(20)], [50 + i / 2 for i in range(14)])
+
+
+@query()
+def kriging_grid(spark, sf_dir):
+    return rounded(gridding.kriging(_coarse(spark), _controls(spark, sf_dir), "scalar"), "prediction")
+
+
+@query()
+def rbf_grid(spark, sf_dir):
+    return rounded(gridding.rbf(_coarse(spark), _controls(spark, sf_dir), "scalar"), "prediction")
+
+
+@query("select user_id, strftime(date_trunc('day', ts), '%Y-%m-%d') as day, round(avg(value), 6) as value, count(value) as n from events group by 1, 2")
+def stream_daily_window(spark, sf_dir):
+    from galeframe.streaming.windows import windowed_mean
+
+    w = windowed_mean(table(spark, sf_dir, "events"), ["user_id"], "value", "ts")
+    return rounded(w.select("user_id", F.date_format("start", "yyyy-MM-dd").alias("day"), "value", "n"), "value")
