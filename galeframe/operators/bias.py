@@ -122,7 +122,11 @@ def offsets(trained: DataFrame, wind: DataFrame, segments: DataFrame) -> DataFra
 
 
 def fit_clusters(turbines: DataFrame, clusters: int, restarts: int = 10, iterations: int = 300, seed: int = 42):
-    """A k-means model on (lat, lon): random starts, the cheapest of all restarts."""
+    """A k-means model on (lat, lon): random starts, the cheapest of all restarts. None for one cluster, which needs no model."""
+    if clusters < 1:
+        raise ValueError(f"no such number of clusters: {clusters}")
+    if clusters == 1:
+        return None
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import VectorAssembler
 
@@ -132,7 +136,9 @@ def fit_clusters(turbines: DataFrame, clusters: int, restarts: int = 10, iterati
 
 
 def assign_clusters(model, turbines: DataFrame) -> DataFrame:
-    """turbines with the number of the nearest centre."""
+    """turbines with the number of the nearest centre; 0 without a model. Turbines without coordinates fall out."""
+    if model is None:
+        return turbines.where("lat is not null and lon is not null").withColumn("cluster", F.lit(0))
     from pyspark.ml.feature import VectorAssembler
 
     points = VectorAssembler(inputCols=["lat", "lon"], outputCol="_f", handleInvalid="skip").transform(turbines)
