@@ -68,4 +68,11 @@ QUERIES = {
     "op9_suffix": op9_suffix,
     "op10_quality": op10_quality,
 }
-ORACLES: dict[str, str] = {}
+#: Every window of 50 words of every document, by its words themselves; the other operators hash, fit, merge or search approximately.
+OP9_SQL = """with w as (select doc_id, regexp_extract_all(lower(text), '[0-9a-z\\x{80}-\\x{10FFFF}]+') as w from documents where doc_id is not null and text is not null),
+g as (select doc_id, i - 1 as start, array_to_string(list_slice(w, i, i + 49), ' ') as win from (select doc_id, w, unnest(range(1, len(w) - 48)) as i from w)),
+m as (select doc_id, start, row_number() over (partition by win order by doc_id, start) > 1 as duplicate, count(*) over (partition by win) as n, min(doc_id) over (partition by win) as source from g),
+s as (select *, case when start - lag(start) over (partition by doc_id, duplicate order by start) <= 50 then 0 else 1 end as fresh from m where n > 1),
+k as (select *, sum(fresh) over (partition by doc_id, duplicate order by start) as span from s)
+select doc_id, min(start) as first_word, max(start) + 50 - min(start) as n_words, duplicate, min(source) as source_doc_id from k group by doc_id, duplicate, span"""
+ORACLES: dict[str, str] = {"op9_suffix": OP9_SQL}
