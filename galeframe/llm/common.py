@@ -21,12 +21,26 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+#: Workers give freed memory back, so what one job took isn't held while the next one runs.
+WORKERS = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "2", "MALLOC_MMAP_THRESHOLD_": "131072", "MALLOC_TRIM_THRESHOLD_": "131072"}
+#: Long texts make large batches of ten thousand rows; these bounds keep a batch, and its copies, to some MB.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864", "4194304")}
+
+
 def prepare(spark: SparkSession) -> None:
-    """Lets Python workers started on this host import the package, wherever the driver was started."""
+    """Lets Python workers started on this host import the package, wherever the driver was started, and bounds their memory.
+
+    Settings that the session has changed from Spark's defaults are left alone.
+    """
     environment = spark.sparkContext.environment
     paths = environment.get("PYTHONPATH", os.environ.get("PYTHONPATH", ""))
     if ROOT not in paths.split(os.pathsep):
         environment["PYTHONPATH"] = os.pathsep.join(p for p in (ROOT, paths) if p)
+    for name, value in WORKERS.items():
+        environment.setdefault(name, value)
+    for name, (default, value) in BATCHES.items():
+        if spark.conf.get(name, default).removesuffix("B").removesuffix("b") == default:
+            spark.conf.set(name, value)
 
 
 def shared_dir(spark: SparkSession) -> str:
