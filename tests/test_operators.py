@@ -180,11 +180,12 @@ def haversine(a, b):
     return 2 * 6371 * np.arcsin(np.sqrt(np.sin((y2 - y1) / 2) ** 2 + np.cos(y1) * np.cos(y2) * np.sin((x2 - x1) / 2) ** 2))
 
 
-@pytest.mark.parametrize("lat", [0, 55, 84])
-def test_neighbours_against_brute_force(spark, lat):
+@pytest.mark.parametrize(("lat", "lon"), [(0, 0), (55, 0), (84, 0), (20, 180)])
+def test_neighbours_against_brute_force(spark, lat, lon):
     rng = np.random.default_rng(lat)
-    c = np.c_[rng.uniform(-20, 20, 80), rng.uniform(lat - 4, lat + 4, 80)]
-    q = np.c_[rng.uniform(-20, 20, 30), rng.uniform(lat - 4, lat + 4, 30)]
+    turn = lambda x: (x + lon + 180) % 360 - 180
+    c = np.c_[turn(rng.uniform(-20, 20, 80)), rng.uniform(lat - 4, lat + 4, 80)]
+    q = np.c_[turn(rng.uniform(-20, 20, 30)), rng.uniform(lat - 4, lat + 4, 30)]
     controls = spark.createDataFrame([(float(x), float(y), float(i)) for i, (x, y) in enumerate(c)], "lon double, lat double, value double")
     queries = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(q)], "ID int, lon double, lat double")
     got = geo.neighbours(queries, controls, 3, 250.0).toPandas()
