@@ -79,7 +79,7 @@ def recode(c: Column, mapping: dict[str, str]) -> Column:
 
 def domain(c: Column) -> Column:
     """onshore or offshore from the words, flags and digits that stand for them; other values in small letters."""
-    known = {"land": "onshore", "inland": "onshore", "false": "onshore", "0": "onshore", "sea": "offshore", "ocean": "offshore", "true": "offshore", "1": "offshore"}
+    known = {"land": "onshore", "inland": "onshore", "false": "onshore", "0": "onshore", "ocean": "offshore", "1": "offshore", "sea": "offshore", "true": "offshore"}
     return recode(F.lower(F.trim(c.cast("string"))), known)
 
 

@@ -12,6 +12,9 @@ from galeframe.functions.timeslice import hours_in_month, slice_of
 from galeframe.operators.columns import clean_observations, complete_years, melt_months, month_names, remove_share, require
 from galeframe.operators.series import interpolate
 
+SLICE = ("year", "time_slice", "cluster")
+VALUES = ("sim", "obs", "scalar")
+
 
 def generation_to_cf(obs: DataFrame, turbines: DataFrame) -> DataFrame:
     """Monthly kWh of turbines (ID, year, month, obs) as capacity factors of their kW; unknown turbines get null."""
@@ -109,15 +112,14 @@ def offsets(trained: DataFrame, wind: DataFrame, segments: DataFrame) -> DataFra
             return at
 
         out["offset"] = [solve_offset(mean_cf(s), o, m) for s, o, m in zip(out["scalar"].astype(float), out["obs"].astype(float), out["sim"].astype(float))]
-        return out[["year", "time_slice", "cluster", "obs", "sim", "scalar", "offset"]]
+        return out[[*SLICE, *VALUES, "offset"]]
 
     types = dict(trained.dtypes)
-    schema = ", ".join(f"{c} {types[c]}" for c in ("year", "time_slice", "cluster", "obs", "sim", "scalar")) + ", offset double"
-    keys = ["year", "time_slice", "cluster"]
+    schema = ", ".join(f"{c} {types[c]}" for c in (*SLICE, *VALUES)) + ", offset double"
     # Fresh names keep the two sides apart where they come from one table.
-    own = trained.select(*keys, "obs", "sim", "scalar").toDF(*keys, "obs", "sim", "scalar")
-    speeds = wind.select(*keys, "model", "capacity", "ws").toDF("w_year", "w_slice", "w_cluster", "model", "capacity", "ws")
-    solved = own.groupBy(*keys).cogroup(speeds.groupBy("w_year", "w_slice", "w_cluster")).applyInPandas(solve, schema)
+    own = trained.select(*SLICE, *VALUES).toDF(*SLICE, *VALUES)
+    speeds = wind.select(*SLICE, "model", "capacity", "ws").toDF("w_year", "w_slice", "w_cluster", "model", "capacity", "ws")
+    solved = own.groupBy(*SLICE).cogroup(speeds.groupBy("w_year", "w_slice", "w_cluster")).applyInPandas(solve, schema)
     return solved.withColumn("offset", F.when(~F.isnan("offset"), F.col("offset")))
 
 

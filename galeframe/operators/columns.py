@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from galeframe.functions.scalars import number
 
+#: (lon_min, lon_max, lat_min, lat_max) of each country.
 BOXES = {
-    "UK": (-11.0, 3.0, 49.0, 61.0), "NL": (2.5, 7.5, 50.5, 53.8), "BE": (2.2, 6.6, 49.3, 51.8), "DE": (5.0, 16.0, 47.0, 55.2),
-    "DK": (7.5, 13.5, 54.0, 58.2), "NO": (4.0, 31.5, 57.5, 71.5), "FR": (-6.0, 10.5, 41.0, 51.5),
-}
+    line.split()[0]: tuple(map(float, line.split()[1:]))
+    for line in ("BE 2.2 6.6 49.3 51.8", "DE 5 16 47 55.2", "DK 7.5 13.5 54 58.2", "FR -6 10.5 41 51.5", "NL 2.5 7.5 50.5 53.8", "NO 4 31.5 57.5 71.5", "UK -11 3 49 61")
+}
 
 
 def require(df: DataFrame, *names: str) -> DataFrame:

@@ -16,12 +16,14 @@ SCHEMA = {
     "ID": "string", "capacity": "double", "diameter": "double", "height": "double", "manufacturer": "string", "lon": "double", "lat": "double", "type": "string",
 }
 
+NUMBERS = ("lon", "lat", "height", "diameter", "capacity")
+
 
 def standardise(df: DataFrame) -> DataFrame:
     """df with string IDs, numbers as numbers and a type (onshore by default), without heights of 1 m or less. No row left is an error."""
-    require(df, "ID", "capacity", "height", "lon", "lat")
+    require(df, "ID", "lon", "lat", "height", "capacity")
     out = numeric(df, "capacity", "height", "diameter", "lon", "lat").withColumn("ID", F.col("ID").cast("string"))
-    out = out.withColumn("type", F.coalesce(pick(df, "type"), F.lit("onshore"))).dropna(subset=["ID", "capacity", "height", "lon", "lat"]).where("height > 1")
+    out = out.withColumn("type", F.coalesce(pick(df, "type"), F.lit("onshore"))).dropna(subset=["ID", "lon", "lat", "height", "capacity"]).where("height > 1")
     if out.isEmpty():
         raise ValueError("no turbine has all of ID, capacity, height, lon and lat")
     return out
@@ -57,8 +59,7 @@ def flanders(df: DataFrame) -> DataFrame:
 
 def belgian_offshore(df: DataFrame) -> DataFrame:
     """Offshore points with whatever id column they have; one without gets a number by its place."""
-    candidates = ("id", "ID", "fid", "FID", "objectid", "OBJECTID", "uuid", "name", "Naam", "gml_id")
-    found = next((c for c in candidates if c in df.columns), None)
+    found = next((c for name in "id fid objectid uuid name naam gml_id".split() for c in df.columns if c.lower() == name), None)
     own = F.col(found).cast("string") if found else F.concat(F.lit("BE_OFF_"), F.hex(F.xxhash64("lon", "lat")))
     return conform(df.select(own.alias("ID"), number(F.col("lon")).alias("lon"), number(F.col("lat")).alias("lat"), F.lit("offshore").alias("type")), SCHEMA)
 
@@ -151,9 +152,9 @@ def assign_models(turbines: DataFrame, models: DataFrame, accept: float = 1.0, t
 
     Without either a turbine falls out, as do those without numbers or under 1 m. models: (manufacturer, model, p_density), a catalogue.
     """
-    t = numeric(require(turbines, "ID", "capacity", "diameter", "height", "lon", "lat"), "capacity", "diameter", "height", "lon", "lat")
-    t = t.dropna(subset=["ID", "capacity", "diameter", "height", "lon", "lat"]).where("height >= 1").select(
-        F.col("ID").cast("string").alias("ID"), F.coalesce(pick(turbines, "type"), F.lit("onshore")).alias("type"), "capacity", "diameter", "height", "lon", "lat",
+    t = numeric(require(turbines, "ID", *NUMBERS), *NUMBERS)
+    t = t.dropna(subset=["ID", *NUMBERS]).where("height >= 1").select(
+        F.col("ID").cast("string").alias("ID"), F.coalesce(pick(turbines, "type"), F.lit("onshore")).alias("type"), *NUMBERS,
         F.coalesce(F.lower(pick(turbines, "manufacturer")), F.lit("")).alias("maker"), specific_power(F.col("capacity"), F.col("diameter")).alias("p_density"),
     )
     m = models.select(F.coalesce(F.lower("manufacturer"), F.lit("")).alias("r"), F.col("model").alias("m_model"), F.col("p_density").alias("m_density"))
@@ -167,4 +168,4 @@ def assign_models(turbines: DataFrame, models: DataFrame, accept: float = 1.0, t
 
     df = t.join(F.broadcast(options), "maker", "left").crossJoin(F.broadcast(everything)).withColumns({"_m": nearest("_o"), "_f": nearest("_all")})
     model = F.coalesce(F.when(F.col("_m.d") < accept, F.col("_m.model")), F.when(F.col("_f.d") <= tolerance, F.col("_f.model")))
-    return df.withColumn("model", model).where("model is not null").select("ID", "type", "capacity", "diameter", "height", "lon", "lat", "p_density", "model")
+    return df.withColumn("model", model).where("model is not null").select("ID", "type", *NUMBERS, "p_density", "model")

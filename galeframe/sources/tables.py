@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from galeframe.functions.scalars import domain, first_word, number, recode, stripped, to_lonlat, utm_to_lonlat
 from galeframe.operators.columns import conform, month_names, pick, pivot_months, require
-from galeframe.operators.metadata import SCHEMA, belgium, enrichment, impute, norwegian_turbines
+from galeframe.operators.metadata import NUMBERS, SCHEMA, belgium, enrichment, impute, norwegian_turbines
 
 
 def csv(spark: SparkSession, path: str, schema: str | None = None, **options) -> DataFrame:
@@ -53,7 +53,7 @@ def rings(spark: SparkSession, path: str) -> DataFrame:
 def turbines_dk(df: DataFrame) -> DataFrame:
     """Danish metadata (ID, manufacturer, capacity, diameter, height, east, north, type as LAND or HAV); UTM zone 32."""
     lon, lat = utm_to_lonlat(number(F.col("east")), number(F.col("north")), 32)
-    kind = recode(F.lower(F.trim("type")), {"land": "onshore", "hav": "offshore"})
+    kind = recode(F.lower(F.trim("type")), {"hav": "offshore", "land": "onshore"})
     return _metadata(df.withColumns({"lon": lon, "lat": lat, "type": kind, "manufacturer": first_word(F.lower("manufacturer"))}))
 
 
@@ -92,7 +92,7 @@ def turbines_uk(df: DataFrame) -> DataFrame:
 
 
 def _metadata(df: DataFrame) -> DataFrame:
-    numbers = {c: number(F.col(c)) for c in ("capacity", "diameter", "height", "lon", "lat") if c in df.columns}
+    numbers = {c: number(F.col(c)) for c in NUMBERS if c in df.columns}
     return conform(df.withColumns(numbers), SCHEMA).dropna(subset=["ID", "lon", "lat"])
 
 
