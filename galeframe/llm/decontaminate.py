@@ -39,7 +39,7 @@ class Settings:
 
 
 def build(docs: DataFrame) -> DataFrame:
-    """The index of all texts, a row for each segment of about a million bytes or a single text.
+    """The index of all texts, a row for each segment of up to four million bytes or a single text.
 
     doc_ids: the segment's documents; first: where each one's words begin in the segment (int64, and the end of the last);
     terms: word hashes, ascending (uint64); counts: of each term (int32); places: ascending for each term (int32).
@@ -47,7 +47,7 @@ def build(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, limit=4 * CHUNK):
+            for part in slices(batch, limit=4 * CHUNK - 16):  # just under a power of two, to which words() rounds its tables up
                 w = words(part.column(1))
                 order = np.argsort(w.hash, kind="stable")
                 h = w.hash[order]
