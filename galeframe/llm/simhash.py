@@ -127,10 +127,12 @@ def candidates(nodes: DataFrame, settings: Settings = Settings()) -> DataFrame:
         links = np.frombuffer(b"".join(left["links"]), np.int32).reshape(len(key), -1) if len(key) else np.zeros((0, 1), np.int32)
         own = right["key"].to_numpy(np.int64)
         asked = np.ascontiguousarray(right[["hi", "lo"]].to_numpy(np.int64)).view(np.uint64)
-        q, node, recall = Graph(code, links).within(asked, s.radius, s.beam, s.recall)
+        if not len(key):
+            return pd.DataFrame({"a": own[:0], "b": own[:0], "d": own[:0].astype(np.int32), "recall": np.zeros(0)})
+        order = np.argsort(key)
+        at = order[np.minimum(np.searchsorted(key, own, sorter=order), len(key) - 1)]
+        q, node, recall = Graph(code, links).within(asked, s.radius, s.beam, s.recall, own=np.where(key[at] == own, at, -1))
         x, y = own[q], key[node]
-        other = x != y
-        x, y, q, node = x[other], y[other], q[other], node[other]
         return pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y), "d": distance(asked[q], code[node]).astype(np.int32), "recall": recall})
 
     found = (

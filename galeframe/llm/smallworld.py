@@ -1,7 +1,8 @@
 """Navigable small-world graphs over 128-bit codes under Hamming distance, in numpy.
 
 Codes are inserted in batches: each new node is linked to the nearest nodes that a beam search over the
-graph so far finds, and they are linked back to it. Searches go forward for many queries at a time.
+graph so far finds, and they are linked back to it; nodes of one batch are linked to their nearest in the batch
+as well. Searches go forward for many queries at a time.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 import numpy as np
 
 _MAX = np.iinfo(np.int64).max
-FORWARD, BACK, ENTRIES = 12, 20, 12
+FORWARD, BACK, PEERS, ENTRIES = 12, 20, 8, 12
 
 
 def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -29,7 +30,7 @@ def exact(codes: np.ndarray, queries: np.ndarray, radius: int) -> tuple[np.ndarr
 
 
 class Graph:
-    """codes: (n, 2) uint64; links: (n, FORWARD + BACK) int32, -1 where there is none."""
+    """codes: (n, 2) uint64; links: (n, FORWARD + BACK + PEERS) int32, -1 where there is none."""
 
     def __init__(self, codes: np.ndarray, links: np.ndarray):
         self.codes, self.links = codes, links
@@ -38,7 +39,7 @@ class Graph:
     def build(cls, codes: np.ndarray, beam: int = 48) -> Graph:
         """The graph of all codes, inserted in their order, in batches of up to half the nodes there are."""
         n = len(codes)
-        graph = cls(codes, np.full((n, FORWARD + BACK), -1, dtype=np.int32))
+        graph = cls(codes, np.full((n, FORWARD + BACK + PEERS), -1, dtype=np.int32))
         done = min(n, 256)
         for i in range(1, done):
             d = distance(codes[:i], codes[i])
@@ -50,6 +51,7 @@ class Graph:
             ids, _ = graph.search(codes[new], beam, size=done)
             graph.links[new, :FORWARD] = ids[:, :FORWARD]
             graph._link_back(new)
+            graph._link_peers(new)
             done = new[-1] + 1
         return graph
 
@@ -61,7 +63,7 @@ class Graph:
         if not len(to):
             return
         touched = np.unique(to)
-        old = self.links[touched, FORWARD:].astype(np.int64)
+        old = self.links[touched, FORWARD : FORWARD + BACK].astype(np.int64)
         have = old >= 0
         at = np.concatenate([np.broadcast_to(touched[:, None], old.shape)[have], to])
         of = np.concatenate([old[have], source])
@@ -71,18 +73,34 @@ class Graph:
         start = np.flatnonzero(begin)
         rank = np.arange(len(at)) - np.repeat(start, np.diff(np.append(start, len(at))))
         stay = rank < BACK
-        self.links[touched, FORWARD:] = -1
+        self.links[touched, FORWARD : FORWARD + BACK] = -1
         self.links[at[stay], FORWARD + rank[stay]] = of[stay]
 
-    def search(self, queries: np.ndarray, beam: int, size: int | None = None, block: int = 1024) -> tuple[np.ndarray, np.ndarray]:
-        """The nearest beam nodes found for each query and their distances, ascending; -1 where fewer were found."""
+    def _link_peers(self, new: np.ndarray, block: int = 256) -> None:
+        """Links the nodes of a batch, which did not see each other, to their nearest among them."""
+        many = min(PEERS, len(new) - 1)
+        if many < 1:
+            return
+        for i in range(0, len(new), block):
+            rows = new[i : i + block]
+            key = (distance(self.codes[new][None], self.codes[rows][:, None]) << 16).astype(np.int32) | np.arange(len(new), dtype=np.int32)
+            key[np.arange(len(rows)), rows - new[0]] = np.iinfo(np.int32).max
+            near = np.partition(key, many - 1, axis=1)[:, :many] & 0xFFFF
+            self.links[rows, FORWARD + BACK : FORWARD + BACK + many] = new[near]
+
+    def search(self, queries: np.ndarray, beam: int, size: int | None = None, block: int = 1024, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The nearest beam nodes found for each query and their distances, ascending; -1 where fewer were found.
+
+        own: the node that a query is, where its search starts too, or -1.
+        """
         size = len(self.codes) if size is None else size
-        parts = [self._search(queries[i : i + block], beam, size) for i in range(0, len(queries), block)]
+        own = np.full(len(queries), -1) if own is None else own
+        parts = [self._search(queries[i : i + block], beam, size, own[i : i + block]) for i in range(0, len(queries), block)]
         if not parts:
             return np.zeros((0, beam), np.int64), np.zeros((0, beam), np.int64)
         return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
 
-    def _search(self, queries: np.ndarray, beam: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    def _search(self, queries: np.ndarray, beam: int, size: int, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         count, width = len(queries), self.links.shape[1]
         step = max(2, beam // 16)
         room = beam + beam // 2
@@ -90,6 +108,9 @@ class Graph:
         # A key is distance, node, and 0 if its links were followed already: a sort puts equal nodes side by side.
         entry = np.unique(np.linspace(0, size - 1, min(size, ENTRIES)).astype(np.int64))
         pool = (distance(self.codes[entry][None], queries[:, None]) << 34) | (entry << 1) | 1
+        if (own >= 0).any():
+            home = (distance(self.codes[own], queries) << 34) | (own << 1) | 1
+            pool = np.concatenate([pool, np.where(own >= 0, home, _MAX)[:, None]], axis=1)
         rows, q = np.arange(count), queries
         while len(rows):
             pool.sort(axis=1)
@@ -121,33 +142,41 @@ class Graph:
         none = final == _MAX
         return np.where(none, -1, (final >> 1) & 0xFFFFFFFF), np.where(none, 1 << 20, final >> 34)
 
-    def within(self, queries: np.ndarray, radius: int, beam: int, recall: float = 0.95, audit: int = 200) -> tuple[np.ndarray, np.ndarray, float]:
+    def within(
+        self, queries: np.ndarray, radius: int, beam: int, recall: float = 0.95, audit: int = 200, own: np.ndarray | None = None
+    ) -> tuple[np.ndarray, np.ndarray, float]:
         """(query, node) pairs within radius, and the recall measured.
 
-        An evenly spaced sample of the queries is also searched exactly, and the beam doubles until
-        it finds that share of the sample's pairs. A query whose beam holds nothing but nodes within radius
+        own: the node that each query is, or -1; a query and its own node are no pair. An evenly spaced sample of
+        the queries is also searched exactly, and the beam doubles until the share found of a sampled query's
+        pairs, averaged over those that have any, reaches recall. Where it does not before a search looks at
+        as many nodes as there are, all queries are searched exactly. A query whose beam holds nothing but nodes within radius
         may have more, and is searched again with twice the beam until its beam reaches beyond the radius.
         """
         n = len(self.codes)
         if not n or not len(queries):
             return np.zeros(0, np.int64), np.zeros(0, np.int64), 1.0
+        own = np.full(len(queries), -1) if own is None else own
         sample = np.unique(np.linspace(0, len(queries) - 1, min(audit, len(queries))).astype(np.int64))
-        true_q, true_n = exact(self.codes, queries[sample], radius)
-        truth = set(zip(true_q.tolist(), true_n.tolist()))
+        true = _others(*exact(self.codes, queries[sample], radius), own[sample])
+        true_key, many = true[0] * n + true[1], np.bincount(true[0], minlength=len(sample))
+        some = many > 0
         while True:
-            q, node = self._within(queries[sample], radius, beam)
-            found = len(truth & set(zip(q.tolist(), node.tolist()))) / max(1, len(truth))
-            if found >= recall or beam >= n:
-                break
+            q, node = self._within(queries[sample], radius, beam, own[sample])
+            hit = np.isin(true_key, q * n + node)
+            share = np.bincount(true[0][hit], minlength=len(sample))[some] / many[some]
+            found = float(share.mean()) if len(share) else 1.0
+            if found >= recall:
+                return *self._within(queries, radius, beam, own), found
+            if beam * self.links.shape[1] >= n:
+                return *_others(*exact(self.codes, queries, radius), own), 1.0
             beam *= 2
-        q, node = self._within(queries, radius, beam)
-        return q, node, found
 
-    def _within(self, queries: np.ndarray, radius: int, beam: int) -> tuple[np.ndarray, np.ndarray]:
+    def _within(self, queries: np.ndarray, radius: int, beam: int, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         todo = np.arange(len(queries))
         out_q, out_n = [], []
         while len(todo):
-            ids, d = self.search(queries[todo], beam, block=max(16, 65536 // beam))
+            ids, d = self.search(queries[todo], beam, block=max(16, 65536 // beam), own=own[todo])
             near = (d <= radius) & (ids >= 0)
             full = near.all(axis=1) & (beam < len(self.codes))
             r, c = np.nonzero(near & ~full[:, None])
@@ -155,4 +184,10 @@ class Graph:
             out_n.append(ids[r, c])
             todo = todo[full]
             beam *= 2
-        return np.concatenate(out_q), np.concatenate(out_n)
+        return _others(np.concatenate(out_q), np.concatenate(out_n), own)
+
+
+def _others(q: np.ndarray, node: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs without those of a query and its own node."""
+    other = own[q] != node
+    return q[other], node[other]

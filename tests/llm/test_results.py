@@ -242,3 +242,34 @@ def test_languages_held_out(spark, larger):
     truth = docs.where("doc_id % 2 = 1").toPandas().set_index("doc_id").lang
     assert (got == truth)[truth.notna() & got.notna()].mean() > 0.97
     assert (model.table == 0).mean() > 0.5
+
+
+def hard_to_reach():
+    """A graph whose large group is found at once, and whose 40 pairs have a second member that no link leads to."""
+    rng = np.random.default_rng(1)
+    centre = rng.integers(0, 1 << 63, (1, 2), dtype=np.uint64)
+    group = centre ^ (np.uint64(1) << rng.integers(0, 63, (400, 2), dtype=np.uint64))
+    single = rng.integers(0, 1 << 63, (1600, 2), dtype=np.uint64)
+    codes = np.concatenate([group, single, single[:40] ^ np.uint64(1)])
+    graph = Graph.build(codes)
+    links = graph.links.copy()
+    links[(links >= 2000) | (np.arange(len(codes)) >= 2000)[:, None]] = -1
+    return codes, Graph(codes, links)
+
+
+def test_audit_counts_small_groups_as_much_as_large_ones():
+    codes, graph = hard_to_reach()
+    q, n, recall = graph.within(codes, 8, 16, own=np.arange(len(codes)))
+    tq, tn = exact(codes, codes, 8)
+    found, true = set(zip(q.tolist(), n.tolist())), {(a, b) for a, b in zip(tq.tolist(), tn.tolist()) if a != b}
+    assert found <= true and recall >= 0.95
+    pairs = {(a, b) for a, b in true if a >= 400 and b >= 400}
+    assert len(pairs) == 80 and len(found & pairs) >= 0.95 * len(pairs)
+
+
+def test_nodes_of_one_batch_are_linked():
+    rng = np.random.default_rng(2)
+    codes = rng.integers(0, 1 << 63, (1500, 2), dtype=np.uint64)
+    codes[1451:1491:2] = codes[1450:1490:2] ^ np.uint64(1)
+    graph = Graph.build(codes)
+    assert all(i + 1 in graph.links[i] and i in graph.links[i + 1] for i in range(1450, 1490, 2))
