@@ -17,7 +17,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from galeframe.llm.common import stored
+from galeframe.llm.textarray import mix
 
+#: Vectors of one block where all are compared, and probes of a bucket that one task ranks.
+BLOCK, ASKED = 1 << 14, 256
 SCHEMA = "vec_id long, neighbour_id long, rank int, cosine double"
 
 
@@ -27,7 +30,8 @@ class Settings:
 
     bucket sets how many rotations a hash has, so that buckets stay as large when the data grow. How many buckets of a table
     a query looks into is found by an audit: as few as give the recall on audit queries that are
-    also searched exactly, at most most of them.
+    also searched exactly. Where most of them do not, twice as many are tried, and so on; where that would look at
+    as many vectors as there are, all vectors are compared.
     """
 
     k: int = 10
@@ -137,8 +141,8 @@ def _padded(raw: list[bytes], d: int) -> np.ndarray:
     return x
 
 
-def audited(reps: DataFrame, d: int, parts: int, axes: int, s: Settings) -> tuple[int, float]:
-    """How many buckets a query must look into, and the recall that it then has on the audit's queries.
+def audited(reps: DataFrame, d: int, n: int, parts: int, axes: int, s: Settings) -> tuple[int, float]:
+    """How many buckets a query must look into, and the recall that it then has on the audit's queries; 0 where it must be compared with all n vectors.
 
     The queries are those of the least hashes. Their true neighbours come from a comparison with all vectors, and the places of
     those neighbours' own buckets in the queries' lists tell the recall for any number of buckets.
@@ -167,85 +171,126 @@ def audited(reps: DataFrame, d: int, parts: int, axes: int, s: Settings) -> tupl
     if not near:
         return 1, 1.0
     x, y = _padded(asked, d), _padded(near, d)
-    place = np.full(len(near), s.most)
-    for table in range(s.tables):
-        listed, home = probes(x, table, parts, axes, s.most, s)[q], probes(y, table, parts, axes, 1, s)
-        hit = listed == home
-        place = np.minimum(place, np.where(hit.any(axis=1), hit.argmax(axis=1), s.most))
-    share = np.cumsum(np.bincount(place, minlength=s.most + 1)[: s.most]) / len(near)
-    many = int(np.argmax(share >= s.recall)) + 1 if share[-1] >= s.recall else s.most
-    return many, float(share[many - 1])
-
-
-def nearest(vectors: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """(vec_id, neighbour_id, rank, cosine): of every vector the k nearest that the tables find, by cosine.
-
-    Ties go to the smaller neighbour_id. Rows that unit() leaves out neither ask nor answer; of repeated ids one vector counts.
-    Equal vectors are each other's neighbours; they are searched for once, whatever their number. Vectors of different lengths are
-    compared only with their like. Fewer than k rows come where fewer candidates were found. Other columns are ignored.
+    most = s.most
+    while True:
+        place = np.full(len(near), most)
+        for table in range(s.tables):
+            listed, home = probes(x, table, parts, axes, most, s)[q], probes(y, table, parts, axes, 1, s)
+            hit = listed == home
+            place = np.minimum(place, np.where(hit.any(axis=1), hit.argmax(axis=1), most))
+        share = np.cumsum(np.bincount(place, minlength=most + 1)[:most]) / len(near)
+        if share[-1] >= s.recall:
+            many = int(np.argmax(share >= s.recall)) + 1
+            return many, float(share[many - 1])
+        if s.tables * most * s.bucket >= n:
+            return 0, 1.0
+        most *= 2
+
+
+def _lists(reps: DataFrame, forms: dict[int, tuple], s: Settings) -> DataFrame:
+    """(rep, all): the best k + 1 found of every vector that asks, itself among them; reps: (rep, v, ask).
+
+    forms: for each length of vectors the parts, axes and probes of its hashes, or where all are compared the blocks of
+    vectors and of queries. Each pair of these blocks is then a bucket.
     """
-    s = settings
-    units = stored(unit(vectors), "units")
-    # Of equal vectors a query needs k others at most, so the k + 1 least ids stand for all.
-    spot = F.row_number().over(Window.partitionBy("v").orderBy("id"))
-    ranked = units.withColumn("rep", F.min("id").over(Window.partitionBy("v"))).withColumn("nth", spot)
-    ranked = stored(ranked, "ranked")
-    reps = ranked.where("nth = 1").select("rep", "v")
-    sizes = {r["size"] // 4: r["n"] for r in reps.groupBy(F.length("v").alias("size")).agg(F.count("*").alias("n")).collect()}
-    if not sizes:
-        return units.sparkSession.createDataFrame([], SCHEMA)
-    forms = {}
-    for d, n in sizes.items():
-        parts, axes = shape(n, 1 << (d - 1).bit_length(), s)
-        forms[d] = (parts, axes, audited(reps, d, parts, axes, s)[0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows(d, table, bucket, salt, own, ids, home, asks, vectors):
+            n = len(own)
+            full = [np.broadcast_to(a, n) for a in (np.int32(d), np.int32(table), bucket, salt)]
+            return pa.RecordBatch.from_arrays(
+                [*(pa.array(a) for a in full), pa.array(ids[own]), pa.array(np.broadcast_to(home, n)), pa.array(np.broadcast_to(asks, n)), vectors.take(pa.array(own))],
+                names=["d", "table", "bucket", "salt", "rep", "home", "ask", "v"],
+            )
+
         for batch in batches:
-            ids, raw = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+            ids, vectors, ask = batch.column(0).to_numpy(), batch.column(1).cast(pa.binary()), np.asarray(batch.column(2).to_pylist(), dtype=bool)
+            raw = vectors.to_pylist()
             lengths = np.array([len(r) // 4 for r in raw], dtype=np.int64)
             for d in np.unique(lengths).tolist():
-                rows = np.flatnonzero(lengths == d)
-                for at in range(0, len(rows), 2048):
-                    own = rows[at : at + 2048]
-                    mine = pa.array([raw[i] for i in own], pa.binary())
+                of = np.flatnonzero(lengths == d)
+                if len(forms[d]) == 2:
+                    blocks, queries = forms[d]
+                    h = mix(ids.astype(np.int64).view(np.uint64))
+                    block, query = (h % np.uint64(blocks)).astype(np.int64), (h % np.uint64(queries)).astype(np.int64)
+                    for j in range(queries):
+                        yield rows(d, -1, block[of] * queries + j, np.int64(0), of, ids, True, False, vectors)
+                    of = of[ask[of]]
+                    for j in range(blocks):
+                        yield rows(d, -1, j * queries + query[of], np.int64(0), of, ids, False, True, vectors)
+                    continue
+                many = forms[d][2]
+                salts = -(-many // ASKED)  # the queries of a bucket are split, each part with all of its vectors
+                step = max(1, min(2048, (1 << 24) // (many * min(many, 4 * d))))
+                for at in range(0, len(of), step):
+                    own = of[at : at + step]
                     x = _padded([raw[i] for i in own], d)
                     for table in range(s.tables):
                         code = probes(x, table, *forms[d], s)
-                        many = code.shape[1]
-                        yield pa.RecordBatch.from_arrays(
-                            [
-                                pa.array(np.full(len(own) * many, d, np.int32)),
-                                pa.array(np.full(len(own) * many, table, np.int32)),
-                                pa.array(code.ravel()),
-                                pa.array(np.repeat(ids[own], many)),
-                                pa.array(np.tile(np.arange(many) == 0, len(own))),
-                                mine.take(pa.array(np.repeat(np.arange(len(own)), many))),
-                            ],
-                            names=["d", "table", "bucket", "rep", "home", "v"],
-                        )
-
-    hashed = reps.mapInArrow(run, "d int, table int, bucket long, rep long, home boolean, v binary")
+                        wide = np.repeat(own, code.shape[1])
+                        home = np.tile(np.arange(code.shape[1]) == 0, len(own))
+                        yield rows(d, table, code.ravel(), ids[wide] % salts, wide, ids, home, True, vectors)
+                        for k in range(1, salts):
+                            yield rows(d, table, code[:, 0], (ids[own] + k) % salts, own, ids, True, False, vectors)
+
+    hashed = reps.select("rep", "v", "ask").mapInArrow(run, "d int, table int, bucket long, salt long, rep long, home boolean, ask boolean, v binary")
 
     def rank(pdf: pd.DataFrame) -> pd.DataFrame:
         ids = pdf["rep"].to_numpy(np.int64)
         x = np.frombuffer(b"".join(pdf["v"]), np.float32).reshape(len(ids), -1)
         home = np.flatnonzero(pdf["home"].to_numpy())
         home = home[np.argsort(ids[home], kind="stable")]
+        asks = np.flatnonzero(pdf["ask"].to_numpy())
         out = [pd.DataFrame({"rep": np.zeros(0, np.int64), "found": np.zeros(0, np.int64), "cosine": np.zeros(0)})]
-        for at in range(0, len(ids) if len(home) else 0, 1024):
-            part = x[at : at + 1024]
+        for at in range(0, len(asks) if len(home) else 0, 1024):
+            mine = asks[at : at + 1024]
+            part = x[mine]
             top = _best(part @ x[home].T, s.k + 1)
             row = np.repeat(np.arange(len(part)), top.shape[1])
             other = home[top.ravel()]
             cosine = (part[row].astype(np.float64) * x[other]).sum(axis=1)
-            out.append(pd.DataFrame({"rep": ids[at + row], "found": ids[other], "cosine": cosine}))
+            out.append(pd.DataFrame({"rep": ids[mine[row]], "found": ids[other], "cosine": cosine}))
         return pd.concat(out)
 
-    found = hashed.groupBy("d", "table", "bucket").applyInPandas(rank, "rep long, found long, cosine double")
+    found = hashed.groupBy("d", "table", "bucket", "salt").applyInPandas(rank, "rep long, found long, cosine double")
     # A bucket's best k + 1, the query itself among them, hold all of its vectors that can be among the best k of all buckets.
     best = found.groupBy("rep", "found").agg(F.max("cosine").alias("cosine"))
     ordered = F.sort_array(F.collect_list(F.struct((-F.col("cosine")).alias("c"), F.col("found").alias("f"))))
-    lists = stored(best.groupBy("rep").agg(F.slice(ordered, 1, s.k + 1).alias("all")), "lists")
+    return best.groupBy("rep").agg(F.slice(ordered, 1, s.k + 1).alias("all"))
+
+
+def nearest(vectors: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """(vec_id, neighbour_id, rank, cosine): of every vector the k nearest by cosine, with the recall asked for.
+
+    Ties go to the smaller neighbour_id. Rows that unit() leaves out neither ask nor answer; of repeated ids one vector counts.
+    Equal vectors are each other's neighbours; they are searched for once, whatever their number. Vectors of different lengths are
+    compared only with their like. A vector whose buckets hold fewer than k others is compared with all; fewer than k rows come only
+    where there are no more vectors. Other columns are ignored.
+    """
+    s = settings
+    units = stored(unit(vectors), "units")
+    # Of equal vectors a query needs k others at most, so the k + 1 least ids stand for all.
+    spot = F.row_number().over(Window.partitionBy("v").orderBy("id"))
+    ranked = units.withColumn("rep", F.min("id").over(Window.partitionBy("v"))).withColumn("nth", spot)
+    ranked = stored(ranked, "ranked")
+    reps = ranked.where("nth = 1").select("rep", "v")
+    sizes = {r["size"] // 4: r["n"] for r in reps.groupBy(F.length("v").alias("size")).agg(F.count("*").alias("n")).collect()}
+    if not sizes:
+        return units.sparkSession.createDataFrame([], SCHEMA)
+    forms = {}
+    for d, n in sizes.items():
+        parts, axes = shape(n, 1 << (d - 1).bit_length(), s)
+        many = audited(reps, d, n, parts, axes, s)[0]
+        forms[d] = (parts, axes, many) if many else (-(-n // BLOCK),) * 2
+    lists = stored(_lists(reps.withColumn("ask", F.lit(True)), forms, s), "lists")
+    least = F.coalesce(*(F.when(F.length("v") == 4 * d, F.lit(min(n, s.k + 1))) for d, n in sizes.items()))
+    few = stored(lists.where(F.size("all") <= s.k).join(reps, "rep").where(F.size("all") < least).select("rep", "v"), "few")
+    short = {r["size"] // 4: r["n"] for r in few.groupBy(F.length("v").alias("size")).agg(F.count("*").alias("n")).collect()}
+    if short:
+        asking = reps.where(F.length("v").isin([4 * d for d in short])).join(few.select("rep", F.lit(True).alias("ask")), "rep", "left")
+        blocks = {d: (-(-sizes[d] // BLOCK), -(-n // BLOCK)) for d, n in short.items()}
+        again = stored(_lists(asking.select("rep", "v", F.coalesce("ask", F.lit(False)).alias("ask")), blocks, s), "lists")
+        lists = lists.join(few, "rep", "left_anti").unionByName(again)
     copies = ranked.where(F.col("nth") <= s.k + 1).groupBy("rep").agg(F.collect_list("id").alias("ids")).where("size(ids) > 1")
     spread = lists.select("rep", F.explode("all").alias("x")).select("rep", "x.c", "x.f").join(copies.withColumnRenamed("rep", "f"), "f", "left")
     spread = spread.select("rep", "c", F.explode(F.coalesce("ids", F.array("f"))).alias("f"))

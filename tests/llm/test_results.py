@@ -273,3 +273,19 @@ def test_nodes_of_one_batch_are_linked():
     codes[1451:1491:2] = codes[1450:1490:2] ^ np.uint64(1)
     graph = Graph.build(codes)
     assert all(i + 1 in graph.links[i] and i in graph.links[i + 1] for i in range(1450, 1490, 2))
+
+
+@pytest.mark.parametrize("settings", [neighbours.Settings(), neighbours.Settings(bucket=20, tables=1, most=1), neighbours.Settings(bucket=20, most=1, recall=0.1)])
+def test_neighbours_whatever_the_first_probes(spark, larger, settings):
+    e = read(spark, larger, "embeddings")
+    p = e.toPandas()
+    x = np.stack(p.embedding).astype(float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    dots = x @ x.T
+    np.fill_diagonal(dots, -2)
+    got = neighbours.nearest(e, settings).toPandas()
+    assert (got.groupby("vec_id").size() == 10).all() and got.vec_id.nunique() == len(p)
+    mine = got.groupby("vec_id").neighbour_id.apply(set)
+    ids = p.vec_id.to_numpy()
+    true = np.argsort(-dots, axis=1)[:, :10]
+    assert np.mean([len(mine[i] & set(ids[t])) / 10 for i, t in zip(ids, true)]) >= min(0.9, settings.recall)
