@@ -8,6 +8,7 @@ where the item could begin, and these are intersected with the shifted lists of
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -143,33 +144,54 @@ def _near(segment: Segment, at: list[np.ndarray], rarest: np.ndarray, s: Setting
     m = len(at)
     need = int(np.ceil(s.share * m - 1e-9))
     spare = m - need
-    # A match lacks at most spare words, so it has one of the spare + 1 rarest.
-    starts = [at[o].astype(np.int64) - o for o in rarest[: spare + 1]]
-    diagonals = np.unique(np.concatenate(starts))
-    lacking = np.zeros(len(diagonals), dtype=np.int64)
-    for o in rarest.tolist():
-        lacking += ~_has(at[o], diagonals + o - s.slop, diagonals + o + s.slop)
-        stay = lacking <= spare
-        diagonals, lacking = diagonals[stay], lacking[stay]
-        if not len(diagonals):
-            return []
+    # A match lacks at most spare words, so it has one of the spare + 1 rarest, up to slop from where it would stand.
+    anchors = np.unique(np.concatenate([at[o].astype(np.int64) - o for o in rarest[: spare + 1]]))
+    anchors = _enough(at, anchors, 2 * s.slop, rarest, spare)  # what is near a start is at most twice as far from its anchor
+    starts = np.unique(anchors[:, None] + np.arange(-s.slop, s.slop + 1))
+    starts = _enough(at, starts, s.slop, rarest, spare)
+    if not len(starts):
+        return []
+    # Words beyond a text's bounds belong to other texts, so a start is tried in each text that it reaches.
+    last = int(segment.first[-1]) - 1
+    a = np.searchsorted(segment.first, np.clip(starts - s.slop, 0, last), side="right") - 1
+    b = np.searchsorted(segment.first, np.clip(starts + m - 1 + s.slop, 0, last), side="right") - 1
+    many = b - a + 1
+    d = np.repeat(starts, many)
+    doc = np.repeat(a, many) + np.arange(len(d)) - np.repeat(np.cumsum(many) - many, many)
+    low, high = segment.first[doc], segment.first[doc + 1] - 1
+    matched, exact = np.zeros(len(d), dtype=np.int64), np.zeros(len(d), dtype=np.int64)
+    for o in range(m):
+        matched += _has(at[o], np.maximum(d + o - s.slop, low), np.minimum(d + o + s.slop, high))
+        exact += _has(at[o], np.maximum(d + o, low), np.minimum(d + o, high))
+    ok = matched >= need
+    d, doc, matched, exact = d[ok], doc[ok], matched[ok], exact[ok]
     out = []
-    cuts = np.flatnonzero(np.concatenate([[True], np.diff(diagonals) > 2 * s.slop]))
-    for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(diagonals)]):
-        best = a + int(np.argmin(lacking[a:b]))
-        d = int(diagonals[best])
-        middle = min(max(d + m // 2, 0), int(segment.first[-1]) - 1)
-        doc = int(np.searchsorted(segment.first, middle, side="right")) - 1
-        low, high = int(segment.first[doc]), int(segment.first[doc + 1])
-        # Words beyond the text's bounds belong to other texts.
-        matched = sum(
-            bool(_has(at[o], np.array([max(d + o - s.slop, low)]), np.array([min(d + o + s.slop, high - 1)]))[0]) for o in range(m)
-        )
-        if matched >= need:
-            out.append((doc, "proximity", max(d, low) - low, min(m, high - max(d, low)), matched))
+    taken: dict[int, list[int]] = {}
+    for i in np.lexsort((d, -exact, -matched, doc)).tolist():
+        # The best start stands for those whose words overlap in the slop.
+        start, own = int(d[i]), taken.setdefault(int(doc[i]), [])
+        k = bisect_left(own, start - 2 * s.slop)
+        if k < len(own) and own[k] <= start + 2 * s.slop:
+            continue
+        insort(own, start)
+        low, high = int(segment.first[doc[i]]), int(segment.first[doc[i] + 1])
+        begin = min(max(start, low), high - 1)
+        out.append((int(doc[i]), "proximity", begin - low, max(1, min(start + m, high) - begin), int(matched[i])))
     return out
 
 
+def _enough(at: list[np.ndarray], starts: np.ndarray, slop: int, rarest: np.ndarray, spare: int) -> np.ndarray:
+    """The starts that lack at most spare words within slop of where they would stand."""
+    lacking = np.zeros(len(starts), dtype=np.int64)
+    for o in rarest.tolist():
+        lacking += ~_has(at[o], starts + o - slop, starts + o + slop)
+        stay = lacking <= spare
+        starts, lacking = starts[stay], lacking[stay]
+        if not len(starts):
+            break
+    return starts
+
+
 def _items(benchmark: DataFrame, block: int) -> Iterator[list[tuple[int | None, np.ndarray]]]:
     """The distinct test items in lists of about block words."""
     some, size = [], 0

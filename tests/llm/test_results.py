@@ -289,3 +289,38 @@ def test_neighbours_whatever_the_first_probes(spark, larger, settings):
     ids = p.vec_id.to_numpy()
     true = np.argsort(-dots, axis=1)[:, :10]
     assert np.mean([len(mine[i] & set(ids[t])) / 10 for i, t in zip(ids, true)]) >= min(0.9, settings.recall)
+
+
+def near_matches(texts, item, s):
+    """{text's number} that have a start with enough of the item's words within slop, by trying every start."""
+    m = len(item)
+    need = math.ceil(s.share * m - 1e-9)
+    return {
+        i
+        for i, t in enumerate(texts)
+        for d in range(-m - s.slop, len(t) + s.slop)
+        if sum(item[o] in t[max(0, d + o - s.slop) : max(0, d + o + s.slop + 1)] for o in range(m)) >= need
+    }
+
+
+def test_proximity_against_every_start():
+    s = decontaminate.Settings()
+    rng = np.random.default_rng(3)
+    item = [f"i{k}" for k in range(10)]
+    texts = [[*item[:4], "x", "y", *item[4:6], "z", "v", *item[6:]], ["q"], item[5:], item[:5]]
+    for _ in range(300):
+        t = [w for w in item if rng.random() > 0.1]
+        for _ in range(rng.integers(0, 7)):
+            t.insert(rng.integers(0, len(t) + 1), f"f{rng.integers(0, 50)}")
+        texts.append([f"f{rng.integers(0, 50)}" for _ in range(rng.integers(0, 9))] + t)
+    row = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array([" ".join(t) for t in texts])], names=["doc_id", "text"])
+    w = words(row.column(1))
+    order = np.argsort(w.hash, kind="stable")
+    terms, counts = np.unique(w.hash, return_counts=True)
+    segment = decontaminate.Segment(list(range(len(texts))), w.first.astype(np.int64).tobytes(), terms.tobytes(), counts.astype(np.int32).tobytes(), order.astype(np.int32).tobytes())
+    hashes = words(pa.array([" ".join(item)])).hash
+    want = near_matches(texts, item, s)
+    for rare in ([0, 1, 9], [0, 3, 8], [4, 5, 6]):
+        frequency = np.where(np.isin(np.arange(10), rare), 1, 1000)
+        got = {doc for doc, kind, *_ in decontaminate.search(segment, hashes, frequency, s) if kind == "proximity"}
+        assert got == want and 0 in want and len(want) < len(texts)
