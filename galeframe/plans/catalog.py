@@ -193,7 +193,7 @@ def fuzzy_manufacturer(spark, sf_dir):
 @query()
 def model_assignment(spark, sf_dir):
     p = table(spark, sf_dir, "part")
-    models = p.where("p_partkey % 7 = 0").select(F.col("p_brand").alias("manufacturer"), F.concat(F.lit("M"), F.col("p_partkey")).alias("model"), (200 + F.col("p_size") * 6.0).alias("p_density"))
+    models = p.select(F.col("p_brand").alias("manufacturer"), F.concat(F.lit("M"), F.col("p_partkey")).alias("model"), (200 + F.col("p_size") * 6.0).alias("p_density"))
     models = models.groupBy("manufacturer", "p_density").agg(F.min("model").alias("model"))
     t = points(spark, sf_dir, "part", "p_partkey", F.col("p_brand").alias("manufacturer"), (500 + F.col("p_size") * 60.0).alias("capacity"), F.lit(80.0).alias("diameter"), F.lit(100.0).alias("height"))
     return rounded(metadata.assign_models(t, models), "p_density")

@@ -41,3 +41,20 @@ def test_entry_works_without_the_training_data_operators(spark):
     assert "weighted_bias_by_season" in e.queries()
     assert set(e.oracle_sql()) <= set(e.queries())
     assert e.entry(spark).columns == ["year", "time_slice", "cluster", "obs", "sim", "scalar"]
+
+
+def test_model_assignment_against_all_parts(spark, tmp_path):
+    import math
+
+    makers, sizes = ["aaaa", "zzzz", "qqqq"], [1, 8, 15, 22, 36, 50, 41, 9]
+    parts = [(k, makers[k % 3], sizes[k - 1]) for k in range(1, 9)]
+    spark.createDataFrame(parts, "p_partkey long, p_brand string, p_size int").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    got = {int(r["ID"]): r["model"] for r in catalog.QUERIES["model_assignment"](spark, str(tmp_path)).collect()}
+    want = {}
+    for k, maker, size in parts:
+        density = (500 + size * 60) * 1000 / (math.pi * 40**2)
+        near = lambda rows: min((abs(200 + 6 * z - density), 200 + 6 * z, f"M{i}") for i, _, z in rows)
+        own, best = near([p for p in parts if p[1] == maker]), near(parts)
+        if own[0] < 1 or best[0] <= 100:
+            want[k] = own[2] if own[0] < 1 else best[2]
+    assert got == want and len(want) > 4
