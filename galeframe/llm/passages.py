@@ -1,10 +1,17 @@
 """Suffix-array deduplication: passages of 50 words and more that occur more than once.
 
-Texts go to shards as they are read. Each shard has a suffix array of its words, refined as Larsson and Sadakane
-do, and Kasai's common prefixes tell which of its passages repeat within it. Shards are merged over their
-anchors, a sparse choice of word runs of which every passage holds one: each shard's anchors are a sorted list, and
-the lists are merged by binary search. The passages around anchors that repeat, within a shard or
-across, are then compared by the hashes of all their 50-word windows.
+Texts go to shards as they are read. Two rounds follow, each of which merges lists of the shards by binary search:
+
+1. Which texts share anything. Anchors are a sparse choice of word runs, made by their content, of which every passage holds
+   one. Each shard's list of anchors is sorted and merged with the others'; anchors seen twice mark the places that round two covers.
+2. Which passages are equal. Each shard of the marked texts has a suffix array of its words, refined as Larsson and Sadakane
+   do. Kasai's common prefixes cut it into classes: stretches of suffixes that agree in 50 words or more. A class is all that
+   the shard says of such a passage: the array's members stay where they are, and one entry (its least place, and whether it has
+   others) goes into the shard's sorted list. The lists are merged by binary search, each shard gets back the least place of
+   the classes that other shards hold too, and its own array's members are then joined to spans.
+
+So a passage that is in many documents costs each shard one entry, however often it occurs there. Word order across shards isn't
+comparable without the words themselves, so the lists are ordered by a 64-bit name of the words that are compared.
 """
 
 from __future__ import annotations
@@ -18,11 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from galeframe.llm.common import stored
-from galeframe.llm.suffixes import anchors, repeated_places
-from galeframe.llm.textarray import slices, words
+from galeframe.llm.common import discard, prepare, store
+from galeframe.llm.suffixes import anchors, classes
+from galeframe.llm.textarray import grams, slices, words
 
 SCHEMA = "doc_id long, first_word long, n_words long, duplicate boolean, source_doc_id long"
+#: A shard's sorted list: names of what is compared, the least place of each, and whether the shard has it at other places too.
+LIST = "shard long, keys binary, docs binary, starts binary, many binary"
 
 
 @dataclass(frozen=True)
@@ -30,7 +39,7 @@ class Settings:
     """least: words of a passage; shard: words of which one suffix array is made (a single text may have more)."""
 
     least: int = 50
-    shard: int = 1_500_000
+    shard: int = 1_000_000
 
     @property
     def k(self) -> int:
@@ -38,49 +47,92 @@ class Settings:
         return max(1, (self.least + 1) // 2 + 1)
 
 
-def _shard_anchors(docs: DataFrame, s: Settings) -> DataFrame:
-    """(key, shard, doc_id, place, inside) for every anchor; inside: a passage around it repeats within its shard."""
+@dataclass
+class Shard:
+    """Texts that are handled together: their ids, word hashes, and where each one's words begin; number: what the shard is called."""
+
+    number: int
+    ids: np.ndarray
+    hashes: np.ndarray
+    first: np.ndarray
+    marks: np.ndarray
+
+    @property
+    def doc(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.ids)), np.diff(self.first))
+
+
+def _shards(batches: Iterator[pa.RecordBatch], s: Settings) -> Iterator[Shard]:
+    """Shards of the batches' (doc_id, text, places) or (doc_id, text); texts without an id or shorter than a passage are left out."""
+    from pyspark import TaskContext
+
+    at, held, size, number = TaskContext.get().partitionId(), [], 0, 0
+
+    def made() -> Shard:
+        ids, hashes, many, marks = zip(*held)
+        starts = np.cumsum([0, *map(len, hashes)])[:-1]
+        return Shard(
+            at << 24 | number, np.concatenate(ids), np.concatenate(hashes), np.concatenate([[0], np.cumsum(np.concatenate(many))]), np.concatenate([m + b for m, b in zip(marks, starts)])
+        )
+
+    for batch in batches:
+        for part in slices(batch):
+            w = words(part.column(1))
+            fits = ~np.asarray(part.column(0).is_null()) & (np.diff(w.first) >= s.least)
+            keep, sizes = fits[w.doc], np.diff(w.first)
+            own = np.concatenate([[0], np.cumsum(np.where(fits, sizes, 0))])
+            marks = np.zeros(0, np.int64)
+            if part.num_columns > 2:
+                lists = part.column(2)
+                of = np.repeat(np.arange(part.num_rows), np.diff(lists.offsets.to_numpy()))
+                place = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+                # A repeated id may have come with another text, whose places say nothing here.
+                inside = fits[of] & (place < sizes[of])
+                marks = place[inside] + own[of[inside]]
+            held.append((np.asarray(part.column(0).cast(pa.int64()).take(pa.array(np.flatnonzero(fits)))), w.hash[keep], sizes[fits], marks))
+            size += int(keep.sum())
+            if size >= s.shard:
+                yield made()
+                held, size, number = [], 0, number + 1
+    if size:
+        yield made()
+
+
+def _blob(x: np.ndarray, kind: type) -> pa.Array:
+    return pa.array([np.ascontiguousarray(x, dtype=kind).tobytes()], pa.binary())
+
+
+def _heads(doc: np.ndarray, start: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each class number (0, 1, ...): the index of its member of the least (doc, start), and whether it has members at other places."""
+    order = np.lexsort((start, doc, number))
+    begin = np.flatnonzero(np.concatenate([[True], number[order][1:] != number[order][:-1]]))
+    last = np.append(begin[1:], len(order)) - 1
+    head, other = order[begin], order[last]
+    return head, (doc[head] != doc[other]) | (start[head] != start[other])
+
+
+def _anchor_lists(docs: DataFrame, s: Settings) -> DataFrame:
+    """Each shard's list of anchors, and the places (own_docs, own_starts) of all those that it holds more than once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        at, held, size, number = TaskContext.get().partitionId(), [], 0, 0
-
-        def flush() -> pa.RecordBatch:
-            ids = np.concatenate([i for i, _, _ in held])
-            h = np.concatenate([x for _, x, _ in held])
-            first = np.concatenate([[0], np.cumsum(np.concatenate([c for _, _, c in held]))])
-            place, key = anchors(h, first, s.k, s.least - s.k + 1)
-            begins = repeated_places(h, first, s.least)
-            # An anchor at p lies in the passages that begin at p - (least - k) to p.
-            total = np.concatenate([[0], np.cumsum(begins)])
-            inside = total[place + 1] > total[np.maximum(place - (s.least - s.k), 0)]
-            doc = np.searchsorted(first, place, side="right") - 1
-            return pa.RecordBatch.from_arrays(
+        for x in _shards(batches, s):
+            place, key = anchors(x.hashes, x.first, s.k, s.least - s.k + 1)
+            doc = np.searchsorted(x.first, place, side="right") - 1
+            start, of = place - x.first[doc], x.ids[doc]
+            names, number, count = np.unique(key, return_inverse=True, return_counts=True)
+            if not len(names):
+                continue
+            head, _ = _heads(of, start, number.reshape(-1))
+            known = count[number.reshape(-1)] > 1
+            yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(key.view(np.int64)),
-                    pa.array(np.full(len(place), at << 24 | number)),
-                    pa.array(ids[doc]),
-                    pa.array((place - first[doc]).astype(np.int32)),
-                    pa.array(inside),
+                    pa.array([x.number]), _blob(names, np.uint64), _blob(of[head], np.int64), _blob(start[head], np.int32), _blob(count > 1, np.bool_),
+                    _blob(of[known], np.int64), _blob(start[known], np.int32),
                 ],
-                names=["key", "shard", "doc_id", "place", "inside"],
-            )
-
-        for batch in batches:
-            for part in slices(batch):
-                w = words(part.column(1))
-                some = np.flatnonzero(~np.asarray(part.column(0).is_null()) & (np.diff(w.first) >= s.least))
-                keep = np.isin(w.doc, some)
-                held.append((np.asarray(part.column(0).cast(pa.int64()).take(pa.array(some))), w.hash[keep], np.diff(w.first)[some]))
-                size += int(keep.sum())
-                if size >= s.shard:
-                    yield flush()
-                    held, size, number = [], 0, number + 1
-        if held:
-            yield flush()
+                names=["shard", "keys", "docs", "starts", "many", "own_docs", "own_starts"],
+            )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "key long, shard long, doc_id long, place int, inside boolean")
+    return docs.select("doc_id", "text").mapInArrow(run, LIST + ", own_docs binary, own_starts binary")
 
 
 def merge(runs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -89,8 +141,8 @@ def merge(runs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.nda
     if not runs:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     while len(runs) > 1:
-        runs.sort(key=lambda r: len(r[0]))
-        (a, x), (b, y) = runs.pop(0), runs.pop(0)
+        runs.sort(key=lambda r: -len(r[0]))
+        (a, x), (b, y) = runs.pop(), runs.pop()
         key, value = np.empty(len(a) + len(b), a.dtype), np.empty(len(a) + len(b), x.dtype)
         for own, extra, other, side in ((a, x, b, "left"), (b, y, a, "right")):
             to = np.arange(len(own)) + np.searchsorted(other, own, side=side)
@@ -99,84 +151,116 @@ def merge(runs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.nda
     return runs[0]
 
 
-def _repeated_anchors(found: DataFrame) -> DataFrame:
-    """(doc_id, place) of the anchors that repeat within a shard or in more than one."""
+def _shared(lists: DataFrame, parts: int) -> DataFrame:
+    """(shard, at, docs, starts, own_docs, own_starts): for each shard the entries, by their number in its list, that are repeated and that other shards hold too.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [b for b in batches if b.num_rows]
-        if not parts:
-            return
-        t = pa.Table.from_batches(parts)
-        key, shard, doc, place = (t.column(c).to_numpy() for c in ("key", "shard", "doc_id", "place"))
-        inside = t.column("inside").to_numpy(zero_copy_only=False).astype(bool)
-        order = np.argsort(shard, kind="stable")
-        cuts = np.flatnonzero(np.diff(shard[order])) + 1
-        runs = []
-        for own in np.split(order, cuts):
-            own = own[np.argsort(key[own], kind="stable")]
-            runs.append((key[own], own))
-        merged, own = merge(runs)
+    docs, starts: the least place over all shards; own_docs, own_starts: the shard's own. Lists are cut into parts by ranges of keys;
+    each part's cuts are merged in one task, in which a shard has one entry of a key at most. lists: LIST, each list's keys ascending.
+    """
+    kinds = {"keys": np.uint64, "docs": np.int64, "starts": np.int32, "many": np.bool_}
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bounds = (np.arange(1, parts, dtype=np.float64) * (2.0**64 / parts)).astype(np.uint64)
+        for batch in batches:
+            for row in range(batch.num_rows):
+                number = batch.column(0)[row].as_py()
+                x = {c: np.frombuffer(batch.column(i + 1)[row].as_buffer(), kinds[c]) for i, c in enumerate(kinds)}
+                ends = np.concatenate([[0], np.searchsorted(x["keys"], bounds), [len(x["keys"])]])
+                some = np.flatnonzero(np.diff(ends))
+                blobs = [[a[ends[p] : ends[p + 1]].tobytes() for p in some] for a in x.values()]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(some.astype(np.int32)), pa.array(np.full(len(some), number)), *(pa.array(b, pa.binary()) for b in blobs), pa.array(ends[some].astype(np.int64))],
+                    names=["part", "shard", *kinds, "skip"],
+                )
+
+    def judge(rows: list[tuple]) -> pa.RecordBatch | None:
+        shard = np.repeat([r[0] for r in rows], [len(r[1]) // 8 for r in rows])
+        key, doc, start, many = (np.concatenate([np.frombuffer(r[i + 1], kind) for r in rows]) for i, kind in enumerate(kinds.values()))
+        at = np.concatenate([np.arange(len(r[1]) // 8) + r[5] for r in rows])
+        ends = np.cumsum([0, *(len(r[1]) // 8 for r in rows)])
+        merged, own = merge([(key[a:b], np.arange(a, b)) for a, b in zip(ends[:-1], ends[1:])])
         begin = np.flatnonzero(np.concatenate([[True], merged[1:] != merged[:-1]]))
-        end = np.append(begin[1:], len(merged))
-        low = np.minimum.reduceat(shard[own], begin)
-        high = np.maximum.reduceat(shard[own], begin)
-        hit = np.repeat(low != high, end - begin) | inside[own]
-        own = own[hit]
-        yield pa.RecordBatch.from_arrays([pa.array(doc[own]), pa.array(place[own])], names=["doc_id", "place"])
+        size = np.diff(np.append(begin, len(merged)))
+        # What repeats within one shard is for its suffix array to say: only keys of several shards count here.
+        several = np.minimum.reduceat(shard[own], begin) != np.maximum.reduceat(shard[own], begin)
+        own, number = own[np.repeat(several, size)], np.repeat(np.arange(int(several.sum())), size[several])
+        if not len(own):
+            return None
+        head, apart = _heads(doc[own], start[own], number)
+        hit = (apart | np.logical_or.reduceat(many[own], np.flatnonzero(np.diff(number, prepend=-1))))[number]
+        own, least = own[hit], own[head[number[hit]]]
+        order = np.argsort(shard[own], kind="stable")
+        own, least = own[order], least[order]
+        cuts = np.flatnonzero(np.diff(shard[own], prepend=-1))
+        cells = [[c.tobytes() for c in np.split(a, cuts[1:])] for a in (at[own].astype(np.int32), doc[least], start[least], doc[own], start[own])]
+        return pa.RecordBatch.from_arrays([pa.array(shard[own][cuts]), *(pa.array(c, pa.binary()) for c in cells)], names=out)
 
-    return found.repartition("key").mapInArrow(run, "doc_id long, place int")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, rows = None, []
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if row[0] != part and rows:
+                    if (found := judge(rows)) is not None:
+                        yield found
+                    rows = []
+                part = row[0]
+                rows.append(row[1:])
+        if rows and (found := judge(rows)) is not None:
+            yield found
 
+    out = ["shard", "at", "docs", "starts", "own_docs", "own_starts"]
+    pieces = lists.select(*(x.split()[0] for x in LIST.split(", "))).mapInArrow(cut, "part int, " + LIST + ", skip long")
+    placed = pieces.repartition(parts, "part").sortWithinPartitions("part")
+    return placed.mapInArrow(run, "shard long, at binary, docs binary, starts binary, own_docs binary, own_starts binary")
 
-def _windows(docs: DataFrame, marks: DataFrame, s: Settings) -> DataFrame:
-    """(window, doc_id, start) of the windows of least words that hold a repeated anchor."""
-    lists = marks.groupBy("doc_id").agg(F.collect_set("place").alias("places"))
+
+def _places(lists: DataFrame) -> DataFrame:
+    """(doc_id, place) of all of own_docs and own_starts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
-                w = words(part.column(1))
-                at, h = w.grams(s.least)
-                lists = part.column(2)
-                flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-                sizes = np.diff(lists.offsets.to_numpy())
-                marked = np.zeros(len(w.hash) + 1, dtype=np.int32)
-                place = flat + np.repeat(w.first[:-1], sizes)
-                np.add.at(marked, np.maximum(place - (s.least - s.k), np.repeat(w.first[:-1], sizes)), 1)
-                np.add.at(marked, place + 1, -1)
-                pick = np.cumsum(marked)[at] > 0
-                at, h = at[pick], h[pick]
-                doc = w.doc[at]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(h.view(np.int64)), part.column(0).cast(pa.int64()).take(pa.array(doc)), pa.array((at - w.first[doc]).astype(np.int32))],
-                    names=["window", "doc_id", "start"],
-                )
+            for d, p in zip(*(c.to_pylist() for c in batch.columns)):
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(d, np.int64)), pa.array(np.frombuffer(p, np.int32))], names=["doc_id", "place"])
 
-    return docs.select("doc_id", "text").join(lists, "doc_id").mapInArrow(run, "window long, doc_id long, start int")
+    return lists.select("own_docs", "own_starts").mapInArrow(run, "doc_id long, place int")
 
 
-def _judge(windows: DataFrame) -> DataFrame:
-    """(doc_id, start, duplicate, source) of the windows that occur at two places or more; source: the least doc_id."""
+def _suffix_lists(docs: DataFrame, marks: DataFrame, s: Settings) -> DataFrame:
+    """Each shard's list of the classes of its suffix array, and their members: class, text (its number in ids) and start of each."""
+    lists = marks.groupBy("doc_id").agg(F.collect_set("place").alias("places"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [b for b in batches if b.num_rows]
-        if not parts:
-            return
-        t = pa.Table.from_batches(parts)
-        window, doc, start = (t.column(c).to_numpy() for c in ("window", "doc_id", "start"))
-        order = np.lexsort((start, doc, window))
-        window, doc, start = window[order], doc[order], start[order]
-        once = np.concatenate([[True], (window[1:] != window[:-1]) | (doc[1:] != doc[:-1]) | (start[1:] != start[:-1])])
-        window, doc, start = window[once], doc[once], start[once]
-        fresh = np.concatenate([[True], window[1:] != window[:-1]])
-        begin = np.flatnonzero(fresh)
-        size = np.diff(np.append(begin, len(window)))
-        many = np.repeat(size > 1, size)
-        source = np.repeat(doc[begin], size)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(doc[many]), pa.array(start[many]), pa.array(~fresh[many]), pa.array(source[many])], names=["doc_id", "start", "duplicate", "source"]
-        )
+        for x in _shards(batches, s):
+            member, number = classes(x.hashes, x.first, s.least)
+            # Passages that this shard has once can only be repeated where an anchor of theirs is.
+            marked = np.zeros(len(x.hashes) + 1, dtype=np.int32)
+            doc = x.doc
+            np.add.at(marked, np.maximum(x.marks - (s.least - s.k), x.first[doc[x.marks]]), 1)
+            np.add.at(marked, x.marks + 1, -1)
+            at, key = grams(x.hashes, x.first, s.least)
+            here = np.cumsum(marked)[at] > 0
+            here[np.searchsorted(at, member)] = False
+            name = np.empty(len(x.hashes), dtype=np.uint64)
+            name[at] = key
+            number = np.concatenate([number, np.arange(here.sum()) + (number[-1] + 1 if len(number) else 0)])
+            member = np.concatenate([member, at[here]])
+            if not len(member):
+                continue
+            of, start = doc[member], member - x.first[doc[member]]
+            head, many = _heads(x.ids[of], start, number)
+            order = np.argsort(name[member[head]], kind="stable")
+            back = np.empty(len(order), dtype=np.int64)
+            back[order] = np.arange(len(order))
+            head, many = head[order], many[order]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([x.number]), _blob(name[member[head]], np.uint64), _blob(x.ids[of[head]], np.int64), _blob(start[head], np.int32), _blob(many, np.bool_),
+                    _blob(x.ids, np.int64), _blob(back[number], np.int32), _blob(of, np.int32), _blob(start, np.int32),
+                ],
+                names=["shard", "keys", "docs", "starts", "many", "ids", "class", "member_doc", "member_start"],
+            )
 
-    return windows.repartition("window").mapInArrow(run, "doc_id long, start int, duplicate boolean, source long")
+    return docs.select("doc_id", "text").join(lists, "doc_id").mapInArrow(run, LIST + ", ids binary, class binary, member_doc binary, member_start binary")
 
 
 def repeats(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -185,37 +269,43 @@ def repeats(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     Of a passage's occurrences the one in the least doc_id, and in that at the least word, is the original; the others are duplicates.
     Overlapping windows of a document are joined to spans, originals and duplicates each for themselves; source_doc_id is the
     least document that holds the original of a window of the span. Words are compared without case and punctuation.
-    Null and empty texts, and texts of fewer than least words, hold no passage; rows with a null id are
+    Null and empty texts, and texts of fewer than least words, hold no passage, and an empty table has none; rows with a null id are
     left out. A doc_id stands for one text: repeated rows count once. Other columns are ignored.
     """
-    s = settings
-    found = stored(_repeated_anchors(_shard_anchors(docs, s)), "anchors")
-    judged = _judge(_windows(docs, found, s))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        carry: list[pa.RecordBatch] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            ids = batch.column(0).to_numpy()  # ascending: the last document may go on in the next batch
-            if carry and carry[-1].column(0)[0].as_py() != ids[0]:
-                yield _spans(pa.Table.from_batches(carry), s.least)
-                carry = []
-            cut = int(np.searchsorted(ids, ids[-1]))
-            if cut:
-                yield _spans(pa.Table.from_batches([*carry, batch.slice(0, cut)]), s.least)
-                carry = []
-            carry.append(batch.slice(cut))
-        if carry:
-            yield _spans(pa.Table.from_batches(carry), s.least)
-
-    return judged.repartition("doc_id").sortWithinPartitions("doc_id", "start").mapInArrow(run, SCHEMA)
-
-
-def _spans(t: pa.Table, least: int) -> pa.RecordBatch:
-    doc, start, source = (t.column(c).to_numpy().astype(np.int64) for c in ("doc_id", "start", "source"))
-    copy = t.column("duplicate").to_numpy(zero_copy_only=False).astype(bool)
-    out = []
+    prepare(docs.sparkSession)
+    spark, s = docs.sparkSession, settings
+    found, found_path = store(_anchor_lists(docs, s), "anchors")
+    marks = _places(found).union(_places(_shared(found, max(1, found.count()))))
+    shards, shards_path = store(_suffix_lists(docs, marks, s), "suffixes")
+    discard(spark, found_path)
+
+    def spans(own: pd.DataFrame, shared: pd.DataFrame) -> pd.DataFrame:
+        if not len(own):
+            return pd.DataFrame({c: [] for c in _COLUMNS})
+        r = own.iloc[0]
+        doc, start, many = np.frombuffer(r["docs"], np.int64).copy(), np.frombuffer(r["starts"], np.int32).copy(), np.frombuffer(r["many"], np.bool_).copy()
+        for at, d, p in zip(shared["at"], shared["docs"], shared["starts"]):
+            at = np.frombuffer(at, np.int32)
+            doc[at], start[at], many[at] = np.frombuffer(d, np.int64), np.frombuffer(p, np.int32), True
+        number, of, begin = (np.frombuffer(r[c], np.int32) for c in ("class", "member_doc", "member_start"))
+        hit = many[number]
+        number, of, begin = number[hit], np.frombuffer(r["ids"], np.int64)[of[hit]], begin[hit]
+        order = np.lexsort((begin, of))
+        number, of, begin = number[order], of[order], begin[order]
+        return _spans(of, begin.astype(np.int64), (of != doc[number]) | (begin != start[number]), doc[number], s.least)
+
+    judged = shards.groupBy("shard").cogroup(_shared(shards, max(1, shards.count())).groupBy("shard")).applyInPandas(spans, SCHEMA)
+    out, _ = store(judged.distinct(), "passages")  # rows of one id that went to different shards give equal spans
+    discard(spark, shards_path)
+    return out
+
+
+_COLUMNS = [x.split()[0] for x in SCHEMA.split(", ")]
+
+
+def _spans(doc: np.ndarray, start: np.ndarray, copy: np.ndarray, source: np.ndarray, least: int) -> pd.DataFrame:
+    """The spans of windows of least words that are sorted by document and start."""
+    out = [pd.DataFrame({c: [] for c in _COLUMNS})]
     for kind in (False, True):
         d, a, o = doc[copy == kind], start[copy == kind], source[copy == kind]
         if not len(d):
@@ -223,17 +313,16 @@ def _spans(t: pa.Table, least: int) -> pa.RecordBatch:
         begin = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (a[1:] > a[:-1] + least)]))
         end = np.append(begin[1:], len(d)) - 1
         out.append(pd.DataFrame({"doc_id": d[begin], "first_word": a[begin], "n_words": a[end] + least - a[begin], "duplicate": kind, "source_doc_id": np.minimum.reduceat(o, begin)}))
-    frame = pd.concat(out).sort_values(["doc_id", "first_word", "duplicate"])
-    return pa.RecordBatch.from_pandas(frame, preserve_index=False)
+    return pd.concat(out[1:] or out)
 
 
 def clean(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """docs without the duplicate passages: their words, with what stands between, are cut out of the texts.
 
     n_chars, if there is such a column, is set anew for the texts that were cut. A text of which no word remains goes. All other rows
-    and columns stay as they are, null ids and texts without words included.
+    and columns stay as they are, whatever they are called, null ids and texts without words included. An empty table stays one.
     """
-    cuts = stored(repeats(docs, settings).where("duplicate").groupBy("doc_id").agg(F.collect_list(F.struct("first_word", "n_words")).alias("_cuts")), "cuts")
+    cuts, _ = store(repeats(docs, settings).where("duplicate").groupBy("doc_id").agg(F.collect_list(F.struct("first_word", "n_words")).alias("_cuts")), "cuts")
     names = docs.columns
     plain = docs.select("doc_id", "text", *(F.col(f"`{c}`").alias(f"_kept_{i}") for i, c in enumerate(names)))
     joined = plain.join(cuts.withColumnRenamed("doc_id", "_cut_id"), F.col("doc_id") == F.col("_cut_id"), "left")

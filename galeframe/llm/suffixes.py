@@ -94,19 +94,25 @@ def common_prefixes(numbers: np.ndarray, array: np.ndarray, places: np.ndarray,
     return out
 
 
-def repeated_places(hashes: np.ndarray, first: np.ndarray, least: int) -> np.ndarray:
-    """Whether each word begins a run of least words that also begins elsewhere in these texts."""
+def classes(hashes: np.ndarray, first: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """The words that begin a run of least words which begins elsewhere in these texts too, and the number of the class of equal runs that each belongs to.
+
+    Suffixes that agree in their first least words stand side by side in the array, so a class is a stretch of it over which
+    no common prefix of neighbours is shorter. Words come in the array's order, so a class's members are adjacent.
+    """
     numbers, place = sequence(hashes, first)
     array, alike = suffix_array(numbers)
     some = np.arange(len(numbers)) if least <= 32 else np.flatnonzero(alike >= 0)
     common = common_prefixes(numbers, array, some, least)
-    hit = np.zeros(len(numbers), dtype=bool)
-    long = some[common >= least]
-    hit[long] = True
     inverse = np.empty(len(array), dtype=np.int64)
     inverse[array] = np.arange(len(array))
-    hit[array[inverse[long] - 1]] = True
-    return hit[place]
+    like_last = np.zeros(len(array) + 1, dtype=bool)  # by rank: whether a suffix agrees with the one before it
+    like_last[inverse[some[common >= least]]] = True
+    rank = np.flatnonzero(like_last[:-1] | like_last[1:])
+    word_at = np.full(len(numbers), -1, dtype=np.int64)
+    word_at[place] = np.arange(len(place))
+    number = np.cumsum(~like_last[rank]) - 1
+    return word_at[array[rank]], number
 
 
 def anchors(hashes: np.ndarray, first: np.ndarray, k: int, w: int) -> tuple[np.ndarray, np.ndarray]:

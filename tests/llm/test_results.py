@@ -11,6 +11,7 @@ import pytest
 from galeframe.llm import bpe, decontaminate, langid, licenses, neighbours, passages, quality, simhash, toxicity, urls
 from galeframe.llm.common import components, read
 from galeframe.llm.smallworld import Graph, distance, exact
+from galeframe.llm.suffixes import classes
 from galeframe.llm.textarray import words
 
 
@@ -126,8 +127,49 @@ def test_passages_against_all_windows(spark, docs):
         assert {(d, i) for d, a, n in spans[["doc_id", "first_word", "n_words"]].itertuples(index=False) for i in range(a, a + n)} == cover(want, 50)
     assert copies
     small = passages.repeats(docs, passages.Settings(shard=2000)).toPandas()
-    key = lambda d: sorted(map(tuple, d.itertuples(index=False)))
-    assert key(small) == key(got)
+    assert spans_of(small) == spans_of(got)
+
+
+def spans_of(frame):
+    return sorted(map(tuple, frame.itertuples(index=False)))
+
+
+@pytest.mark.parametrize("broken", ["nothing repeats", "everything repeats", "neighbours are alike"])
+def test_passages_need_the_suffix_arrays(spark, docs, monkeypatch, broken):
+    docs = docs.coalesce(1)
+    right = spans_of(passages.repeats(docs).toPandas())
+
+    def classes(hashes, first, least):
+        starts = np.flatnonzero(np.arange(len(hashes)) + least <= np.repeat(first[1:], np.diff(first)))
+        starts = starts[: {"nothing repeats": 0}.get(broken, len(starts))]
+        return starts, np.arange(len(starts)) // 2 if broken == "neighbours are alike" else np.zeros(len(starts), np.int64)
+
+    monkeypatch.setattr(passages, "classes", classes)
+    assert spans_of(passages.repeats(docs).toPandas()) != right
+
+
+def test_classes_against_all_runs():
+    rng = np.random.default_rng(4)
+    for least in (1, 3, 40):
+        texts = [rng.integers(0, 3, n).astype(np.uint64) for n in (200, 5, 0, 90)]
+        texts += [texts[0][20:120], texts[0][:70]]
+        h, first = np.concatenate(texts), np.cumsum([0, *map(len, texts)])
+        runs = {}
+        for t, a in zip(texts, first):
+            for i in range(len(t) - least + 1):
+                runs.setdefault(tuple(t[i : i + least]), set()).add(a + i)
+        member, number = classes(h, first, least)
+        got = {frozenset(member[number == k].tolist()) for k in np.unique(number)}
+        assert got == {frozenset(map(int, r)) for r in runs.values() if len(r) > 1} and got
+
+
+def test_passages_of_repeated_rows_in_several_shards(spark):
+    text = " ".join(f"w{i}" for i in range(70))
+    rows = [(1, "Before. " + text), (2, text), (2, text), (3, text + " after"), (4, "else " * 60)] * 2
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    want = [(1, 1, 70, False, 1), (2, 0, 70, True, 1), (3, 0, 70, True, 1), (4, 0, 50, False, 4), (4, 1, 59, True, 4)]
+    for shard in (50, 1000):
+        assert spans_of(passages.repeats(d.repartition(4), passages.Settings(shard=shard)).toPandas()) == want
 
 
 def test_phrases_against_a_plain_search(spark, docs, tables):
