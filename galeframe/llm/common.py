@@ -6,9 +6,12 @@ import atexit
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROOT = str(Path(__file__).resolve().parents[2])
@@ -103,16 +106,82 @@ def _clear() -> None:
                 shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def quoted(name: str) -> str:
+    """The name as a column's own, whatever is in it."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def hidden(docs: DataFrame, *first: str) -> tuple[DataFrame, list[Column]]:
+    """docs with doc_id and text (or the columns named) beside all its columns under names of our own, and what gives the columns back their names."""
+    names = docs.columns
+    plain = docs.select(*(first or ("doc_id", "text")), *(F.col(quoted(c)).alias(f"_kept_{i}") for i, c in enumerate(names)))
+    return plain, [F.col(f"_kept_{i}").alias(c) for i, c in enumerate(names)]
+
+
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, label) of the ends of the edges (a, b): label is the least node of the component."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at.reshape(2, -1)
+    label = np.arange(len(nodes))
+    while True:
+        low = np.minimum(label[x], label[y])
+        new = label.copy()
+        # A root takes the least label that any of its component's nodes sees.
+        np.minimum.at(new, label[x], low)
+        np.minimum.at(new, label[y], low)
+        while (new[new] != new).any():
+            new = new[new]
+        new = new[label]
+        if (new == label).all():
+            return nodes, nodes[label]
+        label = new
+
+
+def _forests(edges: DataFrame) -> DataFrame:
+    """Edges (u, v) with the same components, at most one for each node of a partition."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = [np.zeros((2, 0), np.int64)]
+        size = 0
+
+        def made() -> np.ndarray:
+            node, label = forest(*np.concatenate(held, axis=1))
+            return np.stack([node, label])[:, node != label]
+
+        for batch in batches:
+            held.append(np.stack([c.to_numpy() for c in batch.columns]))
+            size += batch.num_rows
+            if size > 1 << 20:
+                held, size = [made()], 0
+        u, v = made()
+        yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
+    return edges.mapInArrow(run, "u long, v long")
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b", single: int = 1 << 22) -> DataFrame:
     """(node, label) for every node of the undirected edges; label is the least node of its component.
 
-    Labels spread over the edges and are then shortened by one jump to the label's own label, so
+    Each partition's edges are cut to a forest first. Up to single edges (64 MB) are then solved in one task. Beyond that labels
+    spread over the edges and are then shortened by one jump to the label's own label, so
     the rounds grow with the logarithm of a component's diameter. Each round's labels are a table
-    in the shared folder. Null ends are no nodes.
+    in the shared folder. Null ends are no nodes. The result is the same either way.
     """
     spark = edges.sparkSession
-    both = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u <> v")
+    both = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u is not null and v is not null and u <> v")
+    both, first_path = store(_forests(both), "forests")
+    if both.count() <= single:
+
+        def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = [np.zeros((2, 0), np.int64), *(np.stack([c.to_numpy() for c in batch.columns]) for batch in batches)]
+            node, label = forest(*np.concatenate(held, axis=1))
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(label)], names=["node", "label"])
+
+        labels, _ = store(both.coalesce(1).mapInArrow(solve, "node long, label long"), "labels")
+        discard(spark, first_path)
+        return labels
     both, both_path = store(both.union(both.select(F.col("v"), F.col("u"))).distinct(), "edges")
+    discard(spark, first_path)
     labels, path = store(both.groupBy(F.col("u").alias("node")).agg(F.least(F.col("node"), F.min("v")).alias("label")), "labels")
     while True:
         near = both.join(labels, both.v == labels.node).groupBy("u").agg(F.min("label").alias("near"))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from galeframe.llm.common import discard, prepare, store
+from galeframe.llm.common import discard, hidden, prepare, store
 from galeframe.llm.suffixes import anchors, classes
 from galeframe.llm.textarray import grams, slices, words
 
@@ -324,7 +324,7 @@ def clean(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """
     cuts, _ = store(repeats(docs, settings).where("duplicate").groupBy("doc_id").agg(F.collect_list(F.struct("first_word", "n_words")).alias("_cuts")), "cuts")
     names = docs.columns
-    plain = docs.select("doc_id", "text", *(F.col(f"`{c}`").alias(f"_kept_{i}") for i, c in enumerate(names)))
+    plain, _ = hidden(docs)
     joined = plain.join(cuts.withColumnRenamed("doc_id", "_cut_id"), F.col("doc_id") == F.col("_cut_id"), "left")
 
     @F.pandas_udf("string")

@@ -13,10 +13,10 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from galeframe.llm.common import components, stored
+from galeframe.llm.common import components, discard, hidden, prepare, quoted, store
 from galeframe.llm.learning import segment_sums
 from galeframe.llm.smallworld import Graph, distance
 from galeframe.llm.textarray import Words, mix, powers, slices, words
@@ -64,7 +64,7 @@ class Settings:
     radius: int = 32
     similarity: float = 0.55
     shard: int = 1 << 20
-    blocks: int = 8
+    blocks: int = 16
     beam: int = 48
     recall: float = 0.95
     first: int = 4
@@ -87,15 +87,11 @@ def signatures(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, SIGNATURE)
 
 
-def candidates(nodes: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """(a, b, d, recall): pairs of keys a < b whose codes differ in d <= radius bits; nodes: (key, hi, lo), one row a key.
-
-    Nodes are split by hash into shards, each with a graph of its own; every node is a query to every
-    graph. recall is that of the audit of the search that found the pair.
-    """
-    spark, s = nodes.sparkSession, settings
+def graphs(nodes: DataFrame, settings: Settings = Settings()) -> tuple[DataFrame, int, str]:
+    """Each shard's graph in pieces, the number of shards, and the table's path; nodes: (key, hi, lo), one row a key."""
+    s = settings
     shards = max(1, -(-nodes.count() // s.shard))
-    placed = nodes.withColumn("shard", F.pmod(F.xxhash64("key", F.lit(3)), F.lit(shards)).cast("int"))
+    placed = nodes.select("key", "hi", "lo", _shard(shards).alias("shard"))
     piece = 1 << 16
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -114,33 +110,72 @@ def candidates(nodes: DataFrame, settings: Settings = Settings()) -> DataFrame:
             }
         )
 
-    graphs = placed.groupBy("shard").applyInPandas(build, "shard int, piece int, keys binary, codes binary, links binary")
-    graphs = stored(graphs, "graphs").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(s.blocks - 1))))
-    queries = nodes.withColumn("block", F.pmod(F.xxhash64("key", F.lit(9)), F.lit(s.blocks)).cast("int")).withColumn(
-        "shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))
-    )
+    out, path = store(placed.groupBy("shard").applyInPandas(build, "shard int, piece int, keys binary, codes binary, links binary"), "graphs")
+    return out, shards, path
+
 
-    def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+def _shard(shards: int) -> Column:
+    return F.pmod(F.xxhash64("key", F.lit(3)), F.lit(shards)).cast("int")
+
+
+def search(made: DataFrame, shards: int, asking: DataFrame, settings: Settings, blocks: int, beam: int, labels: DataFrame | None = None) -> DataFrame:
+    """(a, b, d, recall): pairs of keys a < b whose codes differ in d <= radius bits, and a row (key, null, beam, recall) for each node that may have more.
+
+    Every node of asking, (key, hi, lo), is a query to every graph, as part of one of so many blocks, and gives the nearest
+    nodes that a beam has room for. labels: (node, label); nodes of equal labels are no pairs then, and asking has
+    the label of each too. recall is that of the audit of the search that found the pair.
+    """
+    s = settings
+    block = F.pmod(F.xxhash64("key", F.lit(9)), F.lit(blocks)).cast("int")
+    labelled = labels is not None
+    every = lambda name, n: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
+    code = [F.col("hi"), F.col("lo"), F.lit(True).alias("ask")]
+    right = asking.select("key", *code, (F.col("label") if labelled else F.lit(None).cast("long")).alias("label"), block.alias("block"), every("shard", shards))
+    if labelled:
+        known = labels.join(asking.select("label").distinct(), "label").select(F.col("node").alias("key"), "label")
+        zero = F.lit(0).cast("long")
+        right = right.unionByName(known.select("key", zero.alias("hi"), zero.alias("lo"), F.lit(False).alias("ask"), "label", _shard(shards).alias("shard"), every("block", blocks)))
+    left = made.select("*", every("block", blocks))
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         left = left.sort_values("piece")
         key = np.frombuffer(b"".join(left["keys"]), np.int64)
         code = np.frombuffer(b"".join(left["codes"]), np.uint64).reshape(-1, 2)
         links = np.frombuffer(b"".join(left["links"]), np.int32).reshape(len(key), -1) if len(key) else np.zeros((0, 1), np.int32)
-        own = right["key"].to_numpy(np.int64)
-        asked = np.ascontiguousarray(right[["hi", "lo"]].to_numpy(np.int64)).view(np.uint64)
-        if not len(key):
+        asks = right[right["ask"]]
+        own = asks["key"].to_numpy(np.int64)
+        if not len(key) or not len(own):
             return pd.DataFrame({"a": own[:0], "b": own[:0], "d": own[:0].astype(np.int32), "recall": np.zeros(0)})
+        asked = np.ascontiguousarray(asks[["hi", "lo"]].to_numpy(np.int64)).view(np.uint64)
         order = np.argsort(key)
-        at = order[np.minimum(np.searchsorted(key, own, sorter=order), len(key) - 1)]
-        q, node, recall = Graph(code, links).within(asked, s.radius, s.beam, s.recall, own=np.where(key[at] == own, at, -1))
+        find = lambda k: np.minimum(np.searchsorted(key, k, sorter=order), len(key) - 1)
+        at = order[find(own)]
+        apart = None
+        if labelled:
+            some = right[right["label"].notna()]
+            number = pd.Series(pd.factorize(some["label"])[0], index=some.index)
+            of_node, rows = np.full(len(key), -1), some[~some["ask"]]
+            place = order[find(rows["key"].to_numpy(np.int64))]
+            here = key[place] == rows["key"].to_numpy(np.int64)
+            of_node[place[here]] = number[rows.index].to_numpy()[here]
+            apart = of_node, number.reindex(asks.index).fillna(-2).to_numpy().astype(np.int64)
+        q, node, more, needed, recall = Graph(code, links).within(asked, s.radius, beam, s.recall, own=np.where(key[at] == own, at, -1), apart=apart)
         x, y = own[q], key[node]
-        return pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y), "d": distance(asked[q], code[node]).astype(np.int32), "recall": recall})
+        pairs = pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y), "d": distance(asked[q], code[node]).astype(np.int32), "recall": recall})
+        more = pd.DataFrame({"a": own[more], "b": pd.NA, "d": needed, "recall": recall})
+        return pd.concat([pairs.astype({"b": "Int64"}), more.astype({"b": "Int64"})])
+
+    return left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInPandas(run, "a long, b long, d int, recall double")
+
+
+def candidates(nodes: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """search() of all nodes for each other."""
+    made, shards, _ = graphs(nodes, settings)
+    return search(made, shards, nodes, settings, settings.blocks, settings.beam)
 
-    found = (
-        graphs.groupBy("shard", "block")
-        .cogroup(queries.groupBy("shard", "block"))
-        .applyInPandas(search, "a long, b long, d int, recall double")
-    )
-    return found.groupBy("a", "b").agg(F.min("d").alias("d"), F.min("recall").alias("recall"))
+
+def _pairs(found: DataFrame) -> DataFrame:
+    return found.where("b is not null").groupBy("a", "b").agg(F.min("d").alias("d"))
 
 
 def gram_sets(docs: DataFrame) -> DataFrame:
@@ -171,52 +206,106 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return both.where(F.col("shared") >= similarity * (F.size("x") + F.size("y") - F.col("shared"))).select("a", "b")
 
 
+def _sets(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """gram_sets() of the texts that stand for the pairs' nodes."""
+    keys = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
+    reps = nodes.join(keys, "key").select(F.col("rep").alias("doc_id")).distinct()
+    return gram_sets(docs.select("doc_id", "text").join(reps, "doc_id", "left_semi")).dropDuplicates(["key"])
+
+
+def _members(docs: DataFrame, settings: Settings) -> DataFrame:
+    """(doc_id, key, group_id, kept) for every row of a group."""
+    prepare(docs.sparkSession)
+    spark, s = docs.sparkSession, settings
+    scratch: list[str] = []
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        out, path = store(df, name)
+        scratch.append(path)
+        return out
+
+    signed = kept(signatures(docs), "signatures")
+    nodes = kept(signed.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("hi").alias("hi"), F.first("lo").alias("lo")), "nodes")
+    made, shards, path = graphs(nodes.drop("rep"), s)
+    scratch.append(path)
+    found = kept(search(made, shards, nodes, s, s.blocks, s.beam), "found")
+    pairs = kept(_pairs(found), "pairs")
+    sets = kept(_sets(docs, nodes, pairs), "sets")
+    ends = pairs.select(F.col("a").alias("u"), "a", "b", "d").union(pairs.select("b", "a", "b", "d"))
+    near = Window.partitionBy("u").orderBy("d", "a", "b")
+    nearest = kept(ends.withColumn("nth", F.row_number().over(near)).where(F.col("nth") <= s.first).select("a", "b").distinct(), "nearest")
+    edges = kept(verified(nearest, sets, s.similarity), "edges")
+    labels = components(edges)
+    more = kept(verified(_across(pairs.join(nearest, ["a", "b"], "left_anti"), labels), sets, s.similarity), "edges")
+    if not more.isEmpty():
+        edges = edges.union(more)
+        labels = components(edges)
+    # Nodes whose beam held nothing but pairs look again for what is near and in no group with them, with wider beams while theirs stay full.
+    asking, tested, beam = found.where("b is null").select(F.col("a").alias("key")).distinct(), pairs.select("a", "b"), s.beam
+    while many := asking.count():
+        ask = nodes.join(asking, "key").join(labels.withColumnRenamed("node", "key"), "key", "left").select("key", "hi", "lo", "label")
+        found = kept(search(made, shards, ask, s, min(s.blocks, -(-many // 2048)), beam, labels), "found")
+        fresh = kept(_pairs(found).join(tested, ["a", "b"], "left_anti").select("a", "b"), "fresh")
+        more = kept(verified(fresh, _sets(docs, nodes, fresh), s.similarity), "edges")
+        if not more.isEmpty():
+            edges = edges.union(more)
+            labels = components(edges)
+        tested, beam = tested.union(fresh), beam * 2
+        asking = found.where("b is null").select(F.col("a").alias("key")).distinct()
+    joined = nodes.join(labels, nodes.key == labels.node, "left").select("key", F.coalesce("label", "key").alias("label"))
+    members = kept(signed.select("doc_id", "key").join(joined, "key"), "members")
+    group = members.groupBy("label").agg(F.min(F.struct("doc_id", "key")).alias("least"), F.count("*").alias("n")).where("n > 1")
+    is_least = (F.col("doc_id") == F.col("least.doc_id")) & (F.col("key") == F.col("least.key"))
+    out, _ = store(members.join(group, "label").select("doc_id", "key", F.col("least.doc_id").alias("group_id"), is_least.alias("kept")), "groups")
+    discard(spark, *scratch)
+    return out
+
+
+def _across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose nodes aren't in one component."""
+    of = [labels.select(F.col("node").alias(x), F.col("label").alias(f"of_{x}")) for x in "ab"]
+    both = pairs.select("a", "b").join(of[0], "a", "left").join(of[1], "b", "left")
+    return both.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
+
+
 def groups(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """(doc_id, group_id, kept) for every row that has copies or near copies; group_id is the group's least doc_id.
 
     Texts with the same words in the same order are copies. Others are near copies if the search finds
     their codes within radius and their sets of word pairs are similar enough; groups are the connected components.
-    Rows with a null id, and texts that are null or without a word, are in no group. Repeated rows form a
-    group; kept is true for the rows that have the least id. Of one id with several texts, each text is
-    grouped by itself. Other columns are ignored.
+    Rows with a null id, and texts that are null or without a word, are in no group, and an empty table has none. Repeated rows form a
+    group; kept is true for the rows of the text that stays, which has the least id. Of one id with several texts, each text is
+    grouped by itself; where several of its texts are in one group, one of them (that of the least key) stays. Other columns are ignored.
 
-    All pairs within radius are kept. The nearest few of each node are verified first; of the others only those that would still join
+    The nearest few pairs of each node are verified first; of the others only those that would still join
     two components, so a large group is not compared pair by pair and the result is the same.
     """
-    s = settings
-    signed = stored(signatures(docs), "signatures")
-    nodes = stored(signed.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("hi").alias("hi"), F.first("lo").alias("lo")), "nodes")
-    pairs = stored(candidates(nodes.drop("rep"), s), "pairs")
-    ends = pairs.select(F.col("a").alias("u"), "a", "b", "d").union(pairs.select("b", "a", "b", "d"))
-    keys = ends.select(F.col("u").alias("key")).distinct()
-    reps = nodes.join(keys, "key").select(F.col("rep").alias("doc_id")).distinct()
-    texts = docs.select("doc_id", "text").join(reps, "doc_id", "left_semi")
-    sets = stored(gram_sets(texts).dropDuplicates(["key"]), "sets")
-    near = Window.partitionBy("u").orderBy("d", "a", "b")
-    nearest = ends.withColumn("nth", F.row_number().over(near)).where(F.col("nth") <= s.first).select("a", "b").distinct()
-    nearest = stored(nearest, "nearest")
-    edges = stored(verified(nearest, sets, s.similarity), "edges")
-    labels = components(edges)
-    of_a, of_b = labels.select(F.col("node").alias("a"), F.col("label").alias("la")), labels.select(F.col("node").alias("b"), F.col("label").alias("lb"))
-    rest = pairs.select("a", "b").join(nearest, ["a", "b"], "left_anti").join(of_a, "a", "left").join(of_b, "b", "left")
-    rest = rest.where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
-    more = stored(verified(rest, sets, s.similarity), "edges")
-    if not more.isEmpty():
-        labels = components(edges.union(more))
-    joined = nodes.join(labels, nodes.key == labels.node, "left").select("key", "rep", F.coalesce("label", "key").alias("label"))
-    joined = joined.join(joined.groupBy("label").agg(F.min("rep").alias("group_id")), "label").select("key", "group_id")
-    members = stored(signed.select("doc_id", "key").join(joined, "key").select("doc_id", "group_id"), "members")
-    large = members.groupBy("group_id").count().where("count > 1").select("group_id")
-    return members.join(large, "group_id").select("doc_id", "group_id", (F.col("doc_id") == F.col("group_id")).alias("kept"))
+    return _members(docs, settings).select("doc_id", "group_id", "kept")
 
 
 def clean(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """The rows of docs without all but one document of each group; rows in no group stay."""
-    found = stored(groups(docs, settings), "groups")
+    """The rows of docs without all but one document of each group; rows in no group stay, and so do null ids and texts without words.
+
+    A row goes for its own text: another text of the same id stays. All columns stay, whatever they are called.
+    """
+    found = _members(docs, settings)
     gone = found.where("not kept").select("doc_id").distinct()
-    out = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    again = found.where("kept").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if again.isEmpty():
+    twice = docs.select("doc_id").where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    twice, path = store(twice.join(found.select("doc_id"), "doc_id", "left_semi"), "twice")
+    out = docs.join(gone, "doc_id", "left_anti").select(*map(quoted, docs.columns))
+    if twice.isEmpty():
         return out
-    once = out.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return out.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(once.select(*docs.columns))
+
+    @F.pandas_udf("long")
+    def key(text: pd.Series) -> pd.Series:
+        w = words(pa.array(text, pa.string()))
+        return pd.Series(sequence_keys(w).view(np.int64)).astype("Int64").mask(np.diff(w.first) == 0)
+
+    plain, columns = hidden(docs.join(twice, "doc_id", "left_semi"))
+    keyed = plain.withColumn("_key", key("text"))
+    pairs = found.join(twice, "doc_id", "left_semi").select(F.col("doc_id").alias("_id"), F.col("key").alias("_of"), "kept").distinct()
+    judged = keyed.join(pairs, (F.col("doc_id") == F.col("_id")) & (F.col("_key") == F.col("_of")), "left")
+    free = judged.where("kept is null").select(*columns)
+    once = judged.where("kept").dropDuplicates(["doc_id", "_key"]).select(*columns)
+    lone = docs.join(gone.union(twice).distinct(), "doc_id", "left_anti").select(*map(quoted, docs.columns))
+    return lone.union(free).union(once)

@@ -11,6 +11,8 @@ import numpy as np
 
 _MAX = np.iinfo(np.int64).max
 FORWARD, BACK, PEERS, ENTRIES = 12, 20, 8, 12
+#: Added to the distance of nodes that a search is not for; more than any distance.
+SAME = 256
 
 
 def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -88,30 +90,38 @@ class Graph:
             near = np.partition(key, many - 1, axis=1)[:, :many] & 0xFFFF
             self.links[rows, FORWARD + BACK : FORWARD + BACK + many] = new[near]
 
-    def search(self, queries: np.ndarray, beam: int, size: int | None = None, block: int = 1024, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    def search(
+        self, queries: np.ndarray, beam: int, size: int | None = None, block: int = 1024, own: np.ndarray | None = None, apart: tuple[np.ndarray, np.ndarray] | None = None
+    ) -> tuple[np.ndarray, np.ndarray]:
         """The nearest beam nodes found for each query and their distances, ascending; -1 where fewer were found.
 
-        own: the node that a query is, where its search starts too, or -1.
+        own: the node that a query is, where its search starts too, or -1. apart: the labels of all nodes and of the queries. Nodes of a
+        query's own label count as farther than all others: they are gone through, but come last.
         """
         size = len(self.codes) if size is None else size
         own = np.full(len(queries), -1) if own is None else own
-        parts = [self._search(queries[i : i + block], beam, size, own[i : i + block]) for i in range(0, len(queries), block)]
+        labels, asked = apart if apart is not None else (None, np.zeros(len(queries)))
+        parts = [self._search(queries[i : i + block], beam, size, own[i : i + block], labels, asked[i : i + block]) for i in range(0, len(queries), block)]
         if not parts:
             return np.zeros((0, beam), np.int64), np.zeros((0, beam), np.int64)
         return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
 
-    def _search(self, queries: np.ndarray, beam: int, size: int, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _far(self, nodes: np.ndarray, queries: np.ndarray, labels: np.ndarray | None, asked: np.ndarray) -> np.ndarray:
+        d = distance(self.codes[nodes], queries)
+        return d if labels is None else d + SAME * (labels[nodes] == asked)
+
+    def _search(self, queries: np.ndarray, beam: int, size: int, own: np.ndarray, labels: np.ndarray | None, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         count, width = len(queries), self.links.shape[1]
         step = max(2, beam // 16)
         room = beam + beam // 2
         final = np.full((count, beam), _MAX, dtype=np.int64)
         # A key is distance, node, and 0 if its links were followed already: a sort puts equal nodes side by side.
         entry = np.unique(np.linspace(0, size - 1, min(size, ENTRIES)).astype(np.int64))
-        pool = (distance(self.codes[entry][None], queries[:, None]) << 34) | (entry << 1) | 1
+        pool = (self._far(entry[None], queries[:, None], labels, asked[:, None]) << 34) | (entry << 1) | 1
         if (own >= 0).any():
-            home = (distance(self.codes[own], queries) << 34) | (own << 1) | 1
+            home = (self._far(own, queries, labels, asked) << 34) | (own << 1) | 1
             pool = np.concatenate([pool, np.where(own >= 0, home, _MAX)[:, None]], axis=1)
-        rows, q = np.arange(count), queries
+        rows, q, mine = np.arange(count), queries, asked
         while len(rows):
             pool.sort(axis=1)
             twin = (pool[:, 1:] >> 1) == (pool[:, :-1] >> 1)
@@ -125,7 +135,7 @@ class Graph:
             if not going.all():
                 over = ~going
                 final[rows[over], : top.shape[1]] = top[over]
-                rows, q, pool, fresh = rows[going], q[going], pool[going], fresh[going]
+                rows, q, mine, pool, fresh = rows[going], q[going], mine[going], pool[going], fresh[going]
                 if not len(rows):
                     break
                 top = pool[:, :beam]
@@ -134,7 +144,7 @@ class Graph:
             node = (pool[r, c] >> 1) & 0xFFFFFFFF
             pool[r, c] &= ~np.int64(1)
             near = self.links[node].astype(np.int64)
-            key = (distance(self.codes[near], q[r][:, None]) << 34) | (near << 1) | 1
+            key = (self._far(near, q[r][:, None], labels, mine[r][:, None]) << 34) | (near << 1) | 1
             key[(near < 0) | (near >= size)] = _MAX
             more = np.full((len(rows), step, width), _MAX, dtype=np.int64)
             more[r, nth[r, c] - 1] = key
@@ -143,48 +153,68 @@ class Graph:
         return np.where(none, -1, (final >> 1) & 0xFFFFFFFF), np.where(none, 1 << 20, final >> 34)
 
     def within(
-        self, queries: np.ndarray, radius: int, beam: int, recall: float = 0.95, audit: int = 200, own: np.ndarray | None = None
-    ) -> tuple[np.ndarray, np.ndarray, float]:
-        """(query, node) pairs within radius, and the recall measured.
-
-        own: the node that each query is, or -1; a query and its own node are no pair. An evenly spaced sample of
-        the queries is also searched exactly, and the beam doubles until the share found of a sampled query's
-        pairs, averaged over those that have any, reaches recall. Where it does not before a search looks at
-        as many nodes as there are, all queries are searched exactly. A query whose beam holds nothing but nodes within radius
-        may have more, and is searched again with twice the beam until its beam reaches beyond the radius.
+        self,
+        queries: np.ndarray,
+        radius: int,
+        beam: int,
+        recall: float = 0.95,
+        audit: int = 200,
+        own: np.ndarray | None = None,
+        apart: tuple[np.ndarray, np.ndarray] | None = None,
+    ) -> tuple[np.ndarray, np.ndarray, np.ndarray, int, float]:
+        """(query, node) pairs within radius, whether each query may have more, the beam that was needed, and the recall measured.
+
+        own: the node that each query is, or -1; a query and its own node are no pair. apart: as in search(); pairs of equal labels are left out.
+        An evenly spaced sample of the queries is also searched exactly, and the beam doubles until the share found of a sampled query's
+        pairs, averaged over those that have any, reaches recall. Where it does not before a search looks at as many
+        nodes as there are, all queries are searched exactly. A query gives its nearest pairs, as many as the beam has room for; where
+        nothing but pairs is in its beam it may have more.
         """
-        n = len(self.codes)
+        n, none = len(self.codes), np.zeros(0, np.int64)
         if not n or not len(queries):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64), 1.0
+            return none, none, np.zeros(len(queries), dtype=bool), beam, 1.0
         own = np.full(len(queries), -1) if own is None else own
         sample = np.unique(np.linspace(0, len(queries) - 1, min(audit, len(queries))).astype(np.int64))
-        true = _others(*exact(self.codes, queries[sample], radius), own[sample])
-        true_key, many = true[0] * n + true[1], np.bincount(true[0], minlength=len(sample))
-        some = many > 0
+        part = None if apart is None else (apart[0], apart[1][sample])
+        q, node = _others(*exact(self.codes, queries[sample], radius), own[sample])
+        if part is not None:
+            other = part[0][node] != part[1][q]
+            q, node = q[other], node[other]
+        true_key, many = q * n + node, np.bincount(q, minlength=len(sample))
         while True:
-            q, node = self._within(queries[sample], radius, beam, own[sample])
-            hit = np.isin(true_key, q * n + node)
-            share = np.bincount(true[0][hit], minlength=len(sample))[some] / many[some]
+            q, node, full = self._nearest(queries[sample], radius, beam, own[sample], part)
+            got = np.bincount(q, minlength=len(sample))
+            hit = np.bincount(q[np.isin(q * n + node, true_key)], minlength=len(sample))
+            some = many > 0
+            share = hit[some] / np.where(full, np.minimum(many, np.maximum(got, 1)), many)[some]
             found = float(share.mean()) if len(share) else 1.0
             if found >= recall:
-                return *self._within(queries, radius, beam, own), found
+                return *self._nearest(queries, radius, beam, own, apart), beam, found
             if beam * self.links.shape[1] >= n:
-                return *_others(*exact(self.codes, queries, radius), own), 1.0
+                return *self._nearest(queries, radius, beam, own, apart, compare=True), beam, 1.0
             beam *= 2
 
-    def _within(self, queries: np.ndarray, radius: int, beam: int, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        todo = np.arange(len(queries))
-        out_q, out_n = [], []
-        while len(todo):
-            ids, d = self.search(queries[todo], beam, block=max(16, 65536 // beam), own=own[todo])
-            near = (d <= radius) & (ids >= 0)
-            full = near.all(axis=1) & (beam < len(self.codes))
-            r, c = np.nonzero(near & ~full[:, None])
-            out_q.append(todo[r])
-            out_n.append(ids[r, c])
-            todo = todo[full]
-            beam *= 2
-        return _others(np.concatenate(out_q), np.concatenate(out_n), own)
+    def _nearest(
+        self, queries: np.ndarray, radius: int, beam: int, own: np.ndarray, apart: tuple[np.ndarray, np.ndarray] | None, compare: bool = False
+    ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The pairs that a beam holds, and whether it holds nothing else; compare: by comparing each query with all nodes."""
+        if compare:
+            ids, d = self._compared(queries, beam, apart)
+        else:
+            ids, d = self.search(queries, beam, block=max(16, 65536 // beam), own=own, apart=apart)
+        near = (d <= radius) & (ids >= 0)
+        r, c = np.nonzero(near)
+        full = near.all(axis=1) & (beam < len(self.codes))
+        return *_others(r, ids[r, c], own), full
+
+    def _compared(self, queries: np.ndarray, beam: int, apart: tuple[np.ndarray, np.ndarray] | None) -> tuple[np.ndarray, np.ndarray]:
+        n, many = len(self.codes), min(beam, len(self.codes))
+        ids, d = np.full((len(queries), beam), -1, dtype=np.int64), np.full((len(queries), beam), 1 << 20, dtype=np.int64)
+        for i, q in enumerate(queries):
+            key = self._far(np.arange(n), q, None if apart is None else apart[0], 0 if apart is None else apart[1][i]) * n + np.arange(n)
+            key = np.sort(np.partition(key, many - 1)[:many])
+            ids[i, :many], d[i, :many] = key % n, key // n
+        return ids, d
 
 
 def _others(q: np.ndarray, node: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

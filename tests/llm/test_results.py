@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 
 from galeframe.llm import bpe, decontaminate, langid, licenses, neighbours, passages, quality, simhash, toxicity, urls
-from galeframe.llm.common import components, read
+from galeframe.llm.common import components, forest, read
 from galeframe.llm.smallworld import Graph, distance, exact
 from galeframe.llm.suffixes import classes
 from galeframe.llm.textarray import words
@@ -53,12 +53,11 @@ def test_bpe_against_another_encoder(docs):
         assert c.encode(raw, np.array([0, len(raw)]))[0].tolist() == enc.encode_ordinary(t), t
 
 
-def test_simhash_groups_against_all_pairs(spark, docs):
-    s = simhash.Settings()
-    rows = [r for r in docs.collect() if plain_words(r["text"])]
-    w = words(pa.array([r["text"] for r in rows], pa.string()))
+def plain_groups(rows, s):
+    """The groups of (doc_id, text) rows as sets of their numbers, and the texts' (keys, code, word pairs), by comparing all pairs."""
+    w = words(pa.array([t for _, t in rows], pa.string()))
     codes, keys = simhash.codes(w), simhash.sequence_keys(w)
-    grams = [set(zip(p, p[1:])) or {tuple(p)} for p in (plain_words(r["text"]) for r in rows)]
+    grams = [set(zip(p, p[1:])) or {tuple(p)} for p in (plain_words(t) for _, t in rows)]
     label = list(range(len(rows)))
 
     def root(i):
@@ -71,34 +70,91 @@ def test_simhash_groups_against_all_pairs(spark, docs):
         if keys[i] == keys[j] or near:
             a, b = sorted((root(i), root(j)))
             label[b] = a
-    want = {}
+    out = {}
     for i in range(len(rows)):
-        want.setdefault(root(i), set()).add(rows[i]["doc_id"])
-    want = {frozenset(g) for g in want.values() if len(g) > 1}
+        out.setdefault(root(i), set()).add(rows[i][0])
+    return {frozenset(g) for g in out.values() if len(g) > 1}
+
+
+@pytest.mark.parametrize("settings", [simhash.Settings(), simhash.Settings(shard=64, blocks=3), simhash.Settings(shard=50, beam=4, blocks=2)])
+def test_simhash_groups_against_all_pairs(spark, docs, settings):
+    want = plain_groups([(r["doc_id"], r["text"]) for r in docs.collect() if plain_words(r["text"])], settings)
     got = {}
-    for r in simhash.groups(docs).collect():
+    for r in simhash.groups(docs, settings).collect():
         got.setdefault(r["group_id"], set()).add(r["doc_id"])
         assert r["kept"] == (r["doc_id"] == r["group_id"])
     assert {frozenset(g) for g in got.values()} == want and want
 
 
+def test_simhash_of_many_variants(spark):
+    """A text in thousands of variants is one group, and what merely has near codes stays apart, without going through all pairs."""
+    rng = np.random.default_rng(6)
+    vocabulary = [f"term{i}" for i in range(4000)]
+    base = [vocabulary[i] for i in rng.integers(0, 4000, 200)]
+    rows = []
+    for i in range(5000):
+        t = list(base)
+        for at in rng.integers(0, 200, 12):
+            t[at] = vocabulary[rng.integers(0, 4000)]
+        rows.append((i, " ".join(t)))
+    rows += [(10_000 + i, " ".join(vocabulary[k] for k in rng.integers(0, 4000, 150))) for i in range(300)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(8).cache()
+    d.count()
+    got = simhash.groups(d).toPandas()
+    assert len(got) == 5000 and (got.group_id == 0).all() and got.kept.sum() == 1
+    assert simhash.clean(d).count() == 301
+
+
+A, B, C = ("one two three four five six seven", "red green blue white black brown grey", "north south east west up down left right")
+
+
+@pytest.mark.parametrize(
+    "rows, want",
+    [
+        ([(1, A), (5, A), (5, B), (7, C)], [(1, A), (5, B), (7, C)]),
+        ([(5, A), (5, A), (5, B), (7, C)], [(5, A), (5, B), (7, C)]),
+        ([(1, A), (5, A), (5, None), (5, ""), (None, A)], [(1, A), (5, None), (5, ""), (None, A)]),
+        ([(1, A), (1, B), (2, A), (3, B), (1, B)], [(1, A), (1, B)]),
+    ],
+)
+def test_simhash_keeps_each_text_once(spark, rows, want):
+    d = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, `a.b` int")
+    out = simhash.clean(d)
+    key = lambda r: (r[0] is None, r[0] or 0, r[1] is None, r[1] or "")
+    assert out.columns == d.columns and sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=key) == sorted(want, key=key)
+
+
 def test_graph_recall():
     rng = np.random.default_rng(0)
     base = rng.integers(0, 1 << 63, (400, 2), dtype=np.uint64)
     codes = np.concatenate([base, *(base ^ (np.uint64(1) << rng.integers(0, 63, (400, 2), dtype=np.uint64)) for _ in range(4))])
     graph = Graph.build(codes)
-    q, n, recall = graph.within(codes, 8, 16)
+    q, n, more, _, recall = graph.within(codes, 8, 16)
+    assert not more.any()
     tq, tn = exact(codes, codes, 8)
     found = set(zip(q.tolist(), n.tolist()))
     assert recall >= 0.95 and len(found & set(zip(tq.tolist(), tn.tolist()))) >= 0.9 * len(tq) and found <= set(zip(tq.tolist(), tn.tolist()))
 
 
-def test_components_of_chains(spark):
+@pytest.mark.parametrize("single", [1 << 22, 0])
+def test_components_of_chains(spark, single):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (None, 5), (7, 7)], "a long, b long")
-    got = {r["node"]: r["label"] for r in components(edges).collect()}
+    got = {r["node"]: r["label"] for r in components(edges, single=single).collect()}
     assert all(got[i] == 0 for i in range(61)) and got[101] == 100 and len(got) == 63
 
 
+def test_forest_of_random_edges():
+    rng = np.random.default_rng(8)
+    a, b = rng.integers(0, 300, 150), rng.integers(0, 300, 150)
+    node, label = forest(a, b)
+    of = {i: {i} for i in range(300)}
+    for x, y in zip(a, b):
+        joined = of[x] | of[y]
+        for i in joined:
+            of[i] = joined
+    assert {n: k for n, k in zip(node.tolist(), label.tolist())} == {n: min(of[n]) for n in np.unique(np.concatenate([a, b])).tolist()}
+
+
 def brute_spans(rows, least):
     """{(doc_id, start of a window that repeats)}: duplicates and originals."""
     seen, first = {}, {}
@@ -301,7 +357,7 @@ def hard_to_reach():
 
 def test_audit_counts_small_groups_as_much_as_large_ones():
     codes, graph = hard_to_reach()
-    q, n, recall = graph.within(codes, 8, 16, own=np.arange(len(codes)))
+    q, n, _, _, recall = graph.within(codes, 8, 1024, own=np.arange(len(codes)))
     tq, tn = exact(codes, codes, 8)
     found, true = set(zip(q.tolist(), n.tolist())), {(a, b) for a, b in zip(tq.tolist(), tn.tolist()) if a != b}
     assert found <= true and recall >= 0.95
