@@ -65,7 +65,7 @@ class Settings:
     similarity: float = 0.55
     shard: int = 1 << 20
     blocks: int = 16
-    beam: int = 48
+    beam: int = 24
     recall: float = 0.95
     first: int = 4
 
