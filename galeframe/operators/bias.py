@@ -11,6 +11,7 @@ from galeframe.functions.aggregates import mean_over_all_weights, mean_over_pres
 from galeframe.functions.timeslice import hours_in_month, slice_of
 from galeframe.operators.columns import clean_observations, complete_years, melt_months, month_names, remove_share, require
 from galeframe.operators.series import interpolate
+from galeframe.storage import small
 
 SLICE = ("year", "time_slice", "cluster")
 VALUES = ("sim", "obs", "scalar")
@@ -36,6 +37,16 @@ def country_generation_to_cf(obs: DataFrame, turbines: DataFrame, output: str =
     return obs.select("year", "month", (F.col(output) / (F.lit(total) * hours_in_month(F.col("year"), F.col("month")))).alias("obs"))
 
 
+def prorata(shares: DataFrame, totals: DataFrame, weight: str, total: str) -> DataFrame:
+    """Every total split over the rows of shares by their weight's share of all weights: totals' columns with the part in place of the total, shares' other columns, and share.
+
+    totals are few (months of a country, say) and are broadcast while they are; shares may be many.
+    """
+    whole = shares.agg(F.sum(weight).alias("_all"))
+    own = shares.crossJoin(F.broadcast(whole)).withColumn("share", F.col(weight) / F.nullif(F.col("_all"), F.lit(0))).drop("_all", weight)
+    return own.crossJoin(small(totals)).withColumn(total, F.col(total) * F.col("share"))
+
+
 def scalars(gen_cf: DataFrame, resolution: str) -> DataFrame:
     """(year, time_slice, cluster, obs, sim, scalar): capacity-weighted means and their ratio.
 

@@ -114,6 +114,18 @@ def latest_wins(df: DataFrame, keys: list[str], order: list[Column]) -> DataFram
     return df.withColumn("_nth", spot).where("_nth = 1").drop("_nth")
 
 
+def rows_between(df: DataFrame, order: list[Column], first: int, last: int) -> DataFrame:
+    """The rows from first up to, not including, last, counted from 0 in the given order, which must break ties."""
+    return df.orderBy(*order).offset(first).limit(max(0, last - first))
+
+
+def transposed(df: DataFrame, key: str, names: list[str], out: str = "name") -> DataFrame:
+    """A row for each other column of df and a column for each of the names, which are values of the key; all values are doubles."""
+    others = [c for c in df.columns if c != key]
+    long = df.select(key, *(F.col(f"`{c}`").cast("double").alias(c) for c in others)).unpivot([key], others, out, "_value")
+    return long.groupBy(out).pivot(key, names).agg(F.first("_value", ignorenulls=True))
+
+
 def overlay(base: Column, top: Column, default: float | None = None) -> Column:
     """top where it has a value, else base, else the default."""
     return F.coalesce(top, base, F.lit(default).cast("double"))

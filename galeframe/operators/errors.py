@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from galeframe.functions.scalars import haversine_km
+
 MODES = ("temporal-focus", "spatial-focus", "total", "monthly-error", "regional-error", "turbine-error", "cluster-error")
 
 
@@ -61,6 +63,17 @@ def error(mode: str, table: DataFrame, flag: str = "in_training", region: str =
     raise ValueError(f"unknown mode: {mode}")
 
 
+def with_distance(each: DataFrame, places: DataFrame, trained: DataFrame, flag: str = "in_training") -> DataFrame:
+    """each (ID, ...) with distance_km, that to the nearest place trained on; rows whose flag says yes are such places themselves, at 0.
+
+    places: (ID, lon, lat); trained: (lon, lat), a training set's turbines, which go along as one array.
+    """
+    packed = trained.where("lon is not null and lat is not null").distinct().agg(F.collect_list(F.struct("lon", "lat")).alias("_t"))
+    own = each.join(places.select("ID", F.col("lon").alias("_lon"), F.col("lat").alias("_lat")), "ID", "left").crossJoin(F.broadcast(packed))
+    near = F.array_min(F.transform("_t", lambda t: haversine_km(F.col("_lon"), F.col("_lat"), t["lon"], t["lat"])))
+    return own.withColumn("distance_km", F.when(F.col(flag).cast("string").isin("yes", "true"), 0.0).otherwise(near)).drop("_t", "_lon", "_lat")
+
+
 def sweep(mode: str, runs: DataFrame, obs: DataFrame, turbines: DataFrame) -> DataFrame:
     """(num_clu, time_res, rmse, mae, mbe) of all runs at once; runs: (num_clu, time_res, ID, year, month, cf).
 

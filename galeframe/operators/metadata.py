@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from galeframe.functions.scalars import capacity_mw, clip, extracted_number, number, specific_power
 from galeframe.operators.columns import conform, numeric, pick, require
 from galeframe.operators.geo import thin_by_distance
+from galeframe.storage import small
 
 SCHEMA = {
     "ID": "string", "capacity": "double", "diameter": "double", "height": "double", "manufacturer": "string", "lon": "double", "lat": "double", "type": "string",
@@ -20,12 +21,12 @@ NUMBERS = ("lon", "lat", "height", "diameter", "capacity")
 
 
 def standardise(df: DataFrame) -> DataFrame:
-    """df with string IDs, numbers as numbers and a type (onshore by default), without heights of 1 m or less. No row left is an error."""
-    require(df, "ID", "lon", "lat", "height", "capacity")
+    """df with string IDs, numbers as numbers and a type (onshore by default), without heights of 1 m or less or none. No row left is an error."""
+    require(df, "ID", "height")
     out = numeric(df, "capacity", "height", "diameter", "lon", "lat").withColumn("ID", F.col("ID").cast("string"))
-    out = out.withColumn("type", F.coalesce(pick(df, "type"), F.lit("onshore"))).dropna(subset=["ID", "lon", "lat", "height", "capacity"]).where("height > 1")
+    out = out.withColumn("type", F.coalesce(pick(df, "type"), F.lit("onshore"))).where("height > 1")
     if out.isEmpty():
-        raise ValueError("no turbine has all of ID, capacity, height, lon and lat")
+        raise ValueError("no turbine has a hub height above 1 m")
     return out
 
 
@@ -107,7 +108,7 @@ def norwegian_turbines(plants: DataFrame, enriched: DataFrame, jitter_km: float
     turbines counts as one. jitter moves each within a disc, by a hash of its ID and the seed.
     """
     base = plants.select(F.col("VindkraftAnleggId").try_cast("long").alias("plant"), number(F.col("InstallertEffekt_MW")).alias("mw"), F.posexplode_outer("Turbiner").alias("block", "b"))
-    base = base.where("plant is not null").join(F.broadcast(enriched), "plant", "left")
+    base = base.where("plant is not null").join(small(enriched), "plant", "left")
     count = F.when(F.col("b").isNull(), 1).otherwise(F.greatest(F.coalesce(F.col("b.AntallTurbiner").try_cast("int"), F.lit(0)), F.lit(1)))
     rows = base.withColumn("t", F.explode(F.sequence(F.lit(0), count - 1)))
     own = F.when(F.col("b").isNull(), F.format_string("NO_%d_plant", "plant")).otherwise(F.format_string("NO_%d_blk_%d_t_%d", "plant", "block", "t"))
@@ -166,6 +167,6 @@ def assign_models(turbines: DataFrame, models: DataFrame, accept: float = 1.0, t
         # Equal distances go to the smaller density, then to the first model by name.
         return F.array_min(F.transform(options_column, lambda x: F.struct(F.abs(x["m_density"] - F.col("p_density")).alias("d"), x["m_density"].alias("at"), x["m_model"].alias("model"))))
 
-    df = t.join(F.broadcast(options), "maker", "left").crossJoin(F.broadcast(everything)).withColumns({"_m": nearest("_o"), "_f": nearest("_all")})
+    df = t.join(small(options), "maker", "left").crossJoin(F.broadcast(everything)).withColumns({"_m": nearest("_o"), "_f": nearest("_all")})
     model = F.coalesce(F.when(F.col("_m.d") < accept, F.col("_m.model")), F.when(F.col("_f.d") <= tolerance, F.col("_f.model")))
     return df.withColumn("model", model).where("model is not null").select("ID", "type", *NUMBERS, "p_density", "model")

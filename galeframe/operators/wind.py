@@ -10,6 +10,10 @@ from galeframe.functions.scalars import clip, log_profile, log_roughness, roughn
 from galeframe.functions.timeslice import slice_of
 from galeframe.operators.columns import BOXES, in_box, require
 from galeframe.operators.series import backfill, resample
+from galeframe.storage import small
+
+#: Curves, of some tens of pieces each, that are broadcast; a larger catalogue is joined by a shuffle.
+MODELS = 10_000
 
 
 def unify_time(df: DataFrame) -> DataFrame:
@@ -140,7 +144,7 @@ def to_capacity_factor(wind: DataFrame, segments: DataFrame, outside: str = "nul
     """
     pieces = [c for c in ("x0", "x1", "c0", "c1", "c2", "c3") if c in segments.columns]
     packed = segments.groupBy("model").agg(F.sort_array(F.collect_list(F.struct(*pieces))).alias("_s"))
-    df = wind.join(F.broadcast(packed), "model", "left")
+    df = wind.join(small(packed, MODELS), "model", "left")
     ws, low, high = F.col("ws"), F.element_at("_s", 1)["x0"], F.element_at("_s", -1)["x1"]
     piece = F.element_at(F.filter("_s", lambda s: (s["x0"] <= ws) & (ws <= s["x1"])), 1)
     df = df.withColumn("_p", F.when((ws >= low) & (ws <= high), piece))
@@ -161,7 +165,7 @@ def correct(wind: DataFrame, factors: DataFrame, resolution: str) -> DataFrame:
     if "cluster" not in wind.columns:
         wind = wind.withColumn("cluster", F.lit(0))
     df = wind.withColumn("time_slice", slice_of(F.month("time"), resolution))
-    joined = df.join(F.broadcast(factors.select("cluster", "time_slice", "scalar", "offset")), ["cluster", "time_slice"], "left")
+    joined = df.join(small(factors.select("cluster", "time_slice", "scalar", "offset")), ["cluster", "time_slice"], "left")
     return joined.withColumn("ws", F.col("ws") * F.col("scalar") + F.col("offset")).drop("scalar", "offset")
 
 

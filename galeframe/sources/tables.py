@@ -12,8 +12,26 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from galeframe.functions.scalars import domain, first_word, number, recode, stripped, to_lonlat, utm_to_lonlat
-from galeframe.operators.columns import conform, month_names, pick, pivot_months, require
-from galeframe.operators.metadata import NUMBERS, SCHEMA, belgium, enrichment, impute, norwegian_turbines
+from galeframe.operators.bias import generation_to_cf
+from galeframe.operators.columns import conform, melt_months, month_names, pick, pivot_months, require
+from galeframe.operators.metadata import NUMBERS, SCHEMA, assign_models, belgium, enrichment, impute, norwegian_turbines, standardise
+from galeframe.operators.series import resample
+
+#: The headers of the files as they are published, and what the loaders call them. Files with the loaders' own names load too.
+HEADERS: dict[str, dict[str, str]] = {
+    "DK": {
+        "Turbine identifier (GSRN)": "ID", "Manufacture": "manufacturer", "Capacity (kW)": "capacity", "Rotor diameter (m)": "diameter", "Hub height (m)": "height",
+        "X (east) coordinate\nUTM 32 Euref89": "east", "Y (north) coordinate\nUTM 32 Euref89": "north", "Type of location": "type",
+    },
+    "DE": {"V1": "ID", "Manufacturer": "manufacturer", "kW": "capacity", "Rotor..m.": "diameter", "Tower..m.": "height"},
+    "FR": {
+        "id_aerogenerateur": "ID", "puissance_mw": "capacity", "diametre_rotor": "diameter", "hauteur_mat_nacelle": "height", "constructeur": "manufacturer",
+        "x_aerogenerateur": "x", "y_aerogenerateur": "y", "statut_parc": "status",
+    },
+    "generation": {"Standard international energy product classification (SIEC)": "siec"},
+}
+#: The years whose observations train a country's model; other countries take those of the last entry.
+TRAINING_YEARS = {"DK": (2015, 2019), "DE": (2015, 2018), "UK": (2015, 2018), "": (2015, 2018)}
 
 
 def csv(spark: SparkSession, path: str, schema: str | None = None, **options) -> DataFrame:
@@ -40,41 +58,80 @@ def with_hours(df: DataFrame, first_hour: str, order: str = "step") -> DataFrame
     return df.withColumn("time", F.to_timestamp_ntz(F.lit(first_hour)) + F.make_dt_interval(hours=F.col(order).cast("int")))
 
 
-def rings(spark: SparkSession, path: str) -> DataFrame:
-    """(region, rings) of the polygons of a GeoJSON file."""
+def merra2_daily(df: DataFrame, year: int, order: str = "step", box: tuple[float, float, float, float] = (7.0, 16.0, 54.3, 58.0)) -> DataFrame:
+    """Daily means of all variables of an hourly grid without a usable clock: (step, lat or latitude, lon or longitude, ...), its first step being the year's first hour.
+
+    box: (lon_min, lon_max, lat_min, lat_max), bounds included. Coordinates are rounded half-even to 5 places.
+    """
+    df = df.withColumnsRenamed({"longitude": "lon", "latitude": "lat"})
+    inside = df.where(F.col("lon").between(box[0], box[1]) & F.col("lat").between(box[2], box[3]))
+    values = [c for c in df.columns if c not in (order, "lat", "lon", "time")]
+    clocked = with_hours(inside, f"{year}-01-01 00:00:00", order).withColumns({c: F.bround(c, 5) for c in ("lat", "lon")})
+    return resample(clocked, "day", ["lat", "lon"], values).select("time", "lat", "lon", *values)
+
+
+def _features(spark: SparkSession, path: str) -> DataFrame:
     kind = "features array<struct<properties: map<string, string>, geometry: struct<type: string, coordinates: string>>>"
     raw = spark.read.schema(kind).json(path, multiLine=True)
-    each = raw.select(F.posexplode("features").alias("region", "f")).select("region", F.col("f.geometry.type").alias("type"), F.col("f.geometry.coordinates").alias("c"))
+    return raw.select(F.posexplode("features").alias("region", "f")).select("region", F.col("f.properties").alias("properties"), F.col("f.geometry.type").alias("type"), F.col("f.geometry.coordinates").alias("c"))
+
+
+def points(spark: SparkSession, path: str, *names: str, epsg: int = 4326) -> DataFrame:
+    """(names..., lon, lat) of the point features of a GeoJSON file, with those of their properties as strings."""
+    each = _features(spark, path).where("type = 'Point'").withColumn("at", F.from_json("c", "array<double>"))
+    lon, lat = to_lonlat(F.col("at")[0], F.col("at")[1], epsg)
+    return each.select(*(F.element_at("properties", n).alias(n) for n in names), lon.alias("lon"), lat.alias("lat"))
+
+
+def rings(spark: SparkSession, path: str) -> DataFrame:
+    """(region, rings) of the polygons of a GeoJSON file."""
+    each = _features(spark, path).select("region", "type", "c")
     one = F.from_json("c", "array<array<array<double>>>")
     many = F.flatten(F.from_json("c", "array<array<array<array<double>>>>"))
     return each.where(F.col("type").isin("Polygon", "MultiPolygon")).select("region", F.when(F.col("type") == "Polygon", one).otherwise(many).alias("rings"))
 
 
+def headed(df: DataFrame, source: str) -> DataFrame:
+    """df with the published headers of a source under the loaders' names."""
+    return df.withColumnsRenamed(HEADERS[source])
+
+
 def turbines_dk(df: DataFrame) -> DataFrame:
-    """Danish metadata (ID, manufacturer, capacity, diameter, height, east, north, type as LAND or HAV); UTM zone 32."""
+    """Danish metadata (ID, manufacturer, capacity, diameter, height, east, north, type as LAND or HAV); UTM zone 32.
+
+    Rows without a capacity, a diameter or a place go.
+    """
+    df = require(headed(df, "DK"), "ID", "manufacturer", "capacity", "diameter", "height", "east", "north", "type")
     lon, lat = utm_to_lonlat(number(F.col("east")), number(F.col("north")), 32)
     kind = recode(F.lower(F.trim("type")), {"hav": "offshore", "land": "onshore"})
-    return _metadata(df.withColumns({"lon": lon, "lat": lat, "type": kind, "manufacturer": first_word(F.lower("manufacturer"))}))
+    return _metadata(df.withColumns({"lon": lon, "lat": lat, "type": kind, "manufacturer": first_word(F.lower("manufacturer"))})).dropna(subset=["capacity", "diameter"])
 
 
 def turbines_de(df: DataFrame, postcodes: DataFrame) -> DataFrame:
-    """German metadata (ID, manufacturer, capacity, diameter, height) placed by the postcode that the ID begins with."""
+    """German metadata (ID, manufacturer, capacity, diameter, height) placed by the postcode that the ID begins with.
+
+    Rows without a capacity, a diameter or a place go.
+    """
+    df = headed(df, "DE")
     places = postcodes.groupBy(F.col("postcode").cast("int").alias("postcode")).agg(F.min(F.struct("lon", "lat")).alias("_p")).select("postcode", "_p.*")
-    return _metadata(df.withColumn("postcode", F.substring("ID", 1, 5).try_cast("int")).join(places, "postcode", "left").withColumn("type", F.lit("onshore")))
+    return _metadata(df.withColumn("postcode", F.substring("ID", 1, 5).try_cast("int")).join(places, "postcode", "left").withColumn("type", F.lit("onshore"))).dropna(subset=["capacity", "diameter"])
 
 
-def turbines_fr(df: DataFrame, authorised: str | None = "AUTORISE", kind: str = "onshore") -> DataFrame:
-    """French metadata (ID, status, capacity in MW, diameter, height, manufacturer, x, y, epsg), each row in its own coordinate system."""
-    require(df, "ID", "capacity", "x", "y", "epsg")
+def turbines_fr(df: DataFrame, authorised: str | None = "Autorisé", kind: str = "onshore") -> DataFrame:
+    """French metadata (ID, status, capacity in MW, diameter, height, manufacturer, x, y, epsg), each row in its own coordinate system.
+
+    Where there is a status only the rows that have the authorised one stay. Rows without a capacity, a height or a place go.
+    """
+    df = require(headed(df, "FR"), "ID", "capacity", "diameter", "height", "manufacturer", "x", "y", "epsg")
     if authorised and "status" in df.columns:
-        df = df.where(F.upper(F.trim("status")) == authorised)
+        df = df.where(F.trim("status") == authorised)
     systems = [r["e"] for r in df.select(F.col("epsg").try_cast("int").alias("e")).where("e is not null").distinct().collect()]
     lon = lat = F.lit(None).cast("double")
     for e in sorted(systems):
         x, y = to_lonlat(number(F.col("x")), number(F.col("y")), e)
         own = F.col("epsg").try_cast("int") == e
         lon, lat = F.when(own, x).otherwise(lon), F.when(own, y).otherwise(lat)
-    return _metadata(df.withColumns({"lon": lon, "lat": lat, "capacity": number(F.col("capacity")) * 1000.0, "type": F.lit(kind)}))
+    return _metadata(df.withColumns({"lon": lon, "lat": lat, "capacity": number(F.col("capacity")) * 1000.0, "type": F.lit(kind)})).dropna(subset=["capacity", "height"])
 
 
 def turbines_nl(df: DataFrame) -> DataFrame:
@@ -88,6 +145,7 @@ def turbines_nl(df: DataFrame) -> DataFrame:
 
 
 def turbines_uk(df: DataFrame) -> DataFrame:
+    """British metadata in the common schema's names; a missing type is onshore."""
     return _metadata(df.withColumn("type", domain(pick(df, "type", default="onshore"))))
 
 
@@ -97,6 +155,7 @@ def _metadata(df: DataFrame) -> DataFrame:
 
 
 def turbines_no(plants: DataFrame, enriched: DataFrame, jitter_km: float = 0.0, seed: int = 0) -> DataFrame:
+    """Norwegian turbines of the plants (see norwegian_turbines), enriched by whatever names the second table uses, imputed, in kW."""
     return impute(norwegian_turbines(plants, enrichment(enriched), jitter_km, seed))
 
 
@@ -106,10 +165,42 @@ LOADERS: dict[str, Callable[..., DataFrame]] = {
 
 
 def load_turbines(country: str, *tables: DataFrame, **options) -> DataFrame:
-    """A country's metadata in the common schema, from the tables that its loader names."""
-    if country not in LOADERS:
+    """A country's metadata in the common schema, from the tables that its loader names, without hub heights of 1 m or less.
+
+    An unknown country, and a table of which no turbine is left, raise ValueError.
+    """
+    if country.upper() not in LOADERS:
         raise ValueError(f"unknown country: {country}")
-    return LOADERS[country](*tables, **options)
+    return standardise(LOADERS[country.upper()](*tables, **options))
+
+
+def training_years(country: str, year: int | None = None, train: bool = True, windows: dict[str, tuple[int, int]] = TRAINING_YEARS) -> tuple[int, int]:
+    """The first and last year of a country's observations: those that it is trained on, or the year that is tested."""
+    if train:
+        return windows.get(country.upper(), windows[""])
+    if year is None:
+        raise ValueError("a test needs its year")
+    return year, year
+
+
+def prepare_country(country: str, turbines: DataFrame, observed: DataFrame, models: DataFrame | None = None, year: int | None = None, level: str = "turbine", windows: dict = TRAINING_YEARS) -> tuple[DataFrame, DataFrame]:
+    """A country's observations and turbines, ready for training (year None) or for testing a year.
+
+    turbines: of load_turbines(). level turbine: observed is that of observations(), and both come out as wide capacity factors (ID, year, obs_1..obs_12)
+    of the turbines that have one of the models, and those turbines. level country: observed is that of country_generation(), and comes
+    out as (year, month, output_kwh), with all turbines that have a capacity and a place.
+    """
+    first, last = training_years(country, year, year is None, windows)
+    if level == "country":
+        return country_generation(observed, country, first, last), turbines.dropna(subset=["capacity", "height", "lon", "lat"])
+    if level != "turbine":
+        raise ValueError(f"unknown level: {level}")
+    if models is None:
+        raise ValueError("turbines need the catalogue of models")
+    known = assign_models(turbines, models)
+    long = melt_months(observations(country, observed, first, last))
+    cf = generation_to_cf(long.join(known.select("ID"), "ID", "left_semi"), known)
+    return pivot_months(cf), known
 
 
 def observations_long(df: DataFrame, first: int, last: int) -> DataFrame:
@@ -132,11 +223,18 @@ def observations(country: str, df: DataFrame, first: int, last: int) -> DataFram
     return (observations_long if country == "DE" else observations_wide)(df, first, last)
 
 
-def country_generation(df: DataFrame, country: str, first: int, last: int, carrier: str = "RA310_RA320") -> DataFrame:
-    """(year, month, output_kwh) of a table (siec, TIME_PERIOD as yyyy-MM, OBS_VALUE in GWh, geo)."""
-    day = F.to_date(F.concat(F.col("TIME_PERIOD"), F.lit("-01")))
-    own = df.where((F.col("geo") == country) & F.col("siec").startswith(carrier)).select(F.year(day).alias("year"), F.month(day).alias("month"), (number(F.col("OBS_VALUE")) * 1e6).alias("kwh"))
-    return own.where(F.col("year").between(first, last)).groupBy("year", "month").agg(F.sum("kwh").alias("output_kwh"))
+def country_generation(df: DataFrame, country: str, first: int, last: int, carrier: str = "Wind") -> DataFrame:
+    """(year, month, output_kwh) of a table (siec, TIME_PERIOD as yyyy-MM or a date, OBS_VALUE in GWh, geo).
+
+    siec may have its published header. A country without any row of the carrier raises ValueError.
+    """
+    df = require(headed(df, "generation"), "siec", "TIME_PERIOD", "OBS_VALUE", "geo")
+    own = df.where((F.col("geo") == country.upper()) & (F.col("siec") == carrier))
+    if own.isEmpty():
+        raise ValueError(f"no generation of {carrier} for {country}")
+    day = F.to_date(F.substring(F.rpad(F.col("TIME_PERIOD").cast("string"), 10, "-01"), 1, 10))
+    months = own.select(F.year(day).alias("year"), F.month(day).alias("month"), (number(F.col("OBS_VALUE")) * 1e6).alias("kwh"))
+    return months.where(F.col("year").between(first, last)).groupBy("year", "month").agg(F.sum("kwh").alias("output_kwh"))
 
 
 def hourly_generation(df: DataFrame, country: str, time: str = "utc_timestamp") -> DataFrame:

@@ -201,7 +201,8 @@ def test_greedy_thinning_against_brute_force(spark):
     got = set(geo.thin_by_distance(spark.createDataFrame(p), 0.4).toPandas().ID)
     kept = []
     for r in p.sort_values(["priority", "ID"]).itertuples():
-        if all(haversine((r.lon, r.lat), (k.lon, k.lat)) >= 0.4 for k in kept):
+        at = lambda q: np.array([math.radians(q.lon) * math.cos(math.radians(p.lat.mean())), math.radians(q.lat)]) * 6371
+        if all(((at(r) - at(k)) ** 2).sum() > 0.4**2 for k in kept):
             kept.append(r)
     assert got == {k.ID for k in kept}
     chain = spark.createDataFrame([("A", 0.0, 50.0, 0), ("B", 0.0, 50.0018, 0), ("C", 0.0, 50.0036, 0), ("N", None, None, 0)], "ID string, lon double, lat double, priority int")
@@ -300,15 +301,23 @@ def test_loaders(spark, tmp_path):
     dk = spark.createDataFrame([("570", "VESTAS Wind", "2000", "90", "80", "500000", "6100000", "HAV")], "ID string, manufacturer string, capacity string, diameter string, height string, east string, north string, type string")
     r = sources.load_turbines("DK", dk).first()
     assert r["lon"] == pytest.approx(9.0) and r["type"] == "offshore" and r["manufacturer"] == "vestas"
-    fr = spark.createDataFrame([("1", "AUTORISE", 2.0, 90.0, 80.0, "x", 3.0, 46.5, 4326), ("2", "AUTORISE", 2.0, 90.0, 80.0, "x", 700000.0, 6600000.0, 2154), ("3", "REFUSE", 2.0, 90.0, 80.0, "x", 3.0, 46.0, 4326)], "ID string, status string, capacity double, diameter double, height double, manufacturer string, x double, y double, epsg int")
+    fr = spark.createDataFrame([("1", "Autorisé", 2.0, 90.0, 80.0, "x", 3.0, 46.5, 4326), ("2", "Autorisé", 2.0, 90.0, 80.0, "x", 700000.0, 6600000.0, 2154), ("3", "Refusé", 2.0, 90.0, 80.0, "x", 3.0, 46.0, 4326)], "ID string, status string, capacity double, diameter double, height double, manufacturer string, x double, y double, epsg int")
     got = {r["ID"]: (r["lon"], r["lat"], r["capacity"]) for r in sources.load_turbines("FR", fr).collect()}
     assert set(got) == {"1", "2"} and got["2"] == pytest.approx((3.0, 46.5, 2000.0), abs=1e-6)
     de = spark.createDataFrame([("12345678", "x", 2.0, 1.0, 90.0)], "ID string, manufacturer string, capacity double, diameter double, height double")
     assert sources.load_turbines("DE", de, spark.createDataFrame([("12345", 9.0, 52.0)], "postcode string, lon double, lat double")).first()["lat"] == 52.0
     with pytest.raises(ValueError):
         sources.load_turbines("XX", dk)
-    gen = spark.createDataFrame([("RA310_RA320", "2020-01", "1.5", "DK"), ("OTHER", "2020-01", "9", "DK")], "siec string, TIME_PERIOD string, OBS_VALUE string, geo string")
+    gen = spark.createDataFrame([("Wind", "2020-01", "1.5", "DK"), ("Solar", "2020-01", "9", "DK")], "siec string, TIME_PERIOD string, OBS_VALUE string, geo string")
     assert sources.country_generation(gen, "DK", 2019, 2021).first()["output_kwh"] == 1.5e6
+    with pytest.raises(ValueError):
+        sources.country_generation(gen, "FR", 2019, 2021)
+    low = dk.withColumn("height", F.lit("1"))
+    with pytest.raises(ValueError):
+        sources.load_turbines("DK", low)
+    (tmp_path / "p.geojson").write_text('{"type":"FeatureCollection","features":[{"type":"Feature","properties":{"id":"a","kw":2},"geometry":{"type":"Point","coordinates":[4.5,52.5]}},{"type":"Feature","properties":{},"geometry":{"type":"Polygon","coordinates":[[[0,0],[1,0],[0,0]]]}}]}')
+    assert [tuple(r) for r in sources.points(spark, str(tmp_path / "p.geojson"), "id", "kw").collect()] == [("a", "2", 4.5, 52.5)]
+    assert sources.training_years("dk") == (2015, 2019) and sources.training_years("BE") == (2015, 2018) and sources.training_years("BE", 2020, train=False) == (2020, 2020)
     (tmp_path / "r.geojson").write_text('{"type":"FeatureCollection","features":[{"type":"Feature","properties":{"name":"a"},"geometry":{"type":"Polygon","coordinates":[[[0,0],[1,0],[1,1],[0,0]]]}},{"type":"Feature","properties":{},"geometry":{"type":"MultiPolygon","coordinates":[[[[5,5],[6,5],[6,6],[5,5]]]]}}]}')
     assert geo.polygon_edges(sources.rings(spark, str(tmp_path / "r.geojson"))).count() == 6
 
