@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from galeframe.llm.common import prepare, quoted
 from galeframe.llm.textarray import _TABLE, bytes_of, mix, powers, slices
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -266,6 +267,7 @@ def encode(docs: DataFrame, *, vocabulary: str = VOCABULARY, keep: tuple[str, ..
     are; other columns are ignored, but for those named in keep, which come along unchanged. A map
     over the rows: no shuffle; an empty table gives an empty table.
     """
+    prepare(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((load_ranks(vocabulary), character_classes()))
     schema = T.StructType([*SCHEMA.fields, *(docs.schema[c] for c in keep)])
     target = pa.list_(pa.field("element", pa.int32(), False))
@@ -299,7 +301,7 @@ def encode(docs: DataFrame, *, vocabulary: str = VOCABULARY, keep: tuple[str, ..
                     names=schema.names,
                 )
 
-    return docs.select("doc_id", "text", *keep).mapInArrow(run, schema)
+    return docs.select("doc_id", "text", *map(quoted, keep)).mapInArrow(run, schema)
 
 
 def decode(encoded: DataFrame, *, vocabulary: str = VOCABULARY, id_column: str = "doc_id", ids_column: str = "token_ids") -> DataFrame:
@@ -308,6 +310,7 @@ def decode(encoded: DataFrame, *, vocabulary: str = VOCABULARY, id_column: str =
     Bytes that are no UTF-8 (ids that came from elsewhere) become the replacement character; an id
     outside the vocabulary is an error.
     """
+    prepare(encoded.sparkSession)
     shared = encoded.sparkSession.sparkContext.broadcast((load_ranks(vocabulary), character_classes()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -86,6 +86,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return store(df, name)[0]
 
 
+def scratch() -> set[str]:
+    """The paths of all tables of store() that are still there."""
+    return {path for _, path in _scratch}
+
+
 def discard(spark: SparkSession, *paths: str) -> None:
     """Deletes tables of store() that no later step reads."""
     for path in paths:

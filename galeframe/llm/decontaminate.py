@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from galeframe.llm.common import store
+from galeframe.llm.common import prepare, quoted, store
 from galeframe.llm.textarray import CHUNK, slices, words
 
 INDEX = "doc_ids array<long>, first binary, terms binary, counts binary, places binary"
@@ -75,6 +75,12 @@ class Segment:
         self.ends = np.concatenate([[0], np.cumsum(np.frombuffer(counts, np.int32), dtype=np.int64)])
         self.places = np.frombuffer(places, np.int32)
 
+    def has(self, terms: np.ndarray) -> np.ndarray:
+        """Whether each term occurs."""
+        if not len(self.terms):
+            return np.zeros(len(terms), dtype=bool)
+        return self.terms[np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)] == terms
+
     def list_of(self, term: int) -> np.ndarray:
         """Where the term occurs, ascending."""
         i = int(np.searchsorted(self.terms, np.uint64(term)))
@@ -212,10 +218,11 @@ def match(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings()
 
     kind is phrase (the longest run of words, n_words from first_word on) or proximity (the best of the places within slop of each other).
     A word is compared without case and punctuation. Null and empty texts and items match nothing;
-    repeated documents match each for itself, repeated items once. Null ids stay. Other columns are ignored.
+    repeated documents match each for itself, repeated items once. Null ids stay, an empty table of either kind gives no rows. Other columns are ignored.
     The index is a table in the shared folder; texts are read once. Test items go to the tasks
     in blocks of bounded size.
     """
+    prepare(docs.sparkSession)
     spark, s = docs.sparkSession, settings
     index, _ = store(build(docs), "postings")
     out = spark.createDataFrame([], SCHEMA)
@@ -239,15 +246,22 @@ def match(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings()
         frequency = np.zeros(len(terms), dtype=np.int64)
         for r in sums.collect():
             frequency[r["term"]] = r["n"]
-        shared = spark.sparkContext.broadcast([(i, h, frequency[np.searchsorted(terms, h)]) for i, h in items])
+        at = [np.searchsorted(terms, h) for _, h in items]
+        shared = spark.sparkContext.broadcast(([(i, h, frequency[a]) for (i, h), a in zip(items, at)], terms, np.concatenate(at)))
 
         def find(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            known, terms, at = shared.value
+            sizes = np.array([len(h) for _, h, _ in known])
+            least = np.minimum(np.minimum(s.phrase, sizes), np.where(sizes >= s.least, np.ceil(s.share * sizes - 1e-9), sizes))
+            begin = np.cumsum(sizes) - sizes
             for batch in batches:
                 for row in range(batch.num_rows):
                     segment = Segment(*(c[row].as_py() for c in batch.columns))
+                    # An item of which the segment lacks too many words isn't searched for.
+                    here = np.add.reduceat(segment.has(terms)[at].astype(np.int64), begin) >= least
                     rows = [
                         (segment.doc_ids[doc], item, kind, first, n, matched, matched / len(h))
-                        for item, h, counts in shared.value
+                        for item, h, counts in (known[i] for i in np.flatnonzero(here))
                         for doc, kind, first, n, matched in search(segment, h, counts, s)
                     ]
                     if rows:
@@ -264,4 +278,4 @@ _TYPES = [{"long": pa.int64(), "string": pa.string(), "double": pa.float64()}[x.
 def clean(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """The rows of docs in which no item is found. Rows with a null doc_id are judged by no match and stay."""
     hits, _ = store(match(docs, benchmark, settings).select("doc_id").where("doc_id is not null").distinct(), "contaminated")
-    return docs.join(hits, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(hits, "doc_id", "left_anti").select(*map(quoted, docs.columns))

@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from galeframe.llm.common import prepare
 from galeframe.llm.learning import CharGrams, sample, sum_arrays, temperature
 from galeframe.llm.textarray import slices
 
@@ -65,19 +66,14 @@ def document_frequencies(docs: DataFrame, settings: Settings) -> tuple[np.ndarra
     def fill(batch: pa.RecordBatch, total: np.ndarray) -> None:
         column = batch.column(0)
         grams = CharGrams.of(column)
-        seen = np.zeros(width + 1, dtype=np.int64)
-        all_ids = [grams.ids(n, settings.bits) for n in settings.orders]
-        here = np.zeros(width + 1, dtype=bool)
-        for a, b in zip(grams.first[:-1].tolist(), grams.first[1:].tolist()):
-            if b - a < 300:
-                for k in set().union(*(ids[a:b].tolist() for ids in all_ids)):
-                    seen[k] += 1
-                continue
-            here[:] = False
-            for ids in all_ids:
-                here[ids[a:b]] = True
-            seen += here
-        total[:width] += seen[:width]
+        owner = np.repeat(np.arange(len(column), dtype=np.int64) << settings.bits, np.diff(grams.first))
+        pairs = []
+        for n in settings.orders:
+            ids = grams.ids(n, settings.bits)
+            whole = ids < width
+            pairs.append(owner[whole] | ids[whole])
+        once = np.unique(np.concatenate(pairs))
+        total[:width] += np.bincount(once & (width - 1), minlength=width)
         total[width] += len(column) - column.null_count
 
     out = sum_arrays(docs, width + 1, fill)
@@ -144,10 +140,11 @@ def fit(docs: DataFrame, settings: Settings = Settings()) -> Model | None:
 def identify(docs: DataFrame, model: Model | None = None, settings: Settings = Settings()) -> DataFrame:
     """(doc_id, predicted, probability) for every row of docs, over whole texts.
 
-    Null and empty texts get null for both, as does every row where there is nothing to learn from. Ties go to
+    Null and empty texts get null for both, as does every row where there is nothing to learn from. An empty table gives no rows. Ties go to
     the class first in the alphabet. Repeated rows and null ids stay; columns beside doc_id, text
     and lang are ignored. The model (a table of fixed size) is broadcast; rows are not shuffled.
     """
+    prepare(docs.sparkSession)
     model = model or fit(docs, settings)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

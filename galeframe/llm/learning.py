@@ -7,13 +7,15 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from galeframe.llm.textarray import bytes_of, fold, slices
 
 FAN_IN = 64
+#: Chosen ids up to which they are broadcast to the documents.
+BROADCAST = 200_000
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, seed: int = 17) -> pd.DataFrame:
@@ -24,16 +26,15 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, seed:
     labels whose document is absent, are left out; of repeated ids one row is taken.
     """
     spark = docs.sparkSession
-    known = labels.select("doc_id", F.col(label).alias("label")).where("doc_id is not null and label is not null")
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).alias("label")).where("doc_id is not null and label is not null")
     counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
-    picked = []
-    for value in sorted(counts):
-        rows = known.where(F.col("label") == value).dropDuplicates(["doc_id"])
-        picked += [(r["doc_id"], value) for r in rows.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(per_class).collect()]
+    # All classes in one pass: each task passes on no more than per_class ids of a class.
+    nth = F.dense_rank().over(Window.partitionBy("label").orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id"))
+    picked = [tuple(r) for r in known.withColumn("nth", nth).where(F.col("nth") <= per_class).select("doc_id", "label").distinct().collect()]
     kind = known.schema["label"].dataType
-    chosen = spark.createDataFrame(picked, T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("label", kind)]))
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where("text is not null").toPandas()
-    rows = rows.sort_values(["doc_id", "text"]).drop_duplicates("doc_id")
+    chosen = spark.createDataFrame(sorted(picked), T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("label", kind)]))
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen) if len(picked) <= BROADCAST else chosen, "doc_id").where("text is not null").toPandas()
+    rows = rows.sort_values(["doc_id", "text", "label"]).drop_duplicates("doc_id")
     total, have = sum(counts.values()), rows["label"].value_counts()
     rows["weight"] = rows["label"].map({v: counts[v] / total * len(rows) / have[v] for v in have.index}).astype(float)
     order = pd.util.hash_array(rows["doc_id"].to_numpy(np.int64))

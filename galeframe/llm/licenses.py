@@ -8,6 +8,7 @@ one), and a span is verified by the template's words that its matches cover.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from galeframe.llm.common import prepare
 from galeframe.llm.textarray import slices, words
 
 SCHEMA = "doc_id long, license string, template string, first_word long, n_words long, first_byte long, n_bytes long, matched long, share double"
@@ -93,13 +95,14 @@ def scan(docs: DataFrame, templates: dict[tuple[str, str], str] = TEMPLATES, set
     the span's diagonals, which lie within near of each other. A span needs share of the template's words; of overlapping
     spans of a document the one with most matched words stays (ties: the larger share, the earlier, the first license).
     Words are compared without case and punctuation. Null and empty texts have no words and give no rows. Repeated
-    rows are scanned one by one and give equal rows. Null ids stay. Other columns are ignored. Templates
+    rows are scanned one by one and give equal rows. Null ids stay, an empty table gives no rows. Other columns are ignored. Templates
     are a fixed list and are broadcast; texts are read once and not shuffled, only the votes are.
     """
+    prepare(docs.sparkSession)
     spark, s = docs.sparkSession, settings
     names = sorted(templates)
     sizes = [len(_word_hashes(templates[n])) for n in names]
-    rows = docs.select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", "text")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
     votes = None
     for k in sorted({min(s.k, n) for n in sizes if n}):
         known = []
@@ -121,9 +124,8 @@ def scan(docs: DataFrame, templates: dict[tuple[str, str], str] = TEMPLATES, set
         for batch in batches:
             out = []
             for doc, own in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                for span, times in _best(_spans(own, sizes, s), names, sizes):
-                    t, first, end, low, high, matched = span
-                    out += [(doc, *names[t], first, end - first, low, high - low, matched, matched / sizes[t])] * times
+                for t, first, end, low, high, matched in _best(_spans(own, sizes, s), names, sizes):
+                    out.append((doc, *names[t], first, end - first, low, high - low, matched, matched / sizes[t]))
             frame = pd.DataFrame(out, columns=_COLUMNS).astype({"doc_id": "Int64"})
             yield pa.RecordBatch.from_pandas(frame, schema=_ARROW, preserve_index=False)
 
@@ -134,33 +136,33 @@ _COLUMNS = [x.split()[0] for x in SCHEMA.split(", ")]
 _ARROW = pa.schema([(c, {"long": pa.int64(), "string": pa.string(), "double": pa.float64()}[x.split()[1]]) for c, x in zip(_COLUMNS, SCHEMA.split(", "))])
 
 
-def _spans(spots: list[dict], sizes: list[int], s: Settings) -> list[tuple[tuple, int]]:
-    """((template, first word, end, first byte, end, matched words), how many equal rows voted) of one text."""
+def _spans(spots: list[dict], sizes: list[int], s: Settings) -> list[tuple]:
+    """(template, first word, end, first byte, end, matched words) of the candidate spans of one text."""
     out = []
     by: dict[int, list[dict]] = {}
     for spot in spots:
         by.setdefault(spot["template"], []).append(spot)
     for t, own in by.items():
         own.sort(key=lambda x: x["diagonal"])
+        end = 0
         for i, spot in enumerate(own):
-            group = []
-            for x in own[i:]:
-                if x["diagonal"] > spot["diagonal"] + s.near:
-                    break
-                group += x["votes"]
-            places = [x["position"] for x in group]
-            first, end = min(places), max(x["position"] + x["k"] for x in group)
+            while end < len(own) and own[end]["diagonal"] <= spot["diagonal"] + s.near:
+                end += 1
+            group = [x for y in own[i:end] for x in y["votes"]]
             covered = {x["offset"] + j for x in group for j in range(x["k"])}
             if len(covered) >= s.share * sizes[t]:
-                times = min(places.count(p) for p in set(places))
-                out.append(((t, first, end, min(x["low"] for x in group), max(x["high"] for x in group), len(covered)), times))
+                last = max(x["position"] + x["k"] for x in group)
+                out.append((t, min(x["position"] for x in group), last, min(x["low"] for x in group), max(x["high"] for x in group), len(covered)))
     return out
 
 
-def _best(spans: list[tuple[tuple, int]], names: list[tuple[str, str]], sizes: list[int]) -> list[tuple[tuple, int]]:
-    """The spans that stay of overlapping ones, by place."""
-    kept: list[tuple[tuple, int]] = []
-    for x in sorted(spans, key=lambda x: (-x[0][5], -x[0][5] / sizes[x[0][0]], x[0][1], names[x[0][0]])):
-        if all(x[0][2] <= y[0][1] or x[0][1] >= y[0][2] for y in kept):
-            kept.append(x)
-    return sorted(kept, key=lambda x: x[0][1])
+def _best(spans: list[tuple], names: list[tuple[str, str]], sizes: list[int]) -> list[tuple]:
+    """The spans that stay of overlapping ones, by place. Those that stay don't overlap, so a new one is compared with its neighbours alone."""
+    starts: list[int] = []
+    kept: list[tuple] = []
+    for x in sorted(spans, key=lambda x: (-x[5], -x[5] / sizes[x[0]], x[1], names[x[0]])):
+        at = bisect_left(starts, x[1])
+        if (at == 0 or kept[at - 1][2] <= x[1]) and (at == len(kept) or x[2] <= kept[at][1]):
+            starts.insert(at, x[1])
+            kept.insert(at, x)
+    return kept

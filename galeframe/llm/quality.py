@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from galeframe.llm.common import hidden, prepare
 from galeframe.llm.learning import sample, segment_sums, sum_arrays, temperature
 from galeframe.llm.textarray import _IS_WORD, _TABLE, bytes_of, mix, powers, slices
 
@@ -31,7 +32,8 @@ _GAP[[9, 10, 11, 12, 13, 32]] = True
 class Settings:
     """per_class bounds the labelled rows that the network is fitted on; vectors come from all documents.
 
-    Documents are rejected where the probability of good quality is below threshold.
+    Documents are rejected where the probability of good quality is below a threshold, which is set on the held-out rows: the
+    highest, up to even odds, that keeps the share keeps of the good ones among them; least, where there are none.
     """
 
     bits: int = 14
@@ -44,7 +46,8 @@ class Settings:
     rate: float = 0.01
     l2: float = 1e-4
     held_out: float = 0.2
-    threshold: float = 0.25
+    keeps: float = 0.995
+    least: float = 0.25
     seed: int = 5
 
 
@@ -127,6 +130,7 @@ class Model:
     w2: np.ndarray
     b2: float
     temperature: float
+    threshold: float
     settings: Settings
 
     def logits(self, column: pa.Array) -> np.ndarray:
@@ -137,6 +141,16 @@ class Model:
         return np.maximum(x @ self.w1 + self.b1, 0) @ self.w2 + self.b2
 
 
+def gradients(layers: list[np.ndarray], x: np.ndarray, y: np.ndarray, w: np.ndarray, l2: float) -> list[np.ndarray]:
+    """The gradient of the weighted log loss plus l2 / 2 times the weights' squares, for each of (w1, b1, w2, b2)."""
+    pre = x @ layers[0] + layers[1]
+    hid = np.maximum(pre, 0)
+    z = hid @ layers[2] + layers[3][0]
+    g = w * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
+    back = np.outer(g, layers[2]) * (pre > 0)
+    return [x.T @ back + l2 * layers[0], back.sum(axis=0), hid.T @ g + l2 * layers[2], np.array([g.sum()])]
+
+
 def train(texts: list[str], target: np.ndarray, weight: np.ndarray, vectors: np.ndarray, settings: Settings) -> Model:
     """Fits the network on all but the held-out rows, and the temperature on those."""
     s = settings
@@ -150,20 +164,17 @@ def train(texts: list[str], target: np.ndarray, weight: np.ndarray, vectors: np.
     m, v = [np.zeros_like(a) for a in layers], [np.zeros_like(a) for a in layers]
     xt, yt, wt = x[:split], y[:split], w[:split]
     for step in range(1, s.steps + 1):
-        pre = xt @ layers[0] + layers[1]
-        hid = np.maximum(pre, 0)
-        z = hid @ layers[2] + layers[3][0]
-        g = wt * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - yt)
-        back = np.outer(g, layers[2]) * (pre > 0)
-        grads = [xt.T @ back + s.l2 * layers[0], back.sum(axis=0), hid.T @ g + s.l2 * layers[2], np.array([g.sum()])]
-        for i, grad in enumerate(grads):
+        for i, grad in enumerate(gradients(layers, xt, yt, wt, s.l2)):
             m[i] = 0.9 * m[i] + 0.1 * grad
             v[i] = 0.999 * v[i] + 0.001 * grad * grad
             layers[i] = layers[i] - s.rate * (m[i] / (1 - 0.9**step)) / (np.sqrt(v[i] / (1 - 0.999**step)) + 1e-8)
-    model = Model(vectors, centre, spread, layers[0], layers[1], layers[2], float(layers[3][0]), 1.0, s)
+    model = Model(vectors, centre, spread, layers[0], layers[1], layers[2], float(layers[3][0]), 1.0, s.least, s)
     if split < len(texts):
         z = model._forward(x[split:])
         model.temperature = temperature(np.stack([np.zeros_like(z), z], axis=1), target[split:].astype(int), weight[split:])
+        good = np.sort(1 / (1 + np.exp(-np.clip(z[target[split:] > 0] / model.temperature, -500, 500))))
+        if len(good):
+            model.threshold = min(0.5, float(good[int((1 - s.keeps) * len(good))]))
     return model
 
 
@@ -181,7 +192,7 @@ def classify(docs: DataFrame, labels: DataFrame, model: Model | None = None, set
 
     Null texts, and texts without a token, have no words to judge: probability null, keep false. Where labels
     are not of both classes there is no model: probability null, keep true for texts with tokens.
-    Repeated rows and null ids stay; other columns are ignored. The model (tables of fixed size) is
+    Repeated rows and null ids stay, an empty table gives no rows; other columns are ignored. The model (tables of fixed size) is
     broadcast; rows are not shuffled.
     """
     scored = _scored(docs, labels, model, settings)
@@ -189,6 +200,7 @@ def classify(docs: DataFrame, labels: DataFrame, model: Model | None = None, set
 
 
 def _scored(docs: DataFrame, labels: DataFrame, model: Model | None, settings: Settings, keep: tuple[str, ...] = ()) -> DataFrame:
+    prepare(docs.sparkSession)
     model = model or fit(docs, labels, settings)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType(
@@ -205,7 +217,7 @@ def _scored(docs: DataFrame, labels: DataFrame, model: Model | None, settings: S
                     p, good, unknown = np.zeros(part.num_rows), ~empty, np.ones(part.num_rows, dtype=bool)
                 else:
                     p = 1 / (1 + np.exp(-np.clip(m.logits(column), -500, 500)))
-                    good, unknown = (p >= m.settings.threshold) & ~empty, empty
+                    good, unknown = (p >= m.threshold) & ~empty, empty
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0).cast(pa.int64()), pa.array(p, mask=unknown), pa.array(good), *part.columns[2:]], names=schema.names
                 )
@@ -215,7 +227,6 @@ def _scored(docs: DataFrame, labels: DataFrame, model: Model | None, settings: S
 
 def reject(docs: DataFrame, labels: DataFrame, model: Model | None = None, settings: Settings = Settings()) -> DataFrame:
     """The rows of docs that classify() keeps, with all their columns, whatever those are called."""
-    others = [c for c in docs.columns if c != "doc_id"]
-    plain = docs.select("doc_id", "text", *(F.col(f"`{c}`").alias(f"_kept_{i}") for i, c in enumerate(others)))
-    scored = _scored(plain, labels, model, settings, tuple(f"_kept_{i}" for i in range(len(others))))
-    return scored.where("keep").select(*("doc_id" if c == "doc_id" else F.col(f"_kept_{others.index(c)}").alias(c) for c in docs.columns))
+    plain, columns = hidden(docs)
+    scored = _scored(plain, labels, model, settings, tuple(c for c in plain.columns if c.startswith("_kept_")))
+    return scored.where("keep").select(*columns)

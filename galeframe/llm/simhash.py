@@ -1,8 +1,8 @@
 """SimHash near-deduplication by small-world graphs.
 
 Each text has a 128-bit code. Nodes are split into shards, each with a navigable small-world graph over
-Hamming distance; all nodes are queries to all graphs, with beams that expand until a sample searched
-exactly shows the recall asked for. Pairs found are verified on the texts, and their union gives the groups.
+Hamming distance; all nodes are queries to all graphs, with beams that expand until the recall asked for is reached on a sample, whose
+true partners come from an exact search and from the texts. Pairs found are verified on the texts, and their union gives the groups.
 """
 
 from __future__ import annotations
@@ -58,7 +58,8 @@ class Settings:
     """radius: bits that two codes may differ in; similarity: least Jaccard similarity of the word-pair sets of near copies.
 
     shard: nodes of one graph; blocks: parts that the queries to one graph are split into; beam: nodes
-    that a search starts with; first: nearest pairs of a node that are verified before all others.
+    that a search starts with; recall: the share of a node's partners, of the audit nodes that have any, that the beam must find on average; partners:
+    nearest codes of an audit node that are looked at; first: nearest pairs of a node that are verified before all others.
     """
 
     radius: int = 32
@@ -67,6 +68,8 @@ class Settings:
     blocks: int = 16
     beam: int = 24
     recall: float = 0.95
+    audit: int = 400
+    partners: int = 64
     first: int = 4
 
 
@@ -119,11 +122,11 @@ def _shard(shards: int) -> Column:
 
 
 def search(made: DataFrame, shards: int, asking: DataFrame, settings: Settings, blocks: int, beam: int, labels: DataFrame | None = None) -> DataFrame:
-    """(a, b, d, recall): pairs of keys a < b whose codes differ in d <= radius bits, and a row (key, null, beam, recall) for each node that may have more.
+    """(a, b, d): pairs of keys a < b whose codes differ in d <= radius bits, and a row (key, null, beam) for each node that may have more.
 
     Every node of asking, (key, hi, lo), is a query to every graph, as part of one of so many blocks, and gives the nearest
     nodes that a beam has room for. labels: (node, label); nodes of equal labels are no pairs then, and asking has
-    the label of each too. recall is that of the audit of the search that found the pair.
+    the label of each too.
     """
     s = settings
     block = F.pmod(F.xxhash64("key", F.lit(9)), F.lit(blocks)).cast("int")
@@ -145,7 +148,7 @@ def search(made: DataFrame, shards: int, asking: DataFrame, settings: Settings,
         asks = right[right["ask"]]
         own = asks["key"].to_numpy(np.int64)
         if not len(key) or not len(own):
-            return pd.DataFrame({"a": own[:0], "b": own[:0], "d": own[:0].astype(np.int32), "recall": np.zeros(0)})
+            return pd.DataFrame({"a": own[:0], "b": own[:0], "d": own[:0].astype(np.int32)})
         asked = np.ascontiguousarray(asks[["hi", "lo"]].to_numpy(np.int64)).view(np.uint64)
         order = np.argsort(key)
         find = lambda k: np.minimum(np.searchsorted(key, k, sorter=order), len(key) - 1)
@@ -159,19 +162,68 @@ def search(made: DataFrame, shards: int, asking: DataFrame, settings: Settings,
             here = key[place] == rows["key"].to_numpy(np.int64)
             of_node[place[here]] = number[rows.index].to_numpy()[here]
             apart = of_node, number.reindex(asks.index).fillna(-2).to_numpy().astype(np.int64)
-        q, node, more, needed, recall = Graph(code, links).within(asked, s.radius, beam, s.recall, own=np.where(key[at] == own, at, -1), apart=apart)
+        q, node, more = Graph(code, links).within(asked, s.radius, beam, own=np.where(key[at] == own, at, -1), apart=apart)
         x, y = own[q], key[node]
-        pairs = pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y), "d": distance(asked[q], code[node]).astype(np.int32), "recall": recall})
-        more = pd.DataFrame({"a": own[more], "b": pd.NA, "d": needed, "recall": recall})
+        pairs = pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y), "d": distance(asked[q], code[node]).astype(np.int32)})
+        more = pd.DataFrame({"a": own[more], "b": pd.NA, "d": np.int32(beam)})
         return pd.concat([pairs.astype({"b": "Int64"}), more.astype({"b": "Int64"})])
 
-    return left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInPandas(run, "a long, b long, d int, recall double")
+    return left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInPandas(run, "a long, b long, d int")
 
 
-def candidates(nodes: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """search() of all nodes for each other."""
-    made, shards, _ = graphs(nodes, settings)
-    return search(made, shards, nodes, settings, settings.blocks, settings.beam)
+def audited(made: DataFrame, shards: int, nodes: DataFrame, docs: DataFrame, settings: Settings) -> tuple[int, float]:
+    """The beam that finds the recall asked for, and the recall that it has, on the nodes of the least hashes; 1 where none has a partner.
+
+    Each audit node is compared with all codes, and of its nearest ones within radius those whose texts are similar enough are its partners. A node whose
+    beam holds nothing but pairs counts by what the beam has room for, as it is searched again. The beam doubles until it is wide
+    enough; in the end each graph's search is a comparison with all of its nodes.
+    """
+    s = settings
+    sample = nodes.orderBy(F.xxhash64("key", F.lit(21)), "key").limit(s.audit).select("key", "hi", "lo", "rep")
+    sample, path = store(sample, "audit")
+    rows = sample.collect()
+    own = np.array([r["key"] for r in rows], dtype=np.int64)
+    asked = np.array([[r["hi"], r["lo"]] for r in rows], dtype=np.int64).reshape(-1, 2).view(np.uint64)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: list[list[tuple]] = [[] for _ in own]
+        for batch in batches:
+            key = batch.column(0).to_numpy()
+            code = np.stack([batch.column(1).to_numpy(), batch.column(2).to_numpy()], axis=1).view(np.uint64)
+            for i, q in enumerate(asked):
+                d = distance(code, q)
+                near = np.flatnonzero((d <= s.radius) & (key != own[i]))
+                if len(near):
+                    best[i] = sorted(best[i] + list(zip(d[near].tolist(), key[near].tolist())))[: s.partners]
+        flat = [(int(own[i]), d, k) for i, x in enumerate(best) for d, k in x]
+        yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in flat], t) for j, t in enumerate((pa.int64(), pa.int32(), pa.int64()))], names=["q", "d", "k"])
+
+    near = nodes.select("key", "hi", "lo").mapInArrow(compare, "q long, d int, k long")
+    near = near.groupBy("q").agg(F.slice(F.sort_array(F.collect_list(F.struct("d", "k"))), 1, s.partners).alias("l")).select("q", F.explode("l.k").alias("k"))
+    pairs, pairs_path = store(near.select("q", F.least("q", "k").alias("a"), F.greatest("q", "k").alias("b")), "audit")
+    truth: dict[int, set] = {}
+    true = verified(pairs.select("a", "b").distinct(), _sets(docs, nodes, pairs), s.similarity)
+    for r in pairs.join(true, ["a", "b"]).collect():  # audit x partners rows at most
+        truth.setdefault(r["q"], set()).add((r["a"], r["b"]))
+    beam, recall = s.beam, 1.0
+    most = min(s.shard, max(1, nodes.count()))
+    while truth:
+        found: dict[int, set] = {}
+        full, members = set(), set(truth)
+        for r in search(made, shards, sample.drop("rep"), s, 1, beam).collect():  # audit x beam x shards rows at most
+            if r["b"] is None:
+                full.add(r["a"])
+                continue
+            for q in (r["a"], r["b"]):
+                if q in members:
+                    found.setdefault(q, set()).add((r["a"], r["b"]))
+        share = [len(found.get(q, set()) & t) / (min(len(t), max(1, len(found.get(q, set())))) if q in full else len(t)) for q, t in truth.items()]
+        recall = float(np.mean(share))
+        if recall >= s.recall or beam >= most:
+            break
+        beam *= 2
+    discard(nodes.sparkSession, path, pairs_path)
+    return beam, recall
 
 
 def _pairs(found: DataFrame) -> DataFrame:
@@ -228,7 +280,8 @@ def _members(docs: DataFrame, settings: Settings) -> DataFrame:
     nodes = kept(signed.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("hi").alias("hi"), F.first("lo").alias("lo")), "nodes")
     made, shards, path = graphs(nodes.drop("rep"), s)
     scratch.append(path)
-    found = kept(search(made, shards, nodes, s, s.blocks, s.beam), "found")
+    beam, _ = audited(made, shards, nodes, docs, s)
+    found = kept(search(made, shards, nodes, s, s.blocks, beam), "found")
     pairs = kept(_pairs(found), "pairs")
     sets = kept(_sets(docs, nodes, pairs), "sets")
     ends = pairs.select(F.col("a").alias("u"), "a", "b", "d").union(pairs.select("b", "a", "b", "d"))
@@ -241,7 +294,7 @@ def _members(docs: DataFrame, settings: Settings) -> DataFrame:
         edges = edges.union(more)
         labels = components(edges)
     # Nodes whose beam held nothing but pairs look again for what is near and in no group with them, with wider beams while theirs stay full.
-    asking, tested, beam = found.where("b is null").select(F.col("a").alias("key")).distinct(), pairs.select("a", "b"), s.beam
+    asking, tested = found.where("b is null").select(F.col("a").alias("key")).distinct(), pairs.select("a", "b")
     while many := asking.count():
         ask = nodes.join(asking, "key").join(labels.withColumnRenamed("node", "key"), "key", "left").select("key", "hi", "lo", "label")
         found = kept(search(made, shards, ask, s, min(s.blocks, -(-many // 2048)), beam, labels), "found")
@@ -291,7 +344,7 @@ def clean(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     found = _members(docs, settings)
     gone = found.where("not kept").select("doc_id").distinct()
     twice = docs.select("doc_id").where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    twice, path = store(twice.join(found.select("doc_id"), "doc_id", "left_semi"), "twice")
+    twice, _ = store(twice.join(found.select("doc_id"), "doc_id", "left_semi"), "twice")
     out = docs.join(gone, "doc_id", "left_anti").select(*map(quoted, docs.columns))
     if twice.isEmpty():
         return out

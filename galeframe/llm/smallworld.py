@@ -50,7 +50,7 @@ class Graph:
         graph._link_back(np.arange(done))
         while done < n:
             new = np.arange(done, min(n, done + max(64, min(done // 2, 8192))))
-            ids, _ = graph.search(codes[new], beam, size=done)
+            ids, _ = graph.search(codes[new], max(beam, FORWARD), size=done)
             graph.links[new, :FORWARD] = ids[:, :FORWARD]
             graph._link_back(new)
             graph._link_peers(new)
@@ -153,52 +153,18 @@ class Graph:
         return np.where(none, -1, (final >> 1) & 0xFFFFFFFF), np.where(none, 1 << 20, final >> 34)
 
     def within(
-        self,
-        queries: np.ndarray,
-        radius: int,
-        beam: int,
-        recall: float = 0.95,
-        audit: int = 200,
-        own: np.ndarray | None = None,
-        apart: tuple[np.ndarray, np.ndarray] | None = None,
-    ) -> tuple[np.ndarray, np.ndarray, np.ndarray, int, float]:
-        """(query, node) pairs within radius, whether each query may have more, the beam that was needed, and the recall measured.
+        self, queries: np.ndarray, radius: int, beam: int, own: np.ndarray | None = None, apart: tuple[np.ndarray, np.ndarray] | None = None
+    ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, node) pairs within radius, and whether each query may have more.
 
         own: the node that each query is, or -1; a query and its own node are no pair. apart: as in search(); pairs of equal labels are left out.
-        An evenly spaced sample of the queries is also searched exactly, and the beam doubles until the share found of a sampled query's
-        pairs, averaged over those that have any, reaches recall. Where it does not before a search looks at as many
-        nodes as there are, all queries are searched exactly. A query gives its nearest pairs, as many as the beam has room for; where
-        nothing but pairs is in its beam it may have more.
+        A query gives its nearest pairs, as many as the beam has room for; where nothing but pairs is in its beam it may have more. Where
+        a beam would look at as many nodes as there are, each query is compared with all of them.
         """
-        n, none = len(self.codes), np.zeros(0, np.int64)
-        if not n or not len(queries):
-            return none, none, np.zeros(len(queries), dtype=bool), beam, 1.0
+        if not len(self.codes) or not len(queries):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(queries), dtype=bool)
         own = np.full(len(queries), -1) if own is None else own
-        sample = np.unique(np.linspace(0, len(queries) - 1, min(audit, len(queries))).astype(np.int64))
-        part = None if apart is None else (apart[0], apart[1][sample])
-        q, node = _others(*exact(self.codes, queries[sample], radius), own[sample])
-        if part is not None:
-            other = part[0][node] != part[1][q]
-            q, node = q[other], node[other]
-        true_key, many = q * n + node, np.bincount(q, minlength=len(sample))
-        while True:
-            q, node, full = self._nearest(queries[sample], radius, beam, own[sample], part)
-            got = np.bincount(q, minlength=len(sample))
-            hit = np.bincount(q[np.isin(q * n + node, true_key)], minlength=len(sample))
-            some = many > 0
-            share = hit[some] / np.where(full, np.minimum(many, np.maximum(got, 1)), many)[some]
-            found = float(share.mean()) if len(share) else 1.0
-            if found >= recall:
-                return *self._nearest(queries, radius, beam, own, apart), beam, found
-            if beam * self.links.shape[1] >= n:
-                return *self._nearest(queries, radius, beam, own, apart, compare=True), beam, 1.0
-            beam *= 2
-
-    def _nearest(
-        self, queries: np.ndarray, radius: int, beam: int, own: np.ndarray, apart: tuple[np.ndarray, np.ndarray] | None, compare: bool = False
-    ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The pairs that a beam holds, and whether it holds nothing else; compare: by comparing each query with all nodes."""
-        if compare:
+        if beam * self.links.shape[1] >= len(self.codes):
             ids, d = self._compared(queries, beam, apart)
         else:
             ids, d = self.search(queries, beam, block=max(16, 65536 // beam), own=own, apart=apart)

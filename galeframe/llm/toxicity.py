@@ -15,6 +15,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from galeframe.llm.common import prepare
 from galeframe.llm.learning import CharGrams, sample, segment_sums, temperature
 from galeframe.llm.textarray import slices
 
@@ -121,10 +122,11 @@ def score(docs: DataFrame, labels: DataFrame, model: Model | None = None, settin
     """(doc_id, score, probability, toxic) for every row of docs, over whole texts.
 
     Null texts get nulls. An empty text has no n-grams and gets the bias. Where the labels are not of
-    both classes there is no model: score and probability are null and toxic is false. Repeated rows
+    both classes there is no model: score and probability are null and toxic is false. An empty table gives no rows. Repeated rows
     and null ids stay; other columns are ignored. The model (a table of fixed size) is broadcast;
     rows are not shuffled.
     """
+    prepare(docs.sparkSession)
     model = model or fit(docs, labels, settings)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

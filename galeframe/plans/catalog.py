@@ -338,7 +338,7 @@ def simulate_country(spark, sf_dir):
 @query("""with h as (select user_id, ts, sqrt(value * value * 1.25e0) as w100, sqrt(pow(value * (0.5e0 + event_id % 6 / 10e0), 2) * 1.25e0) as w10 from events),
 l as (select *, case when abs(w100 - w10) > 1e-4 then (w100 * ln(10) - w10 * ln(100)) / (w100 - w10) end as l from h),
 f as (select *, first_value(case when l < 0 then l end ignore nulls) over (partition by user_id order by ts rows between current row and unbounded following) as k from l)
-select user_id, strftime(date_trunc('day', ts), '%Y-%m-%d') as day, round(avg(w100), 6) as wnd100m, round(avg(greatest(exp(least(greatest(k, ln(1e-6)), ln(2))), 1e-6)), 4) as roughness from f group by 1, 2""")
+select user_id, strftime(date_trunc('day', ts), '%Y-%m-%d') as day, round(avg(w100), 6) as wnd100m, round(avg(case when k is not null then greatest(exp(least(greatest(k, ln(1e-6)), ln(2))), 1e-6) end), 4) as roughness from f group by 1, 2""")
 def reanalysis_daily(spark, sf_dir):
     # Users stand for grid nodes; the 10 m wind is some share of that at 100 m, which tells the roughness.
     e, share = table(spark, sf_dir, "events"), 0.5 + F.col("event_id") % 6 / 10.0

@@ -8,7 +8,7 @@ from galeframe.llm import bpe, decontaminate, langid, licenses, neighbours, pass
 WORDS = [f"word{i}" for i in range(60)]
 LONG = " ".join(f"w{i % 9973}x{i}" for i in range(60_000))
 #: Columns with the names that the operators use inside.
-CLASHING = ("key", "label", "group_id", "kept", "a", "b", "keep", "probability", "_cuts", "term", "rep", "node", "n_words")
+CLASHING = ("a.b", "_key", "_url", "key", "label", "group_id", "kept", "a", "b", "keep", "probability", "_cuts", "term", "rep", "node", "n_words")
 
 
 @pytest.fixture(scope="module")
@@ -84,6 +84,9 @@ def test_licenses(docs):
     got = {(r["doc_id"], r["license"]) for r in licenses.scan(docs).collect()}
     assert got == {(10, "MIT")} and licenses.scan(docs.limit(0)).count() == 0
     assert licenses.scan(docs.where("doc_id = 10").union(docs.where("doc_id = 10"))).count() == 2
+    mit = "Released under the MIT License"
+    tied = licenses.scan(docs.sparkSession.createDataFrame([(1, mit)], "doc_id long, text string"), {("B", "x"): mit, ("A", "x"): mit})
+    assert [r["license"] for r in tied.collect()] == ["A"]
 
 
 def test_langid(docs):
@@ -103,14 +106,14 @@ def test_toxicity(docs, labels):
 def test_urls(spark):
     rows = [
         (1, "https://www.cheappills.example.com/buy-now?x=1", "<p>cheap pills and cheap news now</p>"), (2, "https://spam-farm.example.org/", "<p>news</p>"), (3, None, "<b>x"), (None, "https://good-news.example.net/en/1", None),
-        (5, "", ""), (6, "not a url", "<script>spam</script>text"), (7, "https://user:pw@" + "a" * 63 + ".example.com:80/" + "b" * 5000, None), (8, "https://пример.рф/", None), (2, "https://spam-farm.example.org/", "<p>news</p>"),
+        (5, "", ""), (6, "not a url", "<script>spam</script>text"), (7, "https://user:pw@" + "a" * 63 + ".example.com:80/" + "b" * 5000, None), (8, "https://пример.рф/", None), (9, "https://example.com/" + "longpath" * 3000, None), (2, "https://spam-farm.example.org/", "<p>news</p>"),
     ]
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({c: F.lit(1) for c in ("word", "n", "name", "rows", "odds", "all", "words")})
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({c: F.lit(1) for c in ("word", "n", "name", "rows", "odds", "all", "words", "_url", "a.b")})
     got = urls.classify(pages).collect()
     by = {r["page_id"]: r for r in got}
-    assert len(got) == 9 and by[1]["host_words"] == ["www", "cheap", "pills", "example", "com"] and by[1]["blocked"] and by[2]["blocked"]
+    assert len(got) == 10 and by[1]["host_words"] == ["www", "cheap", "pills", "example", "com"] and by[1]["blocked"] and by[2]["blocked"]
     assert by[3]["host_words"] is None and not by[3]["blocked"] and by[5]["host_words"] == [] and by[None]["path_words"] == ["en", "#1"] and not by[None]["blocked"]
-    assert urls.keep(pages).count() == 6 and urls.keep(pages).columns == pages.columns
+    assert urls.keep(pages).count() == 7 and urls.keep(pages).columns == pages.columns
     plain = urls.classify(pages.where("page_id in (6, 8)")).collect()
     assert len(plain) == 2 and all(r["log_odds"] is None and not r["blocked"] for r in plain)
     assert urls.classify(pages.limit(0)).count() == 0

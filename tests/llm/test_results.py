@@ -2,14 +2,18 @@
 
 import math
 import re
+import time
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
-from galeframe.llm import bpe, decontaminate, langid, licenses, neighbours, passages, quality, simhash, toxicity, urls
+from pyspark.sql import functions as F
+
+from galeframe.llm import bpe, decontaminate, langid, licenses, neighbours, passages, quality, queries, simhash, toxicity, urls
 from galeframe.llm.common import components, forest, read
+from galeframe.llm.learning import CharGrams
 from galeframe.llm.smallworld import Graph, distance, exact
 from galeframe.llm.suffixes import classes
 from galeframe.llm.textarray import words
@@ -129,11 +133,24 @@ def test_graph_recall():
     base = rng.integers(0, 1 << 63, (400, 2), dtype=np.uint64)
     codes = np.concatenate([base, *(base ^ (np.uint64(1) << rng.integers(0, 63, (400, 2), dtype=np.uint64)) for _ in range(4))])
     graph = Graph.build(codes)
-    q, n, more, _, recall = graph.within(codes, 8, 16)
-    assert not more.any()
+    q, n, more = graph.within(codes, 8, 16)
     tq, tn = exact(codes, codes, 8)
     found = set(zip(q.tolist(), n.tolist()))
-    assert recall >= 0.95 and len(found & set(zip(tq.tolist(), tn.tolist()))) >= 0.9 * len(tq) and found <= set(zip(tq.tolist(), tn.tolist()))
+    assert not more.any() and len(found & set(zip(tq.tolist(), tn.tolist()))) >= 0.9 * len(tq) and found <= set(zip(tq.tolist(), tn.tolist()))
+    q, n, more = graph.within(codes, 8, 2048)  # compares all
+    assert set(zip(q.tolist(), n.tolist())) == set(zip(tq.tolist(), tn.tolist()))
+
+
+def test_search_apart_finds_only_other_labels():
+    rng = np.random.default_rng(2)
+    centre = rng.integers(0, 1 << 63, (1, 2), dtype=np.uint64)
+    codes = centre ^ (np.uint64(1) << rng.integers(0, 63, (3000, 2), dtype=np.uint64))
+    label = np.zeros(3000, np.int64)
+    label[::500] = 1
+    graph = Graph.build(codes)
+    q, n, more = graph.within(codes[:200], 8, 32, own=np.arange(200), apart=(label, label[:200]))
+    assert (label[n] != label[q]).all() and (more == (label[:200] == 1)).all()
+    assert (q == 0).sum() == 32  # a node alone among many of another label fills its beam with them
 
 
 @pytest.mark.parametrize("single", [1 << 22, 0])
@@ -244,35 +261,79 @@ def test_phrases_against_a_plain_search(spark, docs, tables):
     assert want and want == got
 
 
-def test_license_spans_hold_their_templates(docs):
-    got = licenses.scan(docs).toPandas()
-    texts = {r["doc_id"]: r["text"].encode() for r in docs.collect()}
-    for r in got.itertuples():
-        assert 0.8 <= r.share <= 1 and len(plain_words(texts[r.doc_id][r.first_byte : r.first_byte + r.n_bytes].decode())) == r.n_words
-    plain = {k: " ".join(plain_words(t)) for k, t in licenses.TEMPLATES.items()}
-    for doc, text in texts.items():
-        joined = " " + " ".join(plain_words(text.decode())) + " "
-        for (name, _), t in plain.items():
-            if f" {t} " in joined:
-                assert ((got.doc_id == doc) & (got.license == name)).any()
+def plain_licenses(text, templates, s):
+    """The license spans of a text, by comparing words and all overlaps."""
+    w, out = plain_words(text), []
+    for name, template in templates.items():
+        t = plain_words(template)
+        k = min(s.k, len(t))
+        hits = [(i - j, i, j) for i in range(len(w) - k + 1) for j in range(len(t) - k + 1) if w[i : i + k] == t[j : j + k]]
+        for d in {d for d, _, _ in hits}:
+            own = [(i, j) for e, i, j in hits if d <= e <= d + s.near]
+            covered = {j + x for _, j in own for x in range(k)}
+            if len(covered) >= s.share * len(t):
+                out.append((-len(covered), -len(covered) / len(t), min(i for i, _ in own), name, max(i for i, _ in own) + k))
+    kept = []
+    for x in sorted(out):
+        if all(x[4] <= y[2] or x[2] >= y[4] for y in kept):
+            kept.append(x)
+    return sorted((*x[3], x[2], x[4] - x[2], -x[0]) for x in kept)
+
+
+def test_licenses_against_a_plain_scan(spark, docs):
+    s = licenses.Settings()
+    mit, bsd = licenses.TEMPLATES[("MIT", "grant")], licenses.TEMPLATES[("BSD", "conditions")]
+    broken = " ".join(w for i, w in enumerate(mit.split()) if i % 17 != 5)
+    made = ["Before. " + mit + " Between, " + bsd + " after.", broken, " ".join(mit.split()[:12]), mit + " " + mit, "one two " + bsd.replace("source", "the source") + " Licensed under CC BY 4.0 Licensed under CC BY-SA 4.0"]
+    rows = [(10_000 + i, t) for i, t in enumerate(made)] + [(r["doc_id"], r["text"]) for r in docs.collect() if len(r["text"]) < 4000]
+    got = {}
+    for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got.setdefault(r["doc_id"], []).append((r["license"], r["template"], r["first_word"], r["n_words"], r["matched"]))
+        text = dict(rows)[r["doc_id"]].encode()
+        assert len(plain_words(text[r["first_byte"] : r["first_byte"] + r["n_bytes"]].decode())) == r["n_words"] and 0.8 <= r["share"] <= 1
+    want = {i: x for i, t in rows if (x := plain_licenses(t, licenses.TEMPLATES, s))}
+    assert {i: sorted(x) for i, x in got.items()} == want and set(range(10_000, 10_005)) - set(want) == {10_002}
 
 
-def test_neighbours_recall(spark, larger):
-    e = read(spark, larger, "embeddings")
-    p = e.toPandas()
+def test_licenses_of_a_text_full_of_them(spark):
+    text = " x ".join(["Licensed under the MIT License"] * 20_000)
+    began = time.perf_counter()
+    assert licenses.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).count() == 20_000
+    assert time.perf_counter() - began < 60
+
+
+def exact_neighbours(p):
+    """The cosines of all pairs, and each row's ten nearest."""
     x = np.stack(p.embedding).astype(float)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     dots = x @ x.T
     np.fill_diagonal(dots, -2)
-    got = neighbours.nearest(e, neighbours.Settings(bucket=20)).toPandas()
+    return dots, np.argsort(-dots, axis=1, kind="stable")[:, :10]
+
+
+@pytest.mark.parametrize("settings", [None, neighbours.Settings(bucket=20)])
+def test_neighbours_recall(spark, larger, settings, monkeypatch):
+    monkeypatch.setattr(neighbours, "LARGE", 64 if settings else 1 << 14)  # large buckets are cut
+    e = read(spark, larger, "embeddings")
+    p = e.toPandas()
+    dots, true = exact_neighbours(p)
+    got = (neighbours.nearest(e, settings) if settings else queries.op6_neighbours(spark, larger)).toPandas()
     ids = p.vec_id.to_numpy()
+    asking = np.flatnonzero(ids % 50 == 0) if settings is None else np.arange(len(ids))
     mine = got.groupby("vec_id").neighbour_id.apply(set)
-    true = np.argsort(-dots, axis=1)[:, :10]
-    assert np.mean([len(mine.get(i, set()) & set(ids[t])) / 10 for i, t in zip(ids, true)]) >= 0.9
+    assert set(mine.index) == set(ids[asking]) and (got.groupby("vec_id").size() == 10).all()
+    assert np.mean([len(mine[ids[i]] & set(ids[true[i]])) / 10 for i in asking]) >= 0.9
     place = {v: i for i, v in enumerate(ids)}
     assert all(abs(dots[place[r.vec_id], place[r.neighbour_id]] - r.cosine) < 1e-5 for r in got.itertuples())
 
 
+def test_neighbours_ties_go_to_the_smaller_id(spark):
+    rows = [(0, [1.0, 0.0])] + [(i, [0.6, 0.8 if i % 2 else -0.8]) for i in range(30, 0, -1)]
+    e = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = neighbours.nearest(e, asking=F.col("vec_id") == 0).orderBy("rank").collect()
+    assert [r["neighbour_id"] for r in got] == list(range(1, 11))
+
+
 def test_viterbi_against_all_splits():
     counts, total = {"the": 50, "re": 9, "there": 3, "in": 20, "rein": 1, "t": 1, "her": 7, "he": 30}, 200
 
@@ -291,24 +352,56 @@ def test_viterbi_against_all_splits():
         assert cost(urls.split(name, counts, total)) == pytest.approx(min(map(cost, splits)))
 
 
-def test_url_scores_against_plain_naive_bayes(spark, tables):
-    pages = read(spark, tables, "pages")
-    got = urls.classify(pages).toPandas()
-    s = urls.Settings()
-    bad = got.host_words.map(lambda w: bool(set(w) & set(s.seeds)))
+def plain_bayes(rows, bad, skip, s):
+    """{word: odds}, the odds of an unknown word and of the classes; rows: lists of words."""
     counts = {True: {}, False: {}}
-    for b, h, p in zip(bad, got.host_words, got.path_words):
-        for w in [*h, *p]:
-            counts[b][w] = counts[b].get(w, 0) + 1
-    if not bad.any():
-        assert got.log_odds.isna().all()
-        return
+    for w, b in zip(rows, bad):
+        for x in w:
+            if x not in skip:
+                counts[b][x] = counts[b].get(x, 0) + 1
     vocabulary = set(counts[True]) | set(counts[False])
     size = {b: sum(counts[b].values()) + s.smoothing * len(vocabulary) for b in counts}
-    for r in got.itertuples():
-        z = math.log(bad.sum() / (~bad).sum()) + sum(math.log((counts[True].get(w, 0) + s.smoothing) / size[True]) - math.log((counts[False].get(w, 0) + s.smoothing) / size[False]) for w in [*r.host_words, *r.path_words])
-        assert r.log_odds == pytest.approx(z)
-    assert got[bad].blocked.all() and not got[~bad].blocked.any()
+    odds = {x: math.log((counts[True].get(x, 0) + s.smoothing) / size[True]) - math.log((counts[False].get(x, 0) + s.smoothing) / size[False]) for x in vocabulary}
+    return odds, math.log(size[False] / size[True]), math.log(sum(bad) / (len(bad) - sum(bad)))
+
+
+def plain_urls(hosts, paths, s):
+    """The log odds of every URL, by the two rounds written out."""
+    rows = [[*h, *p] for h, p in zip(hosts, paths)]
+    seeded = [bool(set(h) & set(s.seeds)) for h in hosts]
+    odds, unseen, prior = plain_bayes(rows, seeded, s.seeds, s)
+    total = [sum(odds.get(x, unseen) for x in w if x not in s.seeds) for w in rows]
+    bad = [(math.log(s.trust / (1 - s.trust)) if b else prior) + z >= 0 for b, z in zip(seeded, total)]
+    odds, unseen, prior = plain_bayes(rows, bad, (), s)
+    return [prior + sum(odds.get(x, unseen) for x in w) for w in rows]
+
+
+def test_url_scores_against_plain_naive_bayes(spark, larger):
+    got = urls.classify(read(spark, larger, "pages")).toPandas()
+    want = plain_urls(got.host_words, got.path_words, urls.Settings())
+    assert np.allclose(got.log_odds, want) and got.blocked.any() and not got.blocked.all()
+    seeded = got.host_words.map(lambda w: bool(set(w) & set(urls.SEEDS)))
+    assert got[seeded].blocked.mean() > 0.9 and got[~seeded].blocked.mean() < 0.02
+
+
+def test_urls_learn_beyond_the_seeds(spark):
+    """A host without a seed goes for the company its words keep, and one with a seed stays for the company that it keeps."""
+    text = "<p>cheap meds discount adult education college course library casino pills free win school history science</p>"
+    bad = [f"http://cheap-{w}-discount.example.com/win/free/{i}" for i, w in enumerate(["pills", "casino", "viagra", "slots", "loans", "poker"] * 5)]
+    good = [f"http://{w}-college.example.com/course/library/{i}" for i, w in enumerate(["history", "science", "school", "art", "music"] * 20)]
+    harmless = [f"http://adult-education.example.com/course/library/{i}" for i in range(12)]
+    more = ["http://cheapmedsdiscount.example.com/win/free/7", "http://adult-education.example.com/course/library/99"]
+    pages = spark.createDataFrame([(i, u, text) for i, u in enumerate([*bad, *good, *harmless, *more])], "page_id long, url string, html string")
+    got = {r["url"]: r for r in urls.classify(pages).collect()}
+    assert got[more[0]]["host_words"][:3] == ["cheap", "meds", "discount"]
+    assert all(got[u]["blocked"] for u in [*bad, more[0]]) and not any(got[u]["blocked"] for u in [*good, *harmless, more[1]])
+
+
+def test_words_of_any_length_are_found(spark):
+    long, longer = "abcdefghij" * 9, "abcdefghij" * 9 + "tail"
+    pages = spark.createDataFrame([(1, f"http://news{long}x.example.com/{longer}news", f"<p>{long} news {longer} {long} news x</p>")], "page_id long, url string, html string")
+    got = urls.classify(pages).first()
+    assert got["host_words"][:3] == ["news", long, "x"] and got["path_words"] == [longer, "news"]
 
 
 def test_quality_held_out(spark, larger):
@@ -321,16 +414,139 @@ def test_quality_held_out(spark, larger):
 INSULTS = {"trash", "pathetic", "idiot", "worthless", "disgusting", "stupid", "clown", "scum", "loser", "moron"}
 
 
-@pytest.mark.xfail(reason="short of its bounds: 3.8 % of clean texts flagged at sf0.01, 94.9 % of insults found at sf0.1", strict=False)
-@pytest.mark.parametrize("folder", ["/root/testdata/sf0.01", "/root/testdata/sf0.1"])
-def test_toxicity_held_out(spark, folder):
-    """About two in five texts labelled toxic hold no insult at all, so they bound what words can tell; those with one are found."""
-    docs, labels = read(spark, folder, "documents"), read(spark, folder, "labels")
+@pytest.fixture(scope="module", params=["/root/testdata/sf0.01", "/root/testdata/sf0.1"])
+def judged(spark, request):
+    """The odd half of the labelled texts with what the model fitted on the even half found."""
+    docs, labels = read(spark, request.param, "documents"), read(spark, request.param, "labels")
     truth = docs.join(labels.where("doc_id % 2 = 1"), "doc_id").toPandas().set_index("doc_id")
-    found = toxicity.score(docs, labels.where("doc_id % 2 = 0")).toPandas().set_index("doc_id").toxic.reindex(truth.index).astype(bool)
-    insult = truth.text.map(lambda t: bool(INSULTS & set(re.findall(r"\w+", t.lower()))))
-    assert found[insult].mean() > 0.95 and found[(truth.toxic == 0) & ~insult].mean() < 0.03
-    assert found[truth.toxic == 1].mean() > 0.5
+    truth["found"] = toxicity.score(docs, labels.where("doc_id % 2 = 0")).toPandas().set_index("doc_id").toxic.reindex(truth.index).astype(bool)
+    truth["insult"] = truth.text.map(lambda t: bool(INSULTS & set(re.findall(r"\w+", t.lower()))))
+    return truth
+
+
+def test_toxicity_held_out(judged):
+    """Two in five texts labelled toxic hold no insult, those in other languages than English none at all, so what can be found are those with one."""
+    t = judged
+    assert t.found[t.insult].mean() > 0.95 and t.found[(t.toxic == 0) & ~t.insult].mean() < 0.03
+
+
+@pytest.mark.xfail(reason="two in five labels of toxic texts tell of nothing in the text", strict=True)
+def test_toxicity_against_the_labels(judged):
+    assert judged.found[judged.toxic == 1].mean() > 0.8
+
+
+def test_toxicity_scores_and_ratios_written_out():
+    s = toxicity.Settings(orders=(2, 3), bits=12, held_out=0.0, least_texts=2, steps=40)
+    rng = np.random.default_rng(9)
+    texts = [" ".join(rng.choice(["mild", "warm", "dull", "rude", "vile"], 6, p=[0.3, 0.3, 0.2, 0.1, 0.1] if i % 3 else [0.1, 0.1, 0.2, 0.3, 0.3])) for i in range(60)]
+    y = np.array([0 if i % 3 else 1 for i in range(60)])
+    m = toxicity.train(texts, y, np.ones(60), s)
+    sets = [{int(g) for n in s.orders for g in CharGrams.of(pa.array([t])).ids(n, s.bits) if g < 1 << s.bits} for t in texts]
+    for g in set().union(*sets):
+        toxic, other = (sum(g in x for x, k in zip(sets, y) if k == c) for c in (1, 0))
+        ratio = math.log(((toxic + s.smoothing) / y.sum()) / ((other + s.smoothing) / (1 - y).sum()))
+        if abs(ratio) < s.least_ratio or toxic + other < s.least_texts:
+            assert m.weight[g] == 0
+    z = [sum(m.weight[g] for g in x) + m.bias for x in sets]
+    assert np.allclose(m.scores(pa.array(texts)), np.array(z) / m.temperature, atol=1e-4)
+    assert ((np.array(z) > 0) == (y == 1)).mean() > 0.9
+
+
+def test_langid_weights_written_out():
+    """Follow-the-regularised-leader coordinate by coordinate, and document frequencies text by text."""
+    s = langid.Settings(orders=(1, 2), bits=9, epochs=2, held_out=0.0)
+    texts, target = ["der die das", "the and of", "und nicht ein", "was that is", "die und das"], ["de", "en", "de", "en", "de"]
+    sets = [[int(g) for n in s.orders for g in CharGrams.of(pa.array([t])).ids(n, s.bits) if g < 1 << s.bits] for t in texts]
+    df = np.array([sum(g in x for x in sets) for g in range(1 << s.bits)], dtype=float)
+    m = langid.train(texts, target, np.ones(5), df, 5.0, s)
+    idf = [math.log(6 / (1 + d)) + 1 for d in df]
+    width = (1 << s.bits) + 1
+    z, n = [[0.0, 0.0] for _ in range(width)], [[0.0, 0.0] for _ in range(width)]
+
+    def weight(i, c):
+        if abs(z[i][c]) <= s.l1:
+            return 0.0
+        return -(z[i][c] - math.copysign(s.l1, z[i][c])) / ((s.beta + math.sqrt(n[i][c])) / s.alpha + s.l2)
+
+    for _ in range(s.epochs):
+        for x, y in zip(sets, target):
+            value = {g: s.scale * idf[g] * x.count(g) / len(x) for g in x} | {width - 1: 1.0}
+            w = {(g, c): weight(g, c) for g in value for c in (0, 1)}
+            e = [math.exp(sum(v * w[g, c] for g, v in value.items())) for c in (0, 1)]
+            for g, v in value.items():
+                for c in (0, 1):
+                    grad = v * (e[c] / sum(e) - (("de", "en")[c] == y))
+                    z[g][c] += grad - (math.sqrt(n[g][c] + grad**2) - math.sqrt(n[g][c])) / s.alpha * w[g, c]
+                    n[g][c] += grad**2
+    assert np.allclose(m.table[:-1], [[weight(g, c) * idf[g] for c in (0, 1)] for g in range(width - 1)], atol=1e-5)
+    assert np.allclose(m.bias, [weight(width - 1, c) for c in (0, 1)])
+
+
+def test_document_frequencies_against_plain_counts(spark):
+    s = langid.Settings(bits=12)
+    texts = ["abc abc", "", None, "xyz" * 400, "abcé"]
+    df, n = langid.document_frequencies(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string"), s)
+    want = np.zeros(1 << s.bits)
+    for t in texts:
+        for g in {int(g) for k in s.orders for g in CharGrams.of(pa.array([t], pa.string())).ids(k, s.bits) if g < 1 << s.bits}:
+            want[g] += 1
+    assert (df == want).all() and n == 4
+
+
+def test_langid_ties_go_to_the_first_class(spark):
+    m = langid.Model(["aa", "bb"], np.zeros(2), np.zeros(((1 << 15) + 1, 2), np.float32), 1.0, langid.Settings())
+    r = langid.identify(spark.createDataFrame([(1, "text")], "doc_id long, text string"), m).first()
+    assert r["predicted"] == "aa" and r["probability"] == 0.5
+
+
+def test_word_vectors_against_plain_sums(spark):
+    s = quality.Settings(bits=6, dimensions=8)
+    texts = ["one two three two", "Two one!! one", None, "", "one"]
+    got = quality.word_vectors(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string"), s)
+    want = np.zeros((1 << s.bits, s.dimensions))
+    for t in texts:
+        h = [int(x) for x in quality.tokens(pa.array([t], pa.string()))[0]]
+        for i, x in enumerate(h):
+            for j in range(max(0, i - s.reach), min(len(h), i + s.reach + 1)):
+                if j != i:
+                    for k in range(s.nonzeros):
+                        want[x >> (64 - s.bits), h[j] >> (8 * k) & (s.dimensions - 1)] += -1.0 if h[j] >> (8 * k + 6) & 1 else 1.0
+    norm = np.linalg.norm(want, axis=1, keepdims=True)
+    assert np.allclose(got, want / np.maximum(norm, 1e-9), atol=1e-6) and (norm > 0).sum() >= 4
+
+
+def test_network_gradients_by_differences():
+    rng = np.random.default_rng(3)
+    layers = [rng.normal(size=(4, 3)), rng.normal(size=3), rng.normal(size=3), rng.normal(size=1)]
+    x, y, w = rng.normal(size=(9, 4)), rng.integers(0, 2, 9).astype(float), rng.random(9)
+
+    def loss():
+        z = np.maximum(x @ layers[0] + layers[1], 0) @ layers[2] + layers[3][0]
+        return (w * (np.log1p(np.exp(z)) - y * z)).sum() + 0.05 * ((layers[0] ** 2).sum() + (layers[2] ** 2).sum())
+
+    for layer, grad in zip(layers, quality.gradients(layers, x, y, w, 0.1)):
+        for at in np.ndindex(layer.shape):
+            layer[at] += 1e-6
+            up = loss()
+            layer[at] -= 2e-6
+            down = loss()
+            layer[at] += 1e-6
+            assert (up - down) / 2e-6 == pytest.approx(grad[at], abs=1e-5)
+
+
+def test_bpe_of_long_fragments():
+    """Fragments on both sides of the length at which another way of merging sets in."""
+    import tiktoken
+
+    pattern = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+    enc = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=bpe.load_ranks(), special_tokens={})
+    c = bpe.Codec(bpe.load_ranks(), bpe.character_classes())
+    rng = np.random.default_rng(5)
+    for size in (bpe.LONG - 1, bpe.LONG, bpe.LONG + 1, 2 * bpe.LONG, 3000):
+        for letters in ("ab", "aeinrst", "thequickbrownfx"):
+            t = "".join(rng.choice(list(letters), size))
+            raw = np.frombuffer(t.encode(), np.uint8)
+            assert c.encode(raw, np.array([0, len(raw)]))[0].tolist() == enc.encode_ordinary(t)
 
 
 def test_languages_held_out(spark, larger):
@@ -342,27 +558,23 @@ def test_languages_held_out(spark, larger):
     assert (model.table == 0).mean() > 0.5
 
 
-def hard_to_reach():
-    """A graph whose large group is found at once, and whose 40 pairs have a second member that no link leads to."""
-    rng = np.random.default_rng(1)
-    centre = rng.integers(0, 1 << 63, (1, 2), dtype=np.uint64)
-    group = centre ^ (np.uint64(1) << rng.integers(0, 63, (400, 2), dtype=np.uint64))
-    single = rng.integers(0, 1 << 63, (1600, 2), dtype=np.uint64)
-    codes = np.concatenate([group, single, single[:40] ^ np.uint64(1)])
-    graph = Graph.build(codes)
-    links = graph.links.copy()
-    links[(links >= 2000) | (np.arange(len(codes)) >= 2000)[:, None]] = -1
-    return codes, Graph(codes, links)
-
-
-def test_audit_counts_small_groups_as_much_as_large_ones():
-    codes, graph = hard_to_reach()
-    q, n, _, _, recall = graph.within(codes, 8, 1024, own=np.arange(len(codes)))
-    tq, tn = exact(codes, codes, 8)
-    found, true = set(zip(q.tolist(), n.tolist())), {(a, b) for a, b in zip(tq.tolist(), tn.tolist()) if a != b}
-    assert found <= true and recall >= 0.95
-    pairs = {(a, b) for a, b in true if a >= 400 and b >= 400}
-    assert len(pairs) == 80 and len(found & pairs) >= 0.95 * len(pairs)
+def test_audit_widens_the_beam(spark):
+    """Graphs without links find nothing, so the audit goes on until all nodes are compared; it is the partners by text that count."""
+    rng = np.random.default_rng(11)
+    vocabulary = [f"term{i}" for i in range(3000)]
+    rows = []
+    for i in range(300):
+        t = [vocabulary[k] for k in rng.integers(0, 3000, 60)]
+        rows += [(2 * i, " ".join(t)), (2 * i + 1, " ".join([*t[:-2], "other", "end"]))]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    s = simhash.Settings(beam=4, recall=0.99)
+    nodes = simhash.signatures(d).withColumnRenamed("doc_id", "rep")
+    made, shards, _ = simhash.graphs(nodes.select("key", "hi", "lo"), s)
+    beam, recall = simhash.audited(made, shards, nodes, d, s)
+    assert recall >= 0.99
+    made = made.withColumn("links", F.expr("unhex(repeat('F', length(links) * 2))"))
+    wide, recall = simhash.audited(made, shards, nodes, d, s)
+    assert recall >= 0.99 and wide * 40 >= 600 and wide > beam
 
 
 def test_nodes_of_one_batch_are_linked():
@@ -373,7 +585,7 @@ def test_nodes_of_one_batch_are_linked():
     assert all(i + 1 in graph.links[i] and i in graph.links[i + 1] for i in range(1450, 1490, 2))
 
 
-@pytest.mark.parametrize("settings", [neighbours.Settings(), neighbours.Settings(bucket=20, tables=1, most=1), neighbours.Settings(bucket=20, most=1, recall=0.1)])
+@pytest.mark.parametrize("settings", [neighbours.Settings(), neighbours.Settings(bucket=20, tables=1, first=1), neighbours.Settings(bucket=20, first=1, recall=0.1)])
 def test_neighbours_whatever_the_first_probes(spark, larger, settings):
     e = read(spark, larger, "embeddings")
     p = e.toPandas()
