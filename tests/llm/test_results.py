@@ -90,6 +90,27 @@ def test_simhash_groups_against_all_pairs(spark, docs, settings):
     assert {frozenset(g) for g in got.values()} == want and want
 
 
+def test_simhash_does_not_ask_all_graphs_for_all_nodes(spark, docs, monkeypatch):
+    """The work of a node does not grow with the graphs and nodes there are: its buckets give the groups of all pairs."""
+
+    def never(*_):
+        raise AssertionError("a search of all nodes in all graphs")
+
+    monkeypatch.setattr(simhash, "graphs", never)
+    monkeypatch.setattr(simhash, "search", never)
+    want = plain_groups([(r["doc_id"], r["text"]) for r in docs.collect() if plain_words(r["text"])], simhash.Settings())
+    got = simhash.groups(docs).toPandas().groupby("group_id").doc_id.apply(frozenset)
+    assert set(got) == want and want
+
+
+@pytest.mark.parametrize("settings", [simhash.Settings(dense=3), simhash.Settings(hashes=1, recall=1.01, shard=64, blocks=2)])
+def test_simhash_of_dense_buckets_and_too_few(spark, docs, settings):
+    """Graphs within buckets, and where the buckets leave too much apart, graphs over all nodes give the same groups."""
+    want = plain_groups([(r["doc_id"], r["text"]) for r in docs.collect() if plain_words(r["text"])], settings)
+    got = simhash.groups(docs, settings).toPandas().groupby("group_id").doc_id.apply(frozenset)
+    assert set(got) == want
+
+
 def test_simhash_of_many_variants(spark):
     """A text in thousands of variants is one group, and what merely has near codes stays apart, without going through all pairs."""
     rng = np.random.default_rng(6)
