@@ -53,7 +53,7 @@ def sequence_keys(w: Words) -> np.ndarray:
         return mix((total[w.first[1:]] - total[w.first[:-1]]) * down[w.first[:-1]] + np.diff(w.first).astype(np.uint64))
 
 
-#: Keys up to which those of candidates are broadcast to all sets; beyond that the sets are shuffled.
+#: Keys of candidates, and ids of texts that go, up to which they are broadcast; beyond that the sets, or texts, are shuffled.
 BROADCAST = 500_000
 SIGNATURE = "doc_id long, key long, hi long, lo long"
 
@@ -524,10 +524,11 @@ def clean(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     A row goes for its own text: another text of the same id stays. All columns stay, whatever they are called.
     """
     found = _members(docs, settings)
-    gone = found.where("not kept").select("doc_id").distinct()
+    gone, _ = store(found.where("not kept").select("doc_id").distinct(), "gone")
+    few = gone.count() <= BROADCAST  # else all texts are shuffled
     twice = docs.select("doc_id").where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
     twice, _ = store(twice.join(found.select("doc_id"), "doc_id", "left_semi"), "twice")
-    out = docs.join(gone, "doc_id", "left_anti").select(*map(quoted, docs.columns))
+    out = docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*map(quoted, docs.columns))
     if twice.isEmpty():
         return out
 

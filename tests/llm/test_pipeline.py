@@ -30,6 +30,18 @@ def test_every_operator_is_registered():
     assert quality.Settings().least < 0.5
 
 
+def test_near_dedup_holds_no_graph_of_all_nodes(spark, tables, monkeypatch):
+    """A graph of all nodes is built and searched in the memory of single tasks, which grows with the table."""
+
+    def never(*_):
+        raise AssertionError("a graph of all nodes")
+
+    monkeypatch.setattr(corpus_pipeline.simhash, "graphs", never)
+    monkeypatch.setattr(corpus_pipeline.simhash, "search", never)
+    docs = read(spark, tables, "documents")
+    assert 0 < corpus_pipeline.near_dedup_stage(spark, docs, tables).count() < docs.count()
+
+
 @pytest.fixture(scope="module")
 def odd_tables(spark, tables, tmp_path_factory):
     """The small tables with nulls, empty and repeated rows, texts of one id, a very long text, and columns of many names."""
