@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from galeframe.functions.aggregates import log_ratio, mae, rmse
 from galeframe.functions.scalars import domain
 from galeframe.operators.columns import finite_points, overlay, require
-from galeframe.operators.geo import in_batches, inside, neighbours, spatial_bins, tiles
+from galeframe.operators.geo import in_batches, inside, near_places, spatial_bins, tiles
 
 METHODS = ("nearest", "idw", "ok", "rbf")
 #: Control points up to which a surface is fitted whole on each executor; kriging thins out more than that first.
@@ -26,19 +26,28 @@ def target_grid(spark: SparkSession, lons: list[float], lats: list[float]) -> Da
     return y.crossJoin(F.broadcast(x)).select((F.col("_y").cast("long") * len(lons) + F.col("_x")).alias("ID"), "lon", "lat")
 
 
+def _at_places(queries: DataFrame, found: DataFrame) -> DataFrame:
+    """(ID, prediction) of all queries by that of their place (lon, lat, prediction)."""
+    q = queries.select("ID", F.col("lon").cast("double").alias("lon"), F.col("lat").cast("double").alias("lat"))
+    return q.join(found, ["lon", "lat"], "left").select("ID", "prediction")
+
+
 def nearest(queries: DataFrame, controls: DataFrame, value: str, max_km: float = 300.0) -> DataFrame:
-    """(ID, prediction): the nearest control's value; null if none is within max_km."""
-    found = neighbours(queries, controls, 1, max_km, value=value).select("ID", F.col(value).alias("prediction"))
-    return queries.select("ID").join(found, "ID", "left")
+    """(ID, prediction): the nearest control's value; null if none is within max_km. Each place of the queries is looked up once."""
+    near = near_places(queries, controls, 1, max_km, value)
+    return _at_places(queries, near.select("lon", "lat", F.get("_n", F.lit(0))[value].alias("prediction")))
 
 
 def idw(queries: DataFrame, controls: DataFrame, value: str, k: int = 8, power: float = 2.0, max_km: float = 300.0) -> DataFrame:
-    """(ID, prediction): the mean of the k nearest controls within max_km, weighted by distance**-power; a control's own value at its place."""
-    near = neighbours(queries, controls, k, max_km, value=value)
-    w = F.pow(F.greatest(F.col("distance_km"), F.lit(1e-12)), F.lit(-power))
-    exact = F.max(F.when(F.col("distance_km") == 0, F.col(value)))
-    found = near.groupBy("ID").agg(F.coalesce(exact, F.sum(w * F.col(value)) / F.sum(w)).alias("prediction"))
-    return queries.select("ID").join(found, "ID", "left")
+    """(ID, prediction): the mean of the k nearest controls within max_km, weighted by distance**-power; a control's own value at its place.
+
+    Each place of the queries is looked up once.
+    """
+    near = near_places(queries, controls, k, max_km, value).select("lon", "lat", F.explode("_n").alias("_x"))
+    d, v = F.col("_x.distance_km"), F.col(f"_x.{value}")
+    w = F.pow(F.greatest(d, F.lit(1e-12)), F.lit(-power))
+    exact = F.max(F.when(d == 0, v))
+    return _at_places(queries, near.groupBy("lon", "lat").agg(F.coalesce(exact, F.sum(w * v) / F.sum(w)).alias("prediction")))
 
 
 def _controls(controls: DataFrame, value: str) -> np.ndarray:

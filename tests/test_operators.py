@@ -195,6 +195,25 @@ def test_neighbours_against_brute_force(spark, lat, lon):
         assert got[got.ID == i].sort_values("nth")["value"].tolist() == want
 
 
+@pytest.mark.parametrize("km", [None, 60.0])
+@pytest.mark.parametrize("most", [150, 500_000])
+def test_neighbours_of_dense_controls(spark, monkeypatch, km, most):
+    """Dense and sparse controls, in bands and in one tree: as by brute force, without a pair of each query and control within reach."""
+    monkeypatch.setattr(geo, "TREE", most)
+    rng = np.random.default_rng(7)
+    c = np.r_[rng.normal([8, 52], 0.01, (400, 2)), rng.uniform([5, 50], [12, 56], (200, 2))]
+    q = np.r_[rng.normal([8, 52], 0.01, (60, 2)), rng.uniform([4, 49], [13, 57], (60, 2)), c[:10], c[-10:]]
+    controls = spark.createDataFrame([(float(x), float(y), float(i)) for i, (x, y) in enumerate(c)], "lon double, lat double, value double")
+    queries = spark.createDataFrame([(i, *map(float, q[i % len(q)])) for i in range(2 * len(q))] + [(-1, None, 50.0)], "ID int, lon double, lat double")
+    found = geo.neighbours(queries, controls, 5, km)
+    got = found.orderBy("ID", "nth").toPandas().groupby("ID")["value"].apply(list).to_dict()
+    for i in range(2 * len(q)):
+        d = np.array([haversine(q[i % len(q)], p) for p in c])
+        assert got.get(i, []) == [float(j) for j in np.argsort(d, kind="stable")[:5] if km is None or d[j] <= km]
+    assert -1 not in got and gridding.nearest(queries, controls, "value", 60.0).where("ID = -1").first()["prediction"] is None
+    assert "Join" not in geo.near_places(queries, controls, 5, km)._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_greedy_thinning_against_brute_force(spark):
     rng = np.random.default_rng(0)
     p = pd.DataFrame({"ID": range(120), "lon": 5 + rng.uniform(0, 0.05, 120), "lat": 52 + rng.uniform(0, 0.03, 120), "priority": rng.integers(0, 3, 120)})
