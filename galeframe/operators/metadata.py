@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import difflib
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -151,22 +154,52 @@ def similar(left: DataFrame, right: DataFrame, cutoff: float = 0.3, most: int =
 def assign_models(turbines: DataFrame, models: DataFrame, accept: float = 1.0, tolerance: float = 100.0) -> DataFrame:
     """turbines with p_density (W/m2) and the model: that of a similar maker if its density is within accept, else the nearest within tolerance.
 
-    Without either a turbine falls out, as do those without numbers or under 1 m. models: (manufacturer, model, p_density), a catalogue.
+    Without either a turbine falls out, as do those without numbers or under 1 m. models: (manufacturer, model, p_density), a catalogue, which is broadcast
+    as lines sorted by density, so a turbine costs two binary searches and not a comparison with each model. Models without a density or a name can't be chosen.
     """
     t = numeric(require(turbines, "ID", *NUMBERS), *NUMBERS)
     t = t.dropna(subset=["ID", *NUMBERS]).where("height >= 1").select(
         F.col("ID").cast("string").alias("ID"), F.coalesce(pick(turbines, "type"), F.lit("onshore")).alias("type"), *NUMBERS,
         F.coalesce(F.lower(pick(turbines, "manufacturer")), F.lit("")).alias("maker"), specific_power(F.col("capacity"), F.col("diameter")).alias("p_density"),
     )
-    m = models.select(F.coalesce(F.lower("manufacturer"), F.lit("")).alias("r"), F.col("model").alias("m_model"), F.col("p_density").alias("m_density"))
-    close = similar(t.select("maker"), m.select("r")).select("l", "r")
-    options = close.join(m, "r").groupBy(F.col("l").alias("maker")).agg(F.collect_list(F.struct("m_density", "m_model")).alias("_o"))
-    everything = m.where("m_density is not null").agg(F.collect_list(F.struct("m_density", "m_model")).alias("_all"))
-
-    def nearest(options_column: str):
-        # Equal distances go to the smaller density, then to the first model by name.
-        return F.array_min(F.transform(options_column, lambda x: F.struct(F.abs(x["m_density"] - F.col("p_density")).alias("d"), x["m_density"].alias("at"), x["m_model"].alias("model"))))
-
-    df = t.join(small(options), "maker", "left").crossJoin(F.broadcast(everything)).withColumns({"_m": nearest("_o"), "_f": nearest("_all")})
-    model = F.coalesce(F.when(F.col("_m.d") < accept, F.col("_m.model")), F.when(F.col("_f.d") <= tolerance, F.col("_f.model")))
-    return df.withColumn("model", model).where("model is not null").select("ID", "type", *NUMBERS, "p_density", "model")
+    m = models.select(F.coalesce(F.lower("manufacturer"), F.lit("")).alias("r"), F.col("model").alias("m_model"), number(F.col("p_density")).alias("m_density"))
+    # Names like a maker's are at most some tens for each maker of the catalogue, however many turbines there are.
+    close = similar(t.select("maker"), m.select("r")).select("l", "r").toPandas().groupby("l")["r"].apply(list).to_dict()
+    known = m.where("m_density is not null and m_model is not null").groupBy("r", "m_density").agg(F.min("m_model").alias("m_model")).toPandas()
+    by_maker = dict(tuple(known.groupby("r")))
+    shared = turbines.sparkSession.sparkContext.broadcast((by_maker, close))
+
+    def line(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        # Of the models of one density the first by name.
+        best = rows.groupby("m_density", sort=True)["m_model"].min()
+        return best.index.to_numpy(float), best.to_numpy(object)
+
+    def nearest(at: np.ndarray, options: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        # Equal distances go to the smaller density.
+        density, model = options
+        if not len(density):
+            return np.full(len(at), np.inf), np.full(len(at), None, object)
+        up = np.clip(np.searchsorted(density, at), 0, len(density) - 1)
+        down = np.maximum(up - 1, 0)
+        take = np.where(np.abs(density[down] - at) <= np.abs(density[up] - at), down, up)
+        return np.abs(density[take] - at), model[take]
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        catalogue, near = shared.value
+        whole, own = line(pd.concat(catalogue.values())) if catalogue else (np.empty(0), np.empty(0, object)), {}
+        for batch in batches:
+            makers, at = batch.column("maker").to_pandas(), batch.column("p_density").to_numpy(zero_copy_only=False)
+            d, model = nearest(at, whole)
+            model = np.where(d <= tolerance, model, None)
+            for maker, rows in makers.groupby(makers).indices.items():
+                if maker not in near:
+                    continue
+                if (key := tuple(sorted(near[maker]))) not in own:
+                    parts = [catalogue[r] for r in key if r in catalogue]
+                    own[key] = line(pd.concat(parts)) if parts else (np.empty(0), np.empty(0, object))
+                d, similar_one = nearest(at[rows], own[key])
+                model[rows] = np.where(d < accept, similar_one, model[rows])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model, pa.string())], [*batch.schema.names, "model"])
+
+    schema = ", ".join(f"{c} {kind}" for c, kind in t.dtypes) + ", model string"
+    return t.where("p_density is not null").mapInArrow(assign, schema).where("model is not null").select("ID", "type", *NUMBERS, "p_density", "model")

@@ -333,6 +333,14 @@ def test_assign_models(spark):
     assert got == {"a": "V90", "b": "S1"}
 
 
+def test_assign_models_beside_one_without_density(spark):
+    models = spark.createDataFrame([("vestas", "V0", None), ("vestas", "V2", 314.0), ("vestas", "V1", 314.0), ("zzzz", "Q", 314.4)], "manufacturer string, model string, p_density double")
+    t = spark.createDataFrame([(m, 2000.0, 90.0, 80.0, 5.0, 50.0, m) for m in ("vestas", "qqqq")], "ID string, capacity double, diameter double, height double, lon double, lat double, manufacturer string")
+    found = metadata.assign_models(t, models)
+    assert {r["ID"]: r["model"] for r in found.collect()} == {"vestas": "V1", "qqqq": "Q"}
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_loaders(spark, tmp_path):
     dk = spark.createDataFrame([("570", "VESTAS Wind", "2000", "90", "80", "500000", "6100000", "HAV")], "ID string, manufacturer string, capacity string, diameter string, height string, east string, north string, type string")
     r = sources.load_turbines("DK", dk).first()
