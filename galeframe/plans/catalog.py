@@ -797,7 +797,7 @@ def _raw_turbines(spark, sf_dir, *more) -> DataFrame:
 @query(f"""select lpad(cast(k as varchar), 7, '1') as ID, capacity, diameter, height, cast(substr(lpad(cast(k as varchar), 7, '1'), 1, 5) as integer) / 1e4 as lon, 51e0 as lat, 'onshore' as type from ({_PARTS})
 where capacity is not null and height > 1 and cast(substr(lpad(cast(k as varchar), 7, '1'), 1, 5) as integer) % 2 = 1""")
 def load_germany(spark, sf_dir):
-    codes = spark.range(11111, 100000, 2).select(F.col("id").alias("postcode"), (F.col("id") / 1e4).alias("lon"), F.lit(51.0).alias("lat"))
+    codes = spark.range(1, 100000, 2).select(F.col("id").alias("postcode"), (F.col("id") / 1e4).alias("lon"), F.lit(51.0).alias("lat"))
     return sources.load_turbines("de", _raw_turbines(spark, sf_dir), codes).select("ID", "capacity", "diameter", "height", "lon", "lat", "type")
 
 

@@ -58,3 +58,14 @@ def test_model_assignment_against_all_parts(spark, tmp_path):
         if own[0] < 1 or best[0] <= 100:
             want[k] = own[2] if own[0] < 1 else best[2]
     assert got == want and len(want) > 4
+
+
+def test_load_germany_of_many_parts(spark, tmp_path):
+    """IDs of all first digits and postcodes under 11111, as in tables of more than 10,000 parts."""
+    keys = [7, 150, 10100, 10101, 10300, 11000, 20000, 110100, 999900, 2100300, 9999800, 10100]
+    spark.createDataFrame([(k, "Vestas wind", 10 + k % 5) for k in keys], "p_partkey long, p_name string, p_size int").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view part as from '{tmp_path}/part.parquet/*.parquet'")
+    got = catalog.QUERIES["load_germany"](spark, str(tmp_path)).toPandas()
+    want = con.sql(catalog.ORACLES["load_germany"]).df()
+    assert sorted(got.itertuples(index=False, name=None)) == sorted(want[list(got.columns)].itertuples(index=False, name=None)) and len(got) > 5
