@@ -13,6 +13,7 @@ from galeframe.functions.aggregates import log_ratio, mae, rmse
 from galeframe.functions.scalars import domain
 from galeframe.operators.columns import finite_points, overlay, require
 from galeframe.operators.geo import in_batches, inside, near_places, spatial_bins, tiles
+from galeframe.storage import stored
 
 METHODS = ("nearest", "idw", "ok", "rbf")
 #: Control points up to which a surface is fitted whole on each executor; kriging thins out more than that first.
@@ -228,8 +229,9 @@ def cross_validate(controls: DataFrame, mode: str, value: str, methods: list[str
     own = finite_points(controls.where(F.lower(F.col("mode").cast("string")) == mode))
     if (n := own.count()) < least:
         raise ValueError(f"too few control points for {mode}: {n}")
-    placed = folds(own, **tiling)
-    placed = placed.withColumn("ID", F.xxhash64("lon", "lat", value)).select("ID", "lon", "lat", "fold", value).dropDuplicates(["ID"])
+    # Repeated points count once, and all folds and methods read the one table of them.
+    own = own.select("lon", "lat", value, F.xxhash64("lon", "lat", value).alias("ID")).dropDuplicates(["ID"])
+    placed = stored(folds(stored(own, "points"), **tiling).select("ID", "lon", "lat", "fold", value), "folds")
     parts = []
     for fold in range(tiling.get("count", 5)):
         train, test = placed.where(F.col("fold") != fold), placed.where(F.col("fold") == fold)

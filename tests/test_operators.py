@@ -284,6 +284,14 @@ def test_cross_validation(spark, surface):
         gridding.cross_validate(surface, "offshore", "scalar", ["nearest"])
 
 
+def test_cross_validation_reads_its_points_once(spark, surface):
+    scores = gridding.cross_validate(surface.unionAll(surface), "onshore", "scalar", ["nearest", "idw"])
+    files = scores.inputFiles()
+    assert files and all("galeframe-folds" in f for f in files)
+    once = gridding.cross_validate(surface, "onshore", "scalar", ["nearest", "idw"]).collect()
+    assert sorted(map(str, scores.collect())) == sorted(map(str, once))
+
+
 def test_export_has_identity_outside_the_areas(spark, surface):
     def box(a, b, c, d):
         return geo.polygon_edges(spark.createDataFrame([(0, [[[a, c], [b, c], [b, d], [a, d], [a, c]]])], "region int, rings array<array<array<double>>>"))
