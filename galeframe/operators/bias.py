@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -135,7 +136,10 @@ def offsets(trained: DataFrame, wind: DataFrame, segments: DataFrame) -> DataFra
 
 
 def fit_clusters(turbines: DataFrame, clusters: int, restarts: int = 10, iterations: int = 300, seed: int = 42):
-    """A k-means model on (lat, lon): random starts, the cheapest of all restarts. None for one cluster, which needs no model."""
+    """A k-means model on (lat, lon): random starts, the cheapest of all restarts. None for one cluster, which needs no model.
+
+    The distinct places, weighted by their turbines, are kept for all restarts and iterations, so the turbines are read once.
+    """
     if clusters < 1:
         raise ValueError(f"no such number of clusters: {clusters}")
     if clusters == 1:
@@ -143,9 +147,15 @@ def fit_clusters(turbines: DataFrame, clusters: int, restarts: int = 10, iterati
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import VectorAssembler
 
-    points = VectorAssembler(inputCols=["lat", "lon"], outputCol="features").transform(turbines.where("lat is not null and lon is not null"))
-    models = [KMeans(k=clusters, initMode="random", maxIter=iterations, seed=seed + i).fit(points) for i in range(restarts)]
-    return min(models, key=lambda m: m.summary.trainingCost)
+    places = turbines.where("lat is not null and lon is not null").groupBy("lat", "lon").agg(F.count("*").cast("double").alias("weight"))
+    points = VectorAssembler(inputCols=["lat", "lon"], outputCol="features").transform(places).select("features", "weight").persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        # Few places make few tasks: each iteration is a job.
+        fewer = points.coalesce(1 + points.count() // 50_000)
+        models = [KMeans(k=clusters, initMode="random", maxIter=iterations, seed=seed + i, weightCol="weight").fit(fewer) for i in range(restarts)]
+        return min(models, key=lambda m: m.summary.trainingCost)
+    finally:
+        points.unpersist()
 
 
 def assign_clusters(model, turbines: DataFrame) -> DataFrame:

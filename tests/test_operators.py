@@ -143,6 +143,16 @@ def test_solver():
     assert bias.solve_offset(lambda o: 1.0, float("nan"), 0.5) == 0.0
 
 
+def test_clusters_of_repeated_places(spark):
+    """Each place once, weighted by its turbines: the centre of two groups lies where that of all rows does."""
+    rows = [(50.0, 5.0)] * 9 + [(50.0, 6.0)] + [(56.0, 12.0)] * 3 + [(56.0, 13.0)] * 3
+    t = spark.createDataFrame(rows, "lat double, lon double")
+    model = bias.fit_clusters(t, 2)
+    assert model.summary.predictions.count() == 4
+    assert np.allclose(sorted(c.tolist() for c in model.clusterCenters()), [[50.0, 5.1], [56.0, 12.5]])
+    assert bias.assign_clusters(model, t).count() == len(rows)
+
+
 def test_factors_of_missing_groups(spark):
     t = spark.createDataFrame([(0, "1/1", 0.0, 2.0), (1, "1/1", 2.0, 1.0), (1, "1/1", 0.0, 3.0)], "cluster int, time_slice string, scalar double, offset double")
     got = {r["cluster"]: (r["scalar"], r["offset"]) for r in bias.factors(t).collect()}
